@@ -105,32 +105,33 @@ def votes() -> dict:
         "length": _vote(n < 10, n >= 50),
         "word_size": _vote((chars > 12 * n) | (chars < 2 * n), ~few & chars.between(3 * n, 9 * n)),
         "symbols": _vote(10 * F.col("n_symbols") > n, ~few & (50 * F.col("n_symbols") <= n)),
-        "dup_lines": _vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), ~few & (20 * F.col("n_dup_lines") <= F.col("n_lines"))),
-        "repeats": _vote(5 * F.col("n_repeat_words") > n, ~few & (20 * F.col("n_repeat_words") <= n)),
+        "symbol_share": _vote(25 * F.col("n_symbols") > chars, ~few & (200 * F.col("n_symbols") <= chars)),
+        "dup_lines": _vote((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")), ~few & (20 * F.col("n_dup_lines") <= F.col("n_lines"))),
+        "repeats": _vote(10 * F.col("n_repeat_words") > 3 * n, ~few & (20 * F.col("n_repeat_words") <= n)),
+        "repeat_share": _vote(5 * F.col("n_repeat_words") > 2 * n, ~few & (10 * F.col("n_repeat_words") <= n)),
         "capitals": _vote(4 * F.col("n_upper") > chars, ~few & (8 * F.col("n_upper") <= chars)),
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50, prior: float = 0.9, floor: float = 0.6) -> np.ndarray:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50, weight: float = 0.05) -> np.ndarray:
     """Posterior of being good for each vote pattern, by expectation-maximisation.
 
-    A rule has two accuracies: how often it votes good on good documents, and bad
-    on bad ones, when it votes. They start at 0.9 and 0.7, and stay at least
-    ``floor``, so that the classes keep their meaning; abstentions say nothing.
+    A rule has two rates: how often its vote is bad on good documents, and on bad
+    ones, among its votes; abstentions say nothing. A document without a bad vote
+    starts as good. Beta priors worth ``weight`` of the corpus hold the rates near
+    0.01 and 0.5, so that the classes keep their meaning, and on bad documents a
+    rule is never taken to vote bad more rarely than on good ones.
     """
-    right = np.stack([np.full(patterns.shape[1], 0.9), np.full(patterns.shape[1], 0.7)])  # on good, on bad
     good, bad = patterns == 1, patterns == -1
-    posterior = np.full(len(patterns), prior)
+    held = max(1.0, weight * counts.sum())
+    posterior = np.where(bad.any(axis=1), 0.0, 1.0)
     for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + good @ np.log(right[0] / (1 - right[1])) + bad @ np.log((1 - right[0]) / right[1])
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if not counts.sum():
-            break
         w_good, w_bad = counts * posterior, counts * (1 - posterior)
-        right[0] = (w_good @ good + 9) / (w_good @ (good | bad) + 10)
-        right[1] = (w_bad @ bad + 7) / (w_bad @ (good | bad) + 10)
-        right = np.clip(right, floor, 0.995)
-        prior = float(np.clip((w_good.sum() + 9) / (counts.sum() + 10), 0.5, 0.99))
+        on_good = (w_good @ bad + 0.01 * held) / (w_good @ (good | bad) + held)
+        on_bad = np.maximum((w_bad @ bad + 0.5 * held) / (w_bad @ (good | bad) + held), on_good)
+        prior = (w_good.sum() + 0.9 * held) / (counts.sum() + held)
+        odds = np.log(prior / (1 - prior)) + bad @ np.log(on_good / on_bad) + good @ np.log((1 - on_good) / (1 - on_bad))
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return posterior
 
 
