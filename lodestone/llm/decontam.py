@@ -12,7 +12,6 @@ with the lists of the other terms from rare to frequent.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
