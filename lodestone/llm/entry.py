@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from lodestone.llm.bpe import op3_bpe
+from lodestone.llm.classifier import op9_quality_classifier
 from lodestone.llm.decontam import op5_decontamination
 from lodestone.llm.url_filter import OP10_SQL, op10_url_filter
 from lodestone.llm.weak_rules import op4_quality_rules
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op3_bpe": op3_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_url_filter": op10_url_filter,
         "pipeline": corpus_pipeline.run,
     }
