@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from lodestone.llm.bpe import op3_bpe
+from lodestone.llm.chat import OP2_SQL, op2_chat_format
 from lodestone.llm.classifier import op9_quality_classifier
 from lodestone.llm.decontam import op5_decontamination
 from lodestone.llm.url_filter import OP10_SQL, op10_url_filter
@@ -13,6 +14,7 @@ from lodestone.llm.weak_rules import op4_quality_rules
 
 def queries() -> dict:
     return {
+        "op2_chat_format": op2_chat_format,
         "op3_bpe": op3_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
@@ -23,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op10_url_filter": OP10_SQL}
