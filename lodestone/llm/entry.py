@@ -8,6 +8,7 @@ from lodestone.llm.bpe import op3_bpe
 from lodestone.llm.chat import OP2_SQL, op2_chat_format
 from lodestone.llm.classifier import op9_quality_classifier
 from lodestone.llm.decontam import op5_decontamination
+from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.url_filter import OP10_SQL, op10_url_filter
 from lodestone.llm.weak_rules import op4_quality_rules
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_bpe": op3_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
+        "op7_simhash": op7_simhash,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_url_filter": op10_url_filter,
         "pipeline": corpus_pipeline.run,
