@@ -9,6 +9,7 @@ from lodestone.llm.chat import OP2_SQL, op2_chat_format
 from lodestone.llm.classifier import op9_quality_classifier
 from lodestone.llm.decontam import op5_decontamination
 from lodestone.llm.html_text import op8_html_text
+from lodestone.llm.line_dedup import op6_line_dedup
 from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.url_filter import OP10_SQL, op10_url_filter
 from lodestone.llm.weak_rules import op4_quality_rules
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_bpe": op3_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
+        "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
         "op8_html_text": op8_html_text,
         "op9_quality_classifier": op9_quality_classifier,
