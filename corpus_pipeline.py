@@ -1,11 +1,95 @@
-"""The corpus pipeline (filled in below as its stages are built)."""
+"""From raw documents to token ids in five stages, each an operator of ``lodestone.llm``.
 
-STAGES: list = []
+A stage takes ``(spark, docs, sf_dir)`` and returns the documents that it keeps, with
+the columns of ``documents``; the last returns token ids. ``run`` writes each stage's
+result to the shared folder, so that a lost executor costs at most one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.bpe import bpe_decode, bpe_encode, tokenizer_path
+from lodestone.llm.classifier import fit, score
+from lodestone.llm.decontam import find_contamination, flagged
+from lodestone.llm.line_dedup import document_keys, drop_repeated_lines
+from lodestone.llm.shared import load, written
+from lodestone.llm.simhash import simhash_groups
+
+#: Documents that score lower go.
+LEAST_QUALITY = 0.5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects."""
+    weights = fit(docs, load(spark, sf_dir, "labels"))
+    return score(docs, weights, out="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later copies of line runs; ``n_chars`` follows, and documents of which no word is left go."""
+    out = drop_repeated_lines(docs)
+    cut = F.col("n_lines_removed") > 0
+    out = out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near copies.
+
+    Of repeated rows with that id one stays. Documents without an id go if a linked
+    one has an id, and stay otherwise.
+    """
+    groups = simhash_groups(docs)
+    chosen = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").count()
+    chosen = written(chosen, "chosen")
+    once = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
+    repeated = chosen.where("count > 1 AND doc_id IS NOT NULL")
+    if not repeated.isEmpty():
+        many = once.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = once.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(many)
+    if not chosen.where("doc_id IS NULL").isEmpty():
+        once = once.unionByName(docs.where("doc_id IS NULL"))
+    return once.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the contamination rule finds."""
+    keyed = document_keys(docs)
+    found = flagged(find_contamination(keyed.select("key", "text"), load(spark, sf_dir, "benchmark"), doc_id="key"))
+    bad = written(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return keyed.join(bad, "key", "left_anti").select(*docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, packed as little-endian unsigned 32-bit integers, checked by decoding."""
+    path = tokenizer_path()
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, keep=["doc_id", "text"]), path)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+
+#: Logistic regression, suffix intervals, fingerprints and BPE have no SQL; the stages are tested by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
