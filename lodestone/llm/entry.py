@@ -11,12 +11,14 @@ from lodestone.llm.decontam import op5_decontamination
 from lodestone.llm.html_text import op8_html_text
 from lodestone.llm.line_dedup import op6_line_dedup
 from lodestone.llm.simhash import op7_simhash
+from lodestone.llm.substring_dedup import op1_substring_dedup
 from lodestone.llm.url_filter import OP10_SQL, op10_url_filter
 from lodestone.llm.weak_rules import op4_quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_bpe": op3_bpe,
         "op4_quality_rules": op4_quality_rules,
