@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import load, written
+from lodestone.llm.shared import load, trim, written
 from lodestone.llm.url_filter import url_parts
 
 #: Elements whose content is no text of the page.
@@ -162,58 +162,70 @@ def shared_blocks(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return shared
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s in range(0, batch.num_rows, 256):
-            part = batch.slice(s, 256)
-            pages = [page_blocks(x) for x in part.column(4).to_pylist()]
-            columns = [
-                pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int32())),
-                pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string())),
-                pa.array([np.array([xxhash.xxh3_64_intdigest(t.encode()) for _, t in p], np.uint64).view(np.int64) for p in pages], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["page_id", "url", "host", "path", "states", "blocks", "hashes"])
+def _hashes(blocks: list[tuple[int, str]]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode()) for _, t in blocks], np.uint64).view(np.int64)
 
 
-def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """One row per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_shared`` (blocks shared with the neighbour).
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in range(0, batch.num_rows, 128):
+            part = batch.slice(s, 128)
+            hashes = [_hashes(page_blocks(x)) for x in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(hashes, pa.list_(pa.int64()))], names=["host", "path", "page_id", "key", "hashes"])
+    trim()
 
-    ``text`` is the kept blocks joined by newlines, empty for null and empty
-    pages. Pages without a host are neighbours among themselves. A repeated row
-    is its twin's neighbour, which costs no main text. Other columns are not read.
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in range(0, batch.num_rows, 128):
+            part = batch.slice(s, 128)
+            texts, counts = [], []
+            for page, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                blocks = page_blocks(page)
+                shared = shared_blocks(_hashes(blocks), np.array(other or [], np.int64))
+                texts.append("\n".join([t for (k, t), twice in zip(blocks, shared.tolist(), strict=True) if k == KEPT or k == OPEN and not twice]))
+                counts.append(int(shared.sum()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_shared"])
+    trim()
+
+
+def neighbours(lines: DataFrame) -> DataFrame:
+    """(``key``, ``near``) of pages (``host``, ``path``, ``page_id``, ``key``): the page before in the order of URLs, or the one after.
+
+    The order is dealt out in ranges, so a host of any size is spread over tasks;
+    the first page of a range looks to the last of the range before.
     """
-    host, path = url_parts(F.col(url))
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(page).cast("string").alias("html"))
-    schema = "page_id bigint, url string, host string, path string, states array<int>, blocks array<string>, hashes array<bigint>"
-    cut = written(rows.mapInArrow(_cut, schema).withColumn("key", F.monotonically_increasing_id()), "blocks")
-    # the order of URLs, dealt out in ranges; the first page of a range looks to the range before
     order = [F.col(c) for c in ("host", "path", "page_id", "key")]
-    light = cut.select("host", "path", "page_id", "key").repartitionByRange(*order)
+    light = lines.select(*order).repartitionByRange(*order)
     light = written(light.withColumn("range", F.spark_partition_id()), "order")
     line = Window.partitionBy("range").orderBy(*order)
     both = light.select("*", F.lag("key").over(line).alias("back"), F.lag("host").over(line).alias("back_host"), F.lead("key").over(line).alias("ahead"), F.lead("host").over(line).alias("ahead_host"))
     edges = light.groupBy("range").agg(F.max(F.struct(*order)).alias("last"), F.min(F.struct(*order)).alias("first"))
-    ranges = Window.orderBy("range")
+    ranges = Window.orderBy("range")  # a row for each range
     edges = edges.select("range", F.lag("last").over(ranges).alias("last"), F.lead("first").over(ranges).alias("first"))
-    both = both.join(F.broadcast(edges), "range")
+    both = both.join(edges, "range")
     back = F.when(F.coalesce("back_host", "last.host") == F.col("host"), F.coalesce("back", "last.key"))
     ahead = F.when(F.coalesce("ahead_host", "first.host") == F.col("host"), F.coalesce("ahead", "first.key"))
-    pairs = both.select("key", F.coalesce(back, ahead).alias("near"))
-    lines = pairs.join(cut.select(F.col("key").alias("near"), F.col("hashes").alias("others")), "near").select("key", "others")
-    joined = cut.select("page_id", "url", "key", "states", "blocks", "hashes").join(lines, "key", "left").select("page_id", "url", "states", "blocks", "hashes", "others")
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                texts, counts = [], []
-                for states, blocks, own, other in zip(*(part.column(c).to_pylist() for c in range(2, 6)), strict=True):
-                    shared = shared_blocks(np.array(own, np.int64), np.array(other or [], np.int64))
-                    texts.append("\n".join([t for k, t, twice in zip(states, blocks, shared.tolist(), strict=True) if k == KEPT or k == OPEN and not twice]))
-                    counts.append(int(shared.sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_shared"])
-
-    return joined.mapInArrow(difference, "page_id bigint, url string, text string, n_shared bigint")
+    return both.select("key", F.coalesce(back, ahead).alias("near"))
+
+
+def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """One row per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_shared`` (blocks shared with the neighbour).
+
+    ``text`` is the kept blocks joined by newlines, empty for null and empty
+    pages. Pages without a host are neighbours among themselves. Repeated rows are
+    one page with one neighbour. Other columns are not read. Only hashes of blocks
+    travel to find neighbours; the pages themselves are shuffled once.
+    """
+    host, path = url_parts(F.col(url))
+    ident = F.xxhash64(F.col(page_id).cast("bigint"), F.col(url), F.col(page))
+    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host.alias("host"), path.alias("path"), ident.alias("key"))
+    lines = rows.select("host", "path", "page_id", "key", "html").mapInArrow(_lines, "host string, path string, page_id bigint, key bigint, hashes array<bigint>")
+    lines = written(lines, "lines")
+    once = lines.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.min("page_id").alias("page_id"))
+    near = neighbours(once).join(lines.groupBy("key").agg(F.first("hashes").alias("others")).withColumnRenamed("key", "near"), "near").select("key", "others")
+    joined = rows.select("page_id", "url", "html", "key").join(near, "key", "left").select("page_id", "url", "html", "others")
+    return joined.mapInArrow(_texts, "page_id bigint, url string, text string, n_shared bigint")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

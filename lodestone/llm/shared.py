@@ -8,6 +8,8 @@ longer document is a run of its own, so memory follows the longest document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -19,10 +21,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python whole texts in smaller batches than the default of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # workers give memory back instead of keeping it in many arenas
+    spark.sparkContext.environment.setdefault("MALLOC_ARENA_MAX", "2")
+    spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+
+
+def trim() -> None:
+    """Return freed memory to the system: idle Python workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -35,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, *, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -81,6 +99,7 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[slice, np.n
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
         yield slice(row, stop), data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
+    trim()
 
 
 def segments(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
