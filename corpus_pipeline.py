@@ -14,7 +14,7 @@ from lodestone.llm.bpe import bpe_decode, bpe_encode, tokenizer_path
 from lodestone.llm.classifier import fit, score
 from lodestone.llm.decontam import find_contamination, flagged
 from lodestone.llm.line_dedup import document_keys, drop_repeated_lines
-from lodestone.llm.shared import load, written
+from lodestone.llm.shared import load, text_batches, written
 from lodestone.llm.simhash import simhash_groups
 
 #: Documents that score lower go.
@@ -23,12 +23,14 @@ LEAST_QUALITY = 0.5
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier rejects."""
+    text_batches(spark)
     weights = fit(docs, load(spark, sf_dir, "labels"))
     return score(docs, weights, out="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of line runs; ``n_chars`` follows, and documents of which no word is left go."""
+    text_batches(spark)
     out = drop_repeated_lines(docs)
     cut = F.col("n_lines_removed") > 0
     out = out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -43,6 +45,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Of repeated rows with that id one stays. Documents without an id go if a linked
     one has an id, and stay otherwise.
     """
+    text_batches(spark)
     groups = simhash_groups(docs)
     chosen = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").count()
     chosen = written(chosen, "chosen")
@@ -58,14 +61,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the contamination rule finds."""
+    text_batches(spark)
     keyed = document_keys(docs)
-    found = flagged(find_contamination(keyed.select("key", "text"), load(spark, sf_dir, "benchmark"), doc_id="key"))
-    bad = written(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
-    return keyed.join(bad, "key", "left_anti").select(*docs.columns)
+    found = flagged(find_contamination(keyed.select("__key", "text"), load(spark, sf_dir, "benchmark"), doc_id="__key"))
+    bad = written(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, packed as little-endian unsigned 32-bit integers, checked by decoding."""
+    text_batches(spark)
     path = tokenizer_path()
     coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, keep=["doc_id", "text"]), path)
     return coded.select(

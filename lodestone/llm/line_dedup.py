@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import NOT_SPACE, load, runs, segments, written
+from lodestone.llm.shared import NOT_SPACE, load, runs, segments, trim, written
 
 MIN_WORDS = 50
-_KEY = ["d", "key"]
+_KEY = ["__d", "__key"]
 _AT = [*_KEY, "line"]
 
 
@@ -47,13 +47,13 @@ def sufficient_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
 
 
 def document_keys(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``d`` (the id, least for null) and ``key`` (a hash of the row): rows with equal ones are one document."""
+    """Add ``__d`` (the id, least for null) and ``__key`` (a hash of the row): rows with equal ones are one document."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumns({"d": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))), "key": F.xxhash64(F.col(doc_id).cast("bigint"), body)})
+    return docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))), "__key": F.xxhash64(F.col(doc_id).cast("bigint"), body)})
 
 
 def line_table(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per line of the keyed documents: ``d``, ``key``, ``line``, ``name`` and the sufficient runs that begin there."""
+    """A row per line of the keyed documents: ``__d``, ``__key``, ``line``, ``name`` and the sufficient runs that begin there."""
     run_type = pa.list_(pa.struct([("lines", pa.int32()), ("check", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def line_table(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORD
                     names=[*_AT, "name", "runs"],
                 )
 
-    schema = "d bigint, key bigint, line int, name bigint, runs array<struct<lines:int,check:bigint>>"
+    schema = "__d bigint, __key bigint, line int, name bigint, runs array<struct<lines:int,check:bigint>>"
     return docs.select(*_KEY, F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
@@ -94,7 +94,7 @@ def _repeated(named: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of lines that also begin earlier: ``d``, ``key``, ``line`` (first), ``lines``."""
+    """Runs of lines that also begin earlier: ``__d``, ``__key``, ``line`` (first), ``lines``."""
     every = written(_repeated(line_table(docs, text=text, min_words=min_words)), "lines")
     wanted = every.select(*_AT, F.inline("runs")).withColumn("level", F.floor(F.log2("lines")).cast("int"))
     deepest = wanted.agg(F.max("level")).first()[0]
@@ -130,9 +130,9 @@ def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     keyed = document_keys(docs.drop("n_lines", "n_lines_removed"), doc_id=doc_id, text=text)
     cuts = repeated_runs(keyed, text=text, min_words=min_words)
-    cuts = cuts.groupBy(*_KEY).agg(F.array_distinct(F.collect_list(F.struct("line", "lines"))).alias("cuts"))  # at most two for each line of the document
+    cuts = cuts.groupBy(*_KEY).agg(F.array_distinct(F.collect_list(F.struct("line", "lines"))).alias("__cuts"))  # at most two for each line of the document
     joined = keyed.join(cuts, _KEY, "left").drop(*_KEY)
-    keep = [c for c in joined.columns if c not in (text, "cuts")]
+    keep = [c for c in joined.columns if c not in (text, "__cuts")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +154,10 @@ def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
                         gone.append(0)
                     texts.append(body)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, text, "n_lines", "n_lines_removed"])
+        trim()
 
     schema = joined.select(*keep).schema.add(text, "string").add("n_lines", "long").add("n_lines_removed", "long")
-    out = joined.select(*keep, F.col(text).cast("string").alias(text), "cuts").mapInArrow(apply, schema)
+    out = joined.select(*keep, F.col(text).cast("string").alias(text), "__cuts").mapInArrow(apply, schema)
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_lines_removed")], "n_lines", "n_lines_removed")
 
 
