@@ -44,7 +44,7 @@ def read_vault(spark: SparkSession, path: str, ignore_dirs: tuple[str, ...] = ("
     out. Frontmatter is taken off; its tags and the text's ``#tags`` make ``tags``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
-    root = F.lit(spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     place = T.url_decoded(F.regexp_replace(F.col("path"), r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", ""))
     relative = F.substring_index(place, root, -1)
     parts = F.split(relative, "/")
