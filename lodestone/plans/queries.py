@@ -683,3 +683,99 @@ def text_forms(spark, d):
     name = F.col("s_name")
     return s.select("s_suppkey", T.slug(name).alias("slug"), T.entity_name(name).alias("entity"), T.predicate(name).alias("predicate"), T.safe_name(name).alias("safe"), T.bounded(F.col("s_acctbal").cast("string"), 0.0, 10.0).alias("bounded"))
 
+
+
+# ---- smaller operators ------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey AS query_id, 'ev_' || (1 + p_partkey % 3) AS evidence_id, p_brand AS document_path, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_name ELSE '未命名段落' END AS section_title, round(p_size / 7, 4) AS score FROM part"""
+)
+def evidence_rows(spark, d):
+    k = F.pmod("p_partkey", F.lit(3))
+    hits = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), (k + 1).cast("int").alias("rank"), F.col("p_brand").alias("source"), F.lit("a").alias("anchor"), F.when(k == 0, F.col("p_type")).otherwise("").alias("section_title"), F.when(k == 1, F.col("p_name")).otherwise("").alias("heading"), F.lit(None).cast("string").alias("filename"), F.lit("c").alias("content"), (F.col("p_size") / 7).alias("score"))
+    return A.evidence_rows(hits).drop("content", "anchor")
+
+
+@query(f"WITH {NODE_EVIDENCE} SELECT 'edge:' || sha256('section:' || sha256('s' || chr(0) || 'a') || chr(0) || node_id || chr(0) || 'MENTIONS' || chr(0) || chunk_id) AS id, node_id AS target_id, 0.8::DOUBLE AS weight FROM ev")
+def mention_edges(spark, d):
+    return S.mention_edges(_node_evidence(spark, d)).select("id", "target_id", "weight")
+
+
+@query("SELECT community_id, source FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY source) AS r FROM (SELECT DISTINCT 'K' || n_regionkey AS community_id, s_name AS source FROM nation JOIN supplier ON s_nationkey = n_nationkey)) WHERE r <= 7")
+def sources_of_communities(spark, d):
+    members = table(spark, d, "nation").select(F.concat(F.lit("K"), "n_regionkey").alias("community_id"), F.col("n_nationkey").alias("node_id"))
+    return Q.sources_of(members, table(spark, d, "supplier").select(F.col("s_nationkey").alias("node_id"), F.col("s_name").alias("source")), 7)
+
+
+@query(
+    """SELECT 0 AS level, 'K' || n_regionkey AS community, array_to_string(list_slice(list(n_name ORDER BY n_nationkey + 100), 1, 3), ' / ') AS title, count(*) AS size FROM nation GROUP BY n_regionkey"""
+)
+def community_titles(spark, d):
+    n = table(spark, d, "nation")
+    node = (F.col("n_nationkey") + 100).cast("string")
+    members = n.select(F.lit(0).alias("level"), F.concat(F.lit("K"), "n_regionkey").alias("community"), F.lit("").alias("parent"), node.alias("node"))
+    return Q.community_rows(members, n.select(node.alias("node_id"), F.col("n_name").alias("name"), F.array(F.col("n_name")).alias("text_unit_ids"))).select("level", "community", "title", "size")
+
+
+@query(
+    f"""WITH {SCORES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS item FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 7 = 0 WHERE q.vec_id % 10 = 0), need AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
+    r AS (SELECT need.query_id, count(*) FILTER (rank <= 2) / n AS a, count(*) FILTER (rank <= 5) / n AS b FROM need LEFT JOIN (SELECT t.query_id, t.rank FROM top t JOIN gold g ON g.query_id = t.query_id AND g.item = t.chunk_id) h ON h.query_id = need.query_id GROUP BY need.query_id, n)
+    SELECT round(avg(a), 6) AS basic_recall, round(avg(b), 6) AS local_recall, round(avg(b) - avg(a), 6) AS recall_delta, count(*) FILTER (a = 0 AND b > 0) AS wins, count(*) FILTER (a > 0 AND b = 0) AS harms FROM r"""
+)
+def retriever_comparison(spark, d):
+    hits, gold = _judged(spark, d)
+    out = M.compared_retrievers(hits.where("rank <= 2"), hits, gold, 5)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("basic_recall", "local_recall", "recall_delta")], "wins", "harms")
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT s_nationkey AS k FROM supplier), g AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3), b AS (SELECT count(*) AS n FROM f JOIN g USING (k))
+    SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM g) AS n_gold, n AS n_both, round(n / (SELECT count(*) FROM f), 6) AS precision, round(n / (SELECT count(*) FROM g), 6) AS recall FROM b"""
+)
+def structure_scores(spark, d):
+    found = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    gold = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("k"))
+    return M.set_scores(found, gold, ["k"]).select("n_found", "n_gold", "n_both", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT conv_id AS session, turn, array_to_string(list(coalesce(role, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), ',') AS roles FROM conversations")
+def running_history(spark, d):
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", F.coalesce("role", F.lit("")).alias("role"))
+    return Y.running_history(turns, 6, text="role").select("session", "turn", F.array_join("window", ",").alias("roles"))
+
+
+@query("SELECT user_id AS session FROM (SELECT user_id, min(event_id) AS f FROM events GROUP BY user_id) ORDER BY f DESC, user_id DESC LIMIT 100")
+def kept_sessions(spark, d):
+    sessions = table(spark, d, "events").groupBy(F.col("user_id").alias("session")).agg(F.min("event_id").alias("first_seen"))
+    return Y.kept_sessions(sessions, 100).select("session")
+
+
+@query(
+    f"""WITH {NETWORK.format(most=30)} SELECT id FROM edges WHERE type <> 'LINKS_TO' AND NOT (type = 'MENTIONS' AND target_id IN ('N1', 'N2')) UNION ALL SELECT 'new-' || t FROM (VALUES ('N1'), ('N2')) v(t) UNION ALL SELECT id FROM edges WHERE type = 'LINKS_TO' AND target_id NOT IN ('N1', 'N2')"""
+)
+def replaced_sources(spark, d):
+    edges = _network(spark, d).select("id", F.col("target_id").alias("evidence_source"))
+    new = spark.createDataFrame([("new-N1", "N1"), ("new-N2", "N2")], "id string, evidence_source string")
+    return G.replaced_source(edges, new).select("id")
+
+
+@query(
+    f"""WITH {NETWORK.format(most=30)} SELECT node, neighbor, edge_id, edge_rank, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, edge_id) AS r FROM near) JOIN nation ON neighbor = 'N' || n_nationkey WHERE node IN ('R0', 'R3')"""
+)
+def subgraph(spark, d):
+    nodes = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.lit("document").alias("type"), F.col("n_name").alias("name"))
+    asked = spark.createDataFrame([("R0",), ("R3",)], "node string")
+    return G.neighbors(_network(spark, d), nodes, asked).select("node", "neighbor", "edge_id", "edge_rank", "name")
+
+
+@query("SELECT source, sha256('[' || string_agg('{\"chunk_id\":\"' || lpad(doc_id::VARCHAR, 9, '0') || '\",\"hash\":\"' || sha256(text) || '\"}', ',' ORDER BY doc_id) || ']' || chr(0) || 'v1') AS fingerprint FROM documents GROUP BY source")
+def source_fingerprints(spark, d):
+    chunks = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_id"), F.col("text").alias("content"))
+    return S.fingerprint(chunks, "v1")
+
+
+@query("SELECT p_partkey, greatest(0, least(10, p_size - 20))::DOUBLE AS rank FROM part WHERE p_partkey % 4 > 0")
+def report_ranks(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.when(F.pmod("p_partkey", F.lit(4)) == 0, " ").otherwise("s").alias("summary"), (F.col("p_size") - 20).cast("string").alias("rank"))
+    return S.bounded_ranks(p).select("p_partkey", "rank")
