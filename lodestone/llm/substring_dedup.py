@@ -27,14 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import byte_view, drop_written, load, released, runs, segment_hashes, segments, shared_dir, written
+from lodestone.llm.shared import byte_view, drop_written, load, released, runs, segment_hashes, segments, shared_dir, trim, written
 
 LENGTH = 200
 HEAD = 48
 #: Batches of the query.
 BATCHES = 4
-#: Kinds of blocks at one head that one task compares; heads with more are compared window by window in a shuffle.
+#: Kinds of blocks at one head that one task compares; heads with more are compared by halving, in shuffles.
 KINDS = 1_000
+#: Windows in the stretches that halving starts from: a power of two of at most LENGTH.
+STRETCH = 128
 
 
 def chosen_suffixes(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, head: int = HEAD):
@@ -152,6 +154,7 @@ def _blocks(docs: DataFrame, open_kinds: DataFrame) -> DataFrame:
                 body = data.tobytes() if len(owner) else b""
                 blocks = pa.array([body[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([col["head"], col["kinds"], col["alone"], part.column(0).take(pa.array(owner)), col["start"], col["distance"], blocks], names=["head", "kinds", "alone", "row", "start", "distance", "body"])
+        trim()
 
     return docs.join(asked, "row").select("row", "text", "asked").mapInArrow(cut, "head bigint, kinds bigint, alone boolean, row bigint, start int, distance smallint, body binary")
 
@@ -203,16 +206,67 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = table.to_batches(), table.num_rows
     if size:
         yield spans(pa.Table.from_batches(held))
+    trim()
 
 
-def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block as stretches of STRETCH windows whose first place is a multiple of STRETCH.
+
+    Where the block does not fill a stretch, zeros stand in; ``lo`` and ``hi`` tell
+    where its own bytes are.
+    """
+    names = ["head", "place", "windows", "row", "a", "lo", "hi", "alone", "body"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in batches:
         for s in range(0, batch.num_rows, 2000):
             part = batch.slice(s, 2000)
-            head, alone, row, first, distance = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
-            block, place, value = _windows(part.column(6))
-            columns = [head[block], (place - distance[block]).astype(np.int16), value.view(np.int64), alone[block], row[block], (first[block] + place).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["head", "place", "value", "alone", "row", "a"])
+            out: list[list] = [[] for _ in names]
+            for head, _, alone, row, first, distance, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                begin = LENGTH - distance  # never negative
+                low, high = begin // STRETCH * STRETCH, -(-(begin + len(body) - LENGTH + 1) // STRETCH) * STRETCH
+                filled = bytes(begin - low) + body
+                filled += bytes(high - low + LENGTH - 1 - len(filled))
+                for at in range(0, high - low, STRETCH):
+                    for column, x in zip(out, (head, low + at, STRETCH, row, first - (begin - low) + at, first, first + len(body), alone, filled[at : at + STRETCH + LENGTH - 1]), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+    trim()
+
+
+def _many_kinds(blocks: DataFrame) -> DataFrame:
+    """Spans of repeated windows at heads with very many kinds of blocks, by halving stretches.
+
+    A stretch equal to another at its place is repeated wholly. If the bytes that
+    all its windows have in common occur once, none is repeated. Else its halves
+    are looked at. One stretch of each kind goes on, so a block leaves a few rows in
+    a round, and rows that many documents share are summed before the shuffle.
+    """
+    now = written(blocks.mapInArrow(_stretches, "head bigint, place int, windows int, row bigint, a int, lo int, hi int, alone boolean, body binary"), "stretches")
+    at = ["head", "place", "windows"]
+    found = None
+    while not now.isEmpty():
+        # what reaches beyond a block's own bytes equals nothing else
+        whole = F.expr(f"a >= lo AND a + windows + {LENGTH - 1} <= hi")
+        named = now.withColumn("all", F.when(whole, F.xxhash64("body")).otherwise(F.xxhash64("body", "row", "lo")))
+        kinds = named.groupBy(*at, "all").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "lo", "hi", "alone", "body")).alias("one"))
+        kinds = written(kinds, "kinds")
+        several = kinds.where("n > 1").select(*at, "all")
+        spans = named.where("alone").join(several, [*at, "all"]).select("row", "a", (F.col("a") + F.col("windows") + LENGTH - 1).alias("b"))
+        spans = written(spans, "spans")
+        found = spans if found is None else found.unionByName(spans)
+        core = F.expr(f"xxhash64(substring(one.body, windows, {LENGTH + 1} - windows))")
+        kinds = kinds.where(f"windows > 1 AND one.a + windows - 1 >= one.lo AND one.a + {LENGTH} <= one.hi")
+        kinds = kinds.select(*at, "one.row", "one.a", "one.lo", "one.hi", (F.col("one.alone") & (F.col("n") == 1)).alias("alone"), "one.body", core.alias("core"))
+        mixed = kinds.groupBy(*at, "core").agg(F.count("*").alias("n"), F.max("alone").alias("any")).where("n > 1 AND any").select(*at, "core")
+        half = F.expr("windows div 2").cast("int")
+        cut = lambda skip: F.expr(f"substring(body, {skip} + 1, windows div 2 + {LENGTH - 1})")
+        halves = F.array(
+            F.struct(F.col("place").alias("place"), F.col("a").alias("a"), cut("0").alias("body")),
+            F.struct((F.col("place") + half).alias("place"), (F.col("a") + half).alias("a"), cut("windows div 2").alias("body")),
+        )
+        going = kinds.join(mixed, [*at, "core"]).select("head", half.alias("windows"), "row", "lo", "hi", "alone", F.explode(halves).alias("h"))
+        now = written(going.select("head", "h.place", "windows", "row", "h.a", "lo", "hi", "alone", "h.body"), "stretches")
+    return found
 
 
 def repeated_spans(docs: DataFrame, family: SuffixFamily) -> DataFrame:
@@ -228,12 +282,10 @@ def repeated_spans(docs: DataFrame, family: SuffixFamily) -> DataFrame:
     blocks = written(_blocks(docs, open_kinds), "blocks")
     few = blocks.where(F.col("kinds") <= KINDS).repartition("head").sortWithinPartitions("head")
     parts = few.mapInArrow(_compare, "row bigint, a int, b int")
-    each = blocks.where(F.col("kinds") > KINDS).mapInArrow(_each_window, "head bigint, place smallint, value bigint, alone boolean, row bigint, a int")
-    each = written(each, "windows")
-    same = ["head", "place", "value"]
-    twice = each.groupBy(*same).count().where("count > 1").select(*same)
-    singles = each.where("alone").join(twice, same).select("row", "a", (F.col("a") + LENGTH).alias("b"))
-    return written(whole.unionByName(parts).unionByName(singles), "spans")
+    many = blocks.where(F.col("kinds") > KINDS)
+    if not many.isEmpty():
+        parts = parts.unionByName(_many_kinds(many))
+    return written(whole.unionByName(parts), "spans")
 
 
 def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -277,6 +329,7 @@ def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
                     gone.append(int(cut.sum()))
                     count.append(len(segments(cut, np.array([0, len(cut)]))[0]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), pa.array(total), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        trim()
 
     joined = keyed.join(per_row, "row", "left").select(F.col("doc_id").cast("bigint"), "text", "spans")
     return joined.mapInArrow(apply, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
