@@ -185,16 +185,16 @@ def expand(seeds: DataFrame, edges: DataFrame, *, max_hops: int = 2, max_neighbo
     none = F.lit(None)
     start = seeds.select("query_id", "node").distinct()
     frontier = start.select("query_id", "node", F.lit(1.0).alias("score"), none.cast("double").alias("pred_score"), F.lit(0).alias("depth"), none.cast("int").alias("pred_depth"), none.cast("string").alias("pred_id"), F.array("node").alias("path"), none.cast("int").alias("edge_rank"))
+    order = [F.desc("score"), F.desc("pred_score"), F.asc("pred_depth"), F.asc("pred_id"), F.asc("path"), F.asc("edge_rank")]
+    first = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(*order)) == 1
     settled = None
     while True:
-        frontier = written(frontier, "frontier")
-        if frontier.isEmpty():
-            break
         best = frontier.groupBy("query_id").agg(F.max("score").alias("top"))
-        order = [F.desc("score"), F.desc("pred_score"), F.asc("pred_depth"), F.asc("pred_id"), F.asc("path"), F.asc("edge_rank")]
-        first = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(*order))
-        final = frontier.join(best, "query_id").where(F.col("score") > DECAY * F.col("top")).drop("top").withColumn("r", first).where("r = 1").drop("r")
-        final = written(final, "settled")
+        labels = frontier.withColumn("first", first).join(best, "query_id")
+        labels = written(labels.withColumn("final", F.col("first") & (F.col("score") > DECAY * F.col("top"))).drop("first", "top"), "labels")
+        if labels.isEmpty():
+            break
+        final = labels.where("final").drop("final")
         settled = final if settled is None else settled.unionByName(final)
         depth = F.col("depth") + F.when(F.col("type").isin(*FREE), 0).otherwise(1)
         step = final.join(near, "node").select(
@@ -209,7 +209,7 @@ def expand(seeds: DataFrame, edges: DataFrame, *, max_hops: int = 2, max_neighbo
             F.col("near_rank").alias("edge_rank"),
         )
         step = step.where((F.col("depth") <= max_hops) & (F.col("score") > min_score))
-        frontier = frontier.unionByName(step).join(settled.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        frontier = labels.where("NOT final").drop("final").unionByName(step).join(settled.select("query_id", "node"), ["query_id", "node"], "left_anti")
     dropped(near)
     return settled.select("query_id", "node", "score", "depth", "path") if settled is not None else start.select("query_id", "node", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.array("node").alias("path"))
 
