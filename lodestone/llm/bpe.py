@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import load
+from lodestone.llm.shared import load, trim
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Scripts where all Unicode versions in use agree on letters, numbers and spaces.
@@ -31,7 +31,9 @@ LATIN = re.compile(r"[\x00-ɏ]*")
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words in each of the two generations that a worker keeps between batches.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
+#: Pairs of tokens whose test a worker keeps.
+KEPT_PAIRS = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -188,6 +190,8 @@ class PrefixEncoder:
                     need.update(p)
         if len(self.words) > KEPT_WORDS:
             self.older, self.words = self.words, {}
+        if len(self.apart) > KEPT_PAIRS:
+            self.apart.clear()
         words, older = self.words, self.older
         need.difference_update(words)
         for w in need & older.keys():
@@ -227,6 +231,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "id
                 part = batch.slice(at, rows)
                 coded = enc.encode(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(coded, pa.binary())], names=[*keep, ids])
+        trim()
 
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = chosen.drop("__text").schema.add(ids, "binary")
@@ -245,6 +250,7 @@ def bpe_decode(coded: DataFrame, path: str, *, ids: str = "ids", text: str = "de
                 part = batch.slice(s, 256)
                 decoded = [None if x is None else enc.decode(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.string())], names=[*keep, text])
+        trim()
 
     return coded.select(*keep).mapInArrow(run, coded.select(*keep).schema.add(text, "string"))
 

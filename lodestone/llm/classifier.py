@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import LOWER, NOT_SPACE, WORDLIKE, load, mixed, runs, segment_hashes, segments, table_of
+from lodestone.llm.shared import LOWER, NOT_SPACE, WORDLIKE, load, mixed, runs, segment_hashes, segments, table_of, trim
 
 #: Slots of the hashed features.
 SIZE = 1 << 18
 #: Labelled texts that training uses at most, chosen by a hash of the id; all if fewer.
-SAMPLE = 6_000
+SAMPLE = 3_000
 EPOCHS = 3
 
 _CAPITALS = table_of((0x41, 0x5A))
@@ -99,7 +99,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, label: str, sample: int
     for k, (i, y) in enumerate(zip(table.column("id").to_pylist(), table.column("label").to_pylist(), strict=True)):
         if i not in seen:
             seen.add(i)
-            out.append((slots[k].values.to_numpy(zero_copy_only=False).astype(np.int64), values[k].values.to_numpy(zero_copy_only=False).astype(np.float64), int(y)))
+            out.append((slots[k].values.to_numpy(), values[k].values.to_numpy(), int(y)))  # views, not copies
     return out
 
 
@@ -110,7 +110,9 @@ def held_out(doc_id="doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights learnt from labelled rows that are not held out."""
-    return train(labelled_rows(docs, labels.where(~held_out()), label=label, sample=sample))
+    weights = train(labelled_rows(docs, labels.where(~held_out()), label=label, sample=sample))
+    trim()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", out: str = "score") -> DataFrame:
