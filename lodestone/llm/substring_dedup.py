@@ -33,8 +33,8 @@ LENGTH = 200
 HEAD = 48
 #: Batches of the query.
 BATCHES = 4
-#: Kinds of blocks at one head that one task compares; heads with more are compared by halving, in shuffles.
-KINDS = 1_000
+#: Kinds of blocks at one head that one task compares (about a megabyte); heads with more are compared by halving, in shuffles.
+KINDS = 4_000
 #: Windows in the stretches that halving starts from: a power of two of at most LENGTH.
 STRETCH = 128
 
