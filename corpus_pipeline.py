@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import bpe_decode, bpe_encode, tokenizer_path
+from lodestone.llm.bpe import bpe_encode, tokenizer_path
 from lodestone.llm.classifier import fit, score
 from lodestone.llm.decontam import find_contamination, flagged
 from lodestone.llm.line_dedup import document_keys, drop_repeated_lines
@@ -72,7 +72,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of each document, packed as little-endian unsigned 32-bit integers, checked by decoding."""
     text_batches(spark)
     path = tokenizer_path()
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, keep=["doc_id", "text"]), path)
+    coded = bpe_encode(docs, path, keep=["doc_id", "text"], decoded="decoded")
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -216,13 +216,16 @@ def encoder(path: str) -> PrefixEncoder:
     return _encoders[path]
 
 
-def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", keep: list[str] | None = None, rows: int = 256) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None, rows: int = 256) -> DataFrame:
     """Columns ``keep`` (default: all) and ``ids``, each text's token ids as packed binary.
 
+    With ``decoded`` also a column of that name with the ids decoded, in the same pass.
+
     Null counts as empty and gives no ids; rows are independent, so repeated rows
     and ids do no harm. ``rows`` texts share a trie.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != ids]
+    more = [decoded] if decoded else []
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in (ids, *more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -230,11 +233,16 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "id
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 coded = enc.encode(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(coded, pa.binary())], names=[*keep, ids])
+                columns = [pa.array(coded, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([enc.decode(x) for x in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, ids, *more])
         trim()
 
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = chosen.drop("__text").schema.add(ids, "binary")
+    for name in more:
+        schema = schema.add(name, "string")
     return chosen.mapInArrow(run, schema)
 
 
@@ -264,7 +272,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
     docs = load(spark, sf_dir, "documents")
-    both = bpe_decode(bpe_encode(docs, path, keep=["doc_id"]), path)
+    both = bpe_encode(docs, path, keep=["doc_id"], decoded="decoded")
     return both.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -122,6 +122,8 @@ def test_bpe_equals_the_library(spark):
     for r in out:
         assert list(memoryview(bytes(r.ids)).cast("I")) == want[r.doc_id]
         assert r.decoded == library.decode(want[r.doc_id], skip_special_tokens=False)
+    once = bpe.bpe_encode(frame(spark, rows), path, keep=["doc_id"], decoded="text").collect()
+    assert {r.doc_id: (r.ids, r.text) for r in once} == {r.doc_id: (r.ids, r.decoded) for r in out}
     assert bpe.bpe_encode(empty(spark), path).count() == 0
 
 
