@@ -303,9 +303,9 @@ def structure_edges(spark, d):
 # ---- a weighted graph of suppliers, nations, regions and customers -----------------------------
 
 
-def _network(spark, d):
-    """Edges supplier-nation, nation-region and customer-nation (customers below 300), with mixed types."""
-    s, n, c = table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "customer").where("c_custkey < 300")
+def _whole_network(spark, d):
+    """Edges supplier-nation, nation-region and customer-nation of all rows, with mixed types."""
+    s, n, c = table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "customer")
     edge = lambda df, a, b, kind, w: df.select(F.concat(F.lit(kind[0]), a, F.lit("-"), b).alias("id"), a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("type"), w.cast("double").alias("weight"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return (
@@ -315,6 +315,11 @@ def _network(spark, d):
     )
 
 
+def _network(spark, d):
+    """What ``NETWORK`` says: the whole network without the customers from 300 on. Queries ``*_whole`` read all of it."""
+    return _whole_network(spark, d).where("type <> 'MENTIONS' OR cast(substring(source_id, 2) as bigint) < 300")
+
+
 NETWORK = """
 edges AS (
   SELECT 'LS' || s_suppkey || '-N' || s_nationkey AS id, 'S' || s_suppkey AS source_id, 'N' || s_nationkey AS target_id, 'LINKS_TO' AS type, ((s_suppkey % 5) + 5) / 10 AS weight FROM supplier
@@ -323,6 +328,7 @@ edges AS (
 ), near AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, edge_id) AS edge_rank FROM (
     SELECT source_id AS node, target_id AS neighbor, id AS edge_id, type, weight FROM edges UNION ALL SELECT target_id, source_id, id, type, weight FROM edges)) WHERE edge_rank <= {most})"""
+WHOLE_NETWORK = NETWORK.replace(" WHERE c_custkey < 300", "")
 
 
 @query(f"WITH {NETWORK.format(most=10)} SELECT node, neighbor, edge_id, type, weight, edge_rank FROM near")
@@ -330,6 +336,11 @@ def neighbor_cap(spark, d):
     return G.adjacency(_network(spark, d), 10).drop("forward")
 
 
+@query(f"WITH {WHOLE_NETWORK.format(most=10)} SELECT node, neighbor, edge_id, type, weight, edge_rank FROM near")
+def neighbor_cap_whole(spark, d):
+    return G.adjacency(_whole_network(spark, d), 10).drop("forward")
+
+
 @query(
     f"""WITH {NETWORK.format(most=30)}, one AS (SELECT node AS query, neighbor, weight * 0.85 AS score FROM near WHERE node LIKE 'S%' AND substr(node, 2)::INT % 5 = 0
     ), n AS (SELECT o.query AS query_id, o.neighbor AS node, o.score FROM one o)
@@ -344,7 +355,7 @@ def one_hop(spark, d):
 
 @query()
 def expand_two_hop(spark, d):
-    edges = _network(spark, d)
+    edges = _whole_network(spark, d)
     seeds = edges.where("type = 'LINKS_TO'").select(F.col("source_id").alias("query_id"), F.col("source_id").alias("node")).where(F.pmod(F.substring("node", 2, 9).cast("int"), F.lit(5)) == 0)
     return G.expand(seeds, edges, max_hops=2, max_neighbors=30)
 
@@ -403,6 +414,11 @@ def gephi_edge_table(spark, d):
     return gephi_edges(_network(spark, d).withColumns({"evidence_source": F.lit(""), "evidence_anchor": F.lit("")}))
 
 
+@query(f"WITH {WHOLE_NETWORK.format(most=30)} SELECT source_id AS \"Source\", target_id AS \"Target\", 'Directed' AS \"Type\", type AS \"Label\", weight AS \"Weight\", '' AS \"EvidenceSource\", '' AS \"EvidenceAnchor\" FROM edges")
+def gephi_edge_table_whole(spark, d):
+    return gephi_edges(_whole_network(spark, d).withColumns({"evidence_source": F.lit(""), "evidence_anchor": F.lit("")}))
+
+
 # ---- fusion ------------------------------------------------------------------------------
 
 _G = "(query_id + substr(source, 2)::INT) % 4 = 0"
@@ -760,6 +776,15 @@ def replaced_sources(spark, d):
     return G.replaced_source(edges, new).select("id")
 
 
+@query(
+    f"""WITH {WHOLE_NETWORK.format(most=30)} SELECT id FROM edges WHERE type <> 'LINKS_TO' AND NOT (type = 'MENTIONS' AND target_id IN ('N1', 'N2')) UNION ALL SELECT 'new-' || t FROM (VALUES ('N1'), ('N2')) v(t) UNION ALL SELECT id FROM edges WHERE type = 'LINKS_TO' AND target_id NOT IN ('N1', 'N2')"""
+)
+def replaced_sources_whole(spark, d):
+    edges = _whole_network(spark, d).select("id", F.col("target_id").alias("evidence_source"))
+    new = spark.createDataFrame([("new-N1", "N1"), ("new-N2", "N2")], "id string, evidence_source string")
+    return G.replaced_source(edges, new).select("id")
+
+
 @query(
     f"""WITH {NETWORK.format(most=30)} SELECT node, neighbor, edge_id, edge_rank, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, edge_id) AS r FROM near) JOIN nation ON neighbor = 'N' || n_nationkey WHERE node IN ('R0', 'R3')"""
 )
