@@ -26,15 +26,19 @@ def components(edges: DataFrame, nodes: DataFrame, *, rounds: int = 60) -> DataF
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return nodes.select("node").distinct().join(now.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def moved(edges: DataFrame, labels: DataFrame, seed: int, part: int) -> DataFrame:
     """One round of local moving: half of the nodes go to the neighbouring community with the best modularity gain.
 
-    Moving a seeded half at a time keeps two nodes from changing places for ever.
-    ``edges`` has both directions (``a``, ``b``, ``w``); ``labels`` has ``node, community, scope``:
-    only communities of the same scope are open.
+    Moving a seeded half at a time, and a smaller share after every 24 rounds, keeps
+    nodes from changing places for ever. ``edges`` has both directions (``a``, ``b``,
+    ``w``); ``labels`` has ``node, community, scope``: only communities of the same
+    scope are open. ``better`` tells of each node whether another community was better
+    before the round.
     """
     total = edges.agg(F.sum("w")).first()[0] or 1.0
     strength = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
@@ -49,29 +53,31 @@ def moved(edges: DataFrame, labels: DataFrame, seed: int, part: int) -> DataFram
     gain = gain.withColumn("gain", F.round(F.col("links") - F.col("k") * rest / F.lit(total), 9))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("to") == F.col("community")), F.asc("to")))
     chosen = gain.withColumn("r", best).where("r = 1")
-    turn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(part // 2)), F.lit(2)) == part % 2
-    return chosen.select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "scope")
+    shares = 2 << part // 24
+    turn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(part // shares)), F.lit(shares)) == part % shares
+    return chosen.select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "scope", (F.col("to") != F.col("community")).alias("better"))
 
 
 def _level(edges: DataFrame, labels: DataFrame, seed: int, rounds: int) -> DataFrame:
     for part in range(rounds):
-        after = written(moved(edges, labels, seed, part), "communities")
-        same = after.join(labels.select("node", F.col("community").alias("old")), "node").where("community <> old").isEmpty()
-        labels = after
-        if same and part % 2:
+        labels = written(moved(edges, labels, seed, part), "communities")
+        if labels.where("better").isEmpty():
             break
+    else:
+        raise RuntimeError(f"communities: nodes still move after {rounds} rounds")
     # a community that is not connected is split into its parts
     inside = edges.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
     parts = components(inside.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")), labels)
     return parts.join(labels.select("node", "scope"), "node").select("node", F.col("component").alias("community"), "scope")
 
 
-def hierarchy(edges: DataFrame, nodes: DataFrame, *, max_size: int = 100, seed: int = 42, levels: int = 4, rounds: int = 12) -> DataFrame:
+def hierarchy(edges: DataFrame, nodes: DataFrame, *, max_size: int = 100, seed: int = 42, levels: int = 60, rounds: int = 120) -> DataFrame:
     """(``level``, ``community``, ``parent``, ``node``): connected communities, the large ones split again.
 
     Level 0 clusters the whole network by modularity; a community of more than
     ``max_size`` nodes is clustered again inside itself on the next level, until it
-    does not split further. Isolated nodes are communities of their own on level
+    does not split further. On each level nodes move until no move gains; what has not
+    settled after ``rounds`` rounds or ``levels`` levels is an error. Isolated nodes are communities of their own on level
     0. Everything is joins and sums: no component has to fit into one task. A
     community is named by its least node.
     """
@@ -90,6 +96,8 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, *, max_size: int = 100, seed:
         labels = written(inner.join(whole, "scope", "left_anti").select("node", F.col("c").alias("community"), "scope"), "labels")
         if labels.isEmpty():
             break
+    else:
+        raise RuntimeError(f"hierarchy: communities of more than {max_size} nodes still split after {levels} levels")
     return out
 
 

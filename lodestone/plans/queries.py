@@ -578,10 +578,10 @@ def community_components(spark, d):
 
 @query()
 def community_hierarchy(spark, d):
-    s, n = table(spark, d, "supplier").where("s_suppkey < 200"), table(spark, d, "nation")
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.concat(F.lit("n"), "s_nationkey").alias("target_id"), F.lit(2.0).alias("strength")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("source_id"), F.concat(F.lit("r"), "n_regionkey").alias("target_id"), F.lit(1.0).alias("strength")))
     nodes = edges.select(F.col("source_id").alias("node")).unionByName(edges.select(F.col("target_id").alias("node"))).distinct()
-    return Q.hierarchy(edges, nodes, max_size=40, levels=2, rounds=6)
+    return Q.hierarchy(edges, nodes)
 
 
 @query(
