@@ -40,10 +40,10 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that have no end tag of their own accord: a new one of the group ends an open one.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class, id or role that mark template text.
+#: Whole words of class, id or role that mark template text. A heading's id is its anchor and marks nothing.
 LABELS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|side|widget|menu|nav\w*|breadcrumbs?"
-    r"|footer|masthead|site-header|page-header|topbar|header|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?:$|[\s_-])",
+    r"(?:^|\s)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|side|widget|menu|nav\w*|breadcrumbs?"
+    r"|footer|masthead|site-header|page-header|topbar|header|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?:$|\s)",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(
@@ -51,10 +51,14 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_MARKS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_HEADING_MARKS = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _HEADING = re.compile(r"[\w-]*header[\w-]*", re.IGNORECASE)  # an article's own header holds its headline
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OPEN, KEPT, LOST = 0, 1, 2
+#: Lost like LOST while the page is read, but main elements in a form, and ``main`` in a labelled element, are main text.
+FORM, LABELLED = 3, 4
 
 
 def page_blocks(page: str | None) -> list[tuple[int, str]]:
@@ -75,7 +79,7 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(words)).split())
             words.clear()
             if text:
-                out.append((state, text))
+                out.append((min(state, LOST), text))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -106,13 +110,19 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
             if name == "body":
                 stack.clear()
             inside = stack[-1][1] if stack else OPEN
-            marks = " ".join(a or b or c for a, b, c in _MARKS.findall(m["rest"])) if "=" in m["rest"] else ""
+            found = _HEADING_MARKS if name in HEADINGS else _MARKS
+            marks = " ".join(a or b or c for a, b, c in found.findall(m["rest"])) if "=" in m["rest"] else ""
             if inside == KEPT:
                 marks = _HEADING.sub("", marks)
             if inside != LOST:
-                if name in DROPPED or name == "header" and inside != KEPT or _HIDDEN.search(m["rest"]) or marks and name not in ("html", "body", *MAIN) and LABELS.search(marks):
+                wraps = name == "form" and inside != KEPT
+                if name in DROPPED and not wraps or name == "header" and inside != KEPT or _HIDDEN.search(m["rest"]):
                     inside = LOST
-                elif name in MAIN:
+                elif marks and name not in ("html", "body", *MAIN) and LABELS.search(marks):
+                    inside = LOST if inside == KEPT else LABELLED
+                elif wraps:
+                    inside = FORM if inside == OPEN else inside
+                elif name in MAIN and (inside != LABELLED or name == "main"):
                     inside = KEPT
             stack.append((name, inside))
         state = stack[-1][1] if stack else OPEN
