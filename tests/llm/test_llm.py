@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -336,14 +337,17 @@ def test_shared_blocks_are_a_longest_common_subsequence():
         assert s.sum() == t[-1, -1] and all(x in rest for x in a[s].tolist())
 
 
-def test_neighbours_do_not_hang_on_ranges(spark):
-    rows = [(f"h{k % 3 // 2}", f"/{k:03d}", k, 100 + k) for k in range(60)]
-    df = spark.createDataFrame(rows, "host string, path string, page_id bigint, key bigint")
-    got = {r.key: r.near for r in html_text.neighbours(df.repartition(7)).collect()}
+def test_neighbours_are_the_nearest_urls_and_do_not_hang_on_ranges(spark):
+    rng = random.Random(8)
+    rows = [(f"h{k % 3 // 2}", "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 9))), k, 100 + k, 200 + k) for k in range(60)]
+    df = spark.createDataFrame(rows, "host string, path string, page_id bigint, key bigint, digest bigint")
+    got = {r.digest: r.near for r in html_text.neighbours(df.repartition(7)).collect()}
     want = {}
     for h in ("h0", "h1"):
-        keys = [k for *_, k in sorted(r for r in rows if r[0] == h)]
-        want |= dict(zip(keys[1:], keys, strict=False)) | {keys[0]: keys[1]}
+        own = sorted(r for r in rows if r[0] == h)
+        for i, r in enumerate(own):
+            beside = [own[j] for j in (i - 1, i + 1) if 0 <= j < len(own)]
+            want[r[-1]] = max(beside, key=lambda o: len(os.path.commonprefix([r[1], o[1]])))[-1]
     assert got == want
 
 
