@@ -11,6 +11,7 @@ their spans.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -23,8 +24,6 @@ from lodestone.llm.shared import load
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>", "<|\\"
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Longer conversations are rendered in windows of so many turns, and the pieces checked against one whole rendering.
-PREFIX_TURNS = 64
 
 
 def escape(text: str) -> str:
@@ -50,38 +49,46 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join([f"{START}{escape_line(role)}\n{escape(text)}{END}\n" for role, text in turns])
 
 
-def locate(turns: list[Turn], template: Template, window: int = PREFIX_TURNS) -> tuple[str, list[tuple[int, int]] | None]:
+def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]] | None]:
     """The whole output and each turn's span in it; None for spans if history is rewritten.
 
-    Up to ``window`` turns every prefix is rendered whole. Beyond, a turn's addition
-    is found among the last ``window`` turns; the additions, put together, must equal
-    one rendering of the whole, else all prefixes are rendered after all.
+    Every prefix is rendered whole and compared with the one before, so a template
+    that rewrites history at one length only is found too. The time grows with the
+    square of the number of turns.
     """
-    whole = template(turns)
-    if len(turns) > window:
-        pieces = []
-        for first in range(0, len(turns), window // 2):
-            part = turns[max(0, first - window // 2) : first + window // 2]
-            skip = first - max(0, first - window // 2)
-            before = template(part[:skip]) if skip else ""
-            for k in range(skip, len(part)):
-                after = template(part[: k + 1])
-                pieces.append(after[len(before) :] if after.startswith(before) else None)
-                before = after
-        if None not in pieces and "".join(pieces) == whole:
-            spans, at = [], 0
-            for p in pieces:
-                spans.append((at, at + len(p)))
-                at += len(p)
-            return whole, spans
     before, spans = "", []
     for k in range(1, len(turns) + 1):
-        after = template(turns[:k]) if k < len(turns) else whole
+        after = template(turns[:k])
         if not after.startswith(before):
-            return whole, None
+            return template(turns), None
         spans.append((len(before), len(after)))
         before = after
-    return whole, spans
+    return before, spans
+
+
+def locate_in_windows(turns: list[Turn], template: Template, window: int) -> tuple[str, list[tuple[int, int]] | None]:
+    """Like :func:`locate`, in time that grows with the number of turns: prefixes of more than ``window`` turns are not rendered.
+
+    A turn's addition is found among the last ``window`` turns, and the additions, put
+    together, must equal one rendering of the whole; else all prefixes are rendered
+    after all. A template that rewrites history only at lengths between the two can
+    go unseen.
+    """
+    whole = template(turns)
+    pieces = []
+    half = max(1, window // 2)
+    for first in range(0, len(turns), half):
+        begin = max(0, first - half)
+        part = turns[begin : first + half]
+        before = template(part[: first - begin]) if first > begin else ""
+        for k in range(first - begin, len(part)):
+            after = template(part[: k + 1])
+            pieces.append(after[len(before) :] if after.startswith(before) else None)
+            before = after
+    if None in pieces or "".join(pieces) != whole:
+        return locate(turns, template)
+    ends = list(itertools.accumulate(map(len, pieces)))
+    return whole, list(zip([0, *ends], ends, strict=False))
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
@@ -98,8 +105,8 @@ def read_back(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[Turn],
     return turns, mask
 
 
-def format_conversations(rows: DataFrame, template: Template = marked_turns, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: ``conv_id``, ``n_turns``, ``formatted``, ``starts``, ``ends``, ``rewrites``.
+def format_conversations(rows: DataFrame, template: Template = marked_turns, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", window: int | None = None) -> DataFrame:
+    """One row per conversation: ``conv_id``, ``n_turns``, ``formatted``, ``starts``, ``ends``, ``rewrites``, ``checked``.
 
     Turns come in the order of ``turn``; equal or null turns (nulls first) in the
     order of role and text, so that the result does not hang on the input's order.
@@ -107,6 +114,10 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, *,
     with a null id. ``starts`` and ``ends`` are code-point spans of the turns, null
     if the template rewrites history. A conversation is one output string, so one
     task holds it; conversations are dealt out by id.
+
+    All prefixes are rendered and compared. A caller with conversations of very many
+    turns, and a template that is known to append only, can give a ``window`` instead
+    (:func:`locate_in_windows`); ``checked`` is then false for longer conversations.
     """
     part = rows.select(
         F.col(conv_id).cast("bigint").alias("conv_id"),
@@ -117,12 +128,13 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, *,
     part = part.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def finished(key, turns):
-        whole, spans = locate(turns, template)
+        every = window is None or len(turns) <= window
+        whole, spans = locate(turns, template) if every else locate_in_windows(turns, template, window)
         ok = spans is not None
-        return (key, len(turns), whole, [s for s, _ in spans] if ok else None, [e for _, e in spans] if ok else None, not ok)
+        return (key, len(turns), whole, [s for s, _ in spans] if ok else None, [e for _, e in spans] if ok else None, not ok, every or not ok)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "formatted", "starts", "ends", "rewrites"]
+        names = ["conv_id", "n_turns", "formatted", "starts", "ends", "rewrites", "checked"]
         key, turns, out, size = None, [], [], 0
 
         def frame():
@@ -147,16 +159,22 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, *,
         if out:
             yield frame()
 
-    return part.mapInPandas(run, "conv_id bigint, n_turns bigint, formatted string, starts array<int>, ends array<int>, rewrites boolean")
+    return part.mapInPandas(run, "conv_id bigint, n_turns bigint, formatted string, starts array<int>, ends array<int>, rewrites boolean, checked boolean")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Read turns and loss mask back from the outputs of :func:`marked_turns` and hash them."""
+    """Read turns and loss mask back from the outputs of :func:`marked_turns` and hash them.
+
+    Without spans (``rewrites``) nothing can be read back: hashes and ``loss_chars`` are null.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for n, text, starts, ends in zip(f["n_turns"], f["formatted"], f["starts"], f["ends"], strict=True):
+                if starts is None:
+                    out.append((None, None, None, len(text)))
+                    continue
                 turns, mask = read_back(text, list(zip(starts, ends, strict=True)))
                 assert len(turns) == n
                 every = "".join([f"{r}\n{t}\n" for r, t in turns])
@@ -165,7 +183,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             part = pd.DataFrame(out, columns=["turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
             part.insert(0, "n_turns", f["n_turns"].to_numpy())
             part.insert(0, "conv_id", f["conv_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield part.astype({"conv_id": "Int64"})
+            yield part.astype({"conv_id": "Int64", "loss_chars": "Int64"})
 
     return formatted.mapInPandas(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
@@ -189,6 +207,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(12 + length(replace(role, '<|', '<|\')) + 1 + length(replace(text, '<|', '<|\')) + 11)::BIGINT AS formatted_chars
+       sum(12 + length(replace(replace(role, '<|', '<|\'), chr(10), '<|n')) + 1 + length(replace(text, '<|', '<|\')) + 11)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """

@@ -100,10 +100,25 @@ def test_chat_rewriting_template_is_found():
     rewrites = lambda ts: f"{len(ts)} turns\n" + "".join(t for _, t in ts)
     assert chat.locate(turns, rewrites)[1] is None
     many = [("user" if k % 2 else "assistant", str(k)) for k in range(200)]
-    whole, spans = chat.locate(many, chat.marked_turns, window=16)
-    assert spans == chat.locate(many, chat.marked_turns, window=1000)[1] and spans[-1][1] == len(whole)
+    whole, spans = chat.locate_in_windows(many, chat.marked_turns, 16)
+    assert (whole, spans) == chat.locate(many, chat.marked_turns) and spans[-1][1] == len(whole)
     last_only = lambda ts: "".join(t for _, t in ts[-100:])
-    assert chat.locate(many, last_only, window=16)[1] is None  # not seen in a window, but in the whole
+    assert chat.locate_in_windows(many, last_only, 16)[1] is None  # not seen in a window, but in the whole
+
+
+def test_chat_rewriting_at_one_length_only_is_found(spark):
+    def template(turns):
+        text = chat.marked_turns(turns)
+        return text.upper() if len(turns) == 90 else text
+
+    rows = [(c, k, "user" if k % 2 else "assistant", f"turn {k}") for c, n in ((1, 150), (2, 80)) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_conversations(df, template)
+    assert {r.conv_id: (r.rewrites, r.checked) for r in out.collect()} == {1: (True, True), 2: (False, True)}
+    got = {r.conv_id: r for r in chat.digests(out).collect()}
+    assert got[1].turns_sha256 is None and got[1].loss_chars is None and got[1].formatted_chars > 0 and got[2].n_turns == 80 and got[2].loss_chars > 0
+    unseen = chat.format_conversations(df, template, window=16)
+    assert {r.conv_id: (r.rewrites, r.checked) for r in unseen.collect()} == {1: (False, False), 2: (False, False)}
 
 
 # ---- 3 ------------------------------------------------------------------------------------
