@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.session import written
 
 KS = (1, 3, 5, 10, 20)
 
@@ -57,15 +58,15 @@ def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
     """Rows numbered from 1 over the whole table, without one task for all rows.
 
     Rows are dealt out in ranges of the order; a range's first number comes from
-    the counts of the ranges before it.
+    the counts of the ranges before it. The ranges are written out first, so that
+    counts and numbers see the same ones. Rows with equal ``order`` are numbered in any order.
     """
-    split = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    split = split.withColumn("__within", within)
+    split = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     counts = split.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     starts = counts.select("__range", before.alias("__before"))
-    return split.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return split.withColumn("__within", within).join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
 
 
 def corpus_of(passages: DataFrame, *, prefix: str = "corpus") -> DataFrame:

@@ -5,6 +5,8 @@ import json
 import tarfile
 import zipfile
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,11 +43,37 @@ def test_texts(spark):
 
 
 def test_windows():
-    text = "word " * 100
-    parts = C.windows_of(text, 80, 10)
-    assert all(len(p) <= 80 for p in parts) and all(p.endswith(" ") for p in parts)
-    assert C.windows_of("x" * 250, 100, 20) == ["x" * 100, "x" * 100, "x" * 90]
-    assert C.windows_of("", 10, 2) == []
+    assert C.window_spans("word " * 100, 80, 10)[:2] == [(0, 80), (70, 150)]
+    assert C.window_spans("x" * 250, 100, 20) == [(0, 100), (80, 180), (160, 250)]
+    assert C.window_spans("", 10, 2) == []
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice("ab \n.。xxxx") for _ in range(rng.randint(1, 80)))
+        size = rng.randint(1, 20)
+        overlap = rng.randrange(size)
+        spans = C.window_spans(text, size, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text)
+        for (a, b), (c, _) in zip(spans, spans[1:], strict=False):
+            # the cut is behind the last stop of the second half, or the window is full
+            stops = [e for e in range(a + max(1, size // 2) + 1, a + size + 1) if text[e - 1] in "\n。. "]
+            assert b == max(stops, default=a + size) and c == max(a + 1, b - overlap)
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbers_over_many_ranges(spark, coalesce):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        df = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"), F.repeat(F.lit("x"), 50).alias("more"))
+        out = M.numbered(df, F.col("text"))
+        line = out.agg(F.countDistinct("position").alias("n"), F.min("position").alias("a"), F.max("position").alias("b")).first()
+        assert tuple(line) == (200_000, 1, 200_000)
+        firsts = [r.text for r in out.orderBy("position").limit(5).collect()]
+        assert firsts == [r.text for r in df.orderBy("text").limit(5).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 def test_chunks(spark):
