@@ -14,7 +14,7 @@ from lodestone.llm.bpe import bpe_encode, tokenizer_path
 from lodestone.llm.classifier import fit, score
 from lodestone.llm.decontam import find_contamination, flagged
 from lodestone.llm.line_dedup import document_keys, drop_repeated_lines
-from lodestone.llm.shared import load, text_batches, written
+from lodestone.llm.shared import load, plain_names, text_batches, written
 from lodestone.llm.simhash import simhash_groups
 
 #: Documents that score lower go.
@@ -25,7 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drop documents that the quality classifier rejects."""
     text_batches(spark)
     weights = fit(docs, load(spark, sf_dir, "labels"))
-    return score(docs, weights, out="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    plain = plain_names(docs)
+    text = plain.columns[docs.columns.index("text")]
+    return score(plain, weights, text=text).where(F.col("score") >= LEAST_QUALITY).drop("score").toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +64,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the contamination rule finds."""
     text_batches(spark)
-    keyed = document_keys(docs)
-    found = flagged(find_contamination(keyed.select("__key", "text"), load(spark, sf_dir, "benchmark"), doc_id="__key"))
-    bad = written(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
+    plain = plain_names(docs)
+    names = dict(zip(docs.columns, plain.columns, strict=True))
+    keyed = plain.select("*", *document_keys(names["doc_id"], names["text"]))
+    found = flagged(find_contamination(keyed, load(spark, sf_dir, "benchmark"), doc_id="d", doc_key="key", text=names["text"]))
+    bad = written(found.where("contaminated").select(F.col("doc_id").alias("d"), F.col("doc_key").alias("key")).distinct(), "contaminated")
+    return keyed.join(bad, ["d", "key"], "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

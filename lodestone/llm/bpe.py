@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import load, trim
+from lodestone.llm.shared import load, plain_names, trim
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Scripts where all Unicode versions in use agree on letters, numbers and spaces.
@@ -32,8 +32,9 @@ _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\x
 LATIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words in each of the two generations that a worker keeps between batches.
 KEPT_WORDS = 120_000
-#: Pairs of tokens whose test a worker keeps.
+#: Pairs of tokens whose test a worker keeps, and steps between states.
 KEPT_PAIRS = 300_000
+KEPT_STEPS = 1_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -192,6 +193,8 @@ class PrefixEncoder:
             self.older, self.words = self.words, {}
         if len(self.apart) > KEPT_PAIRS:
             self.apart.clear()
+        if len(self.goes) > KEPT_STEPS:
+            self.goes.clear()
         words, older = self.words, self.older
         need.difference_update(words)
         for w in need & older.keys():
@@ -225,7 +228,10 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "id
     and ids do no harm. ``rows`` texts share a trie.
     """
     more = [decoded] if decoded else []
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in (ids, *more)]
+    plain = plain_names(docs)
+    names = dict(zip(docs.columns, plain.columns, strict=True))
+    names_kept = [c for c in (keep if keep is not None else docs.columns) if c not in (ids, *more)]
+    keep = [names[c] for c in names_kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -236,14 +242,15 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "id
                 columns = [pa.array(coded, pa.binary())]
                 if decoded:
                     columns.append(pa.array([enc.decode(x) for x in coded], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, ids, *more])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, "ids", *(["decoded"] if decoded else [])])
         trim()
 
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = chosen.drop("__text").schema.add(ids, "binary")
-    for name in more:
-        schema = schema.add(name, "string")
-    return chosen.mapInArrow(run, schema)
+    chosen = plain.select(*keep, F.col(names[text]).cast("string").alias("text"))
+    schema = chosen.drop("text").schema.add("ids", "binary")
+    if decoded:
+        schema = schema.add("decoded", "string")
+    coded = chosen.mapInArrow(run, schema)
+    return coded.select(*[F.col(c).alias(name) for name, c in zip(names_kept, keep, strict=True)], F.col("ids").alias(ids), *[F.col("decoded").alias(name) for name in more])
 
 
 def bpe_decode(coded: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import LOWER, NOT_SPACE, WORDLIKE, load, mixed, runs, segment_hashes, segments, table_of, trim
+from lodestone.llm.shared import LOWER, NOT_SPACE, WORDLIKE, load, mixed, plain_names, runs, segment_hashes, segments, table_of, trim
 
 #: Slots of the hashed features.
 SIZE = 1 << 18
@@ -79,9 +79,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, label: str, sample: int
     """Features of at most ``sample`` labelled rows, in the order of a hash of their ids.
 
     Only the chosen rows' features reach the driver, at most ``SIZE`` slots each.
-    Rows with a null id or label are left out; of repeated ids one counts.
+    Rows with a null id or label are left out. Of repeated ids the least label counts
+    and the text with the least hash, so that the order of the rows changes nothing.
     """
-    chosen = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["id"])
+    chosen = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("id"), F.lit(9)), "id").limit(sample)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +92,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, label: str, sample: int
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (slots.astype(np.int32), values.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], *lists], names=["id", "label", "slots", "values"])
 
-    joined = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    joined = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    joined = joined.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("id", "label", "one.text")
     table = joined.mapInArrow(featurise, "id bigint, label int, slots array<int>, values array<float>").toArrow()
     table = table.sort_by([("id", "ascending")])
     slots, values = (table.column(c).combine_chunks() for c in ("slots", "values"))
-    seen, out = set(), []
-    for k, (i, y) in enumerate(zip(table.column("id").to_pylist(), table.column("label").to_pylist(), strict=True)):
-        if i not in seen:
-            seen.add(i)
-            out.append((slots[k].values.to_numpy(), values[k].values.to_numpy(), int(y)))  # views, not copies
-    return out
+    return [(slots[k].values.to_numpy(), values[k].values.to_numpy(), int(y)) for k, y in enumerate(table.column("label").to_pylist())]  # views, not copies
 
 
 def held_out(doc_id="doc_id"):
@@ -116,9 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: i
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``out`` (0 to 1). Null and empty texts score by the bias alone."""
+    """All columns of ``docs`` and ``out`` (0 to 1), which replaces one of its name. Null and empty texts score by the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    keep = [c for c in docs.columns if c != out]
+    plain = plain_names(docs)
+    names = dict(zip(docs.columns, plain.columns, strict=True))
+    keep = [c for name, c in names.items() if name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
@@ -128,10 +127,11 @@ def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", out: str
                 slots, values, ends = features(data, offsets)
                 sums = np.concatenate([[0.0], np.cumsum(w[slots] * values)])
                 parts.append(1 / (1 + np.exp(-np.clip(np.diff(sums[ends]) + w[-1], -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], names=[*keep, "score"])
 
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    return chosen.mapInArrow(run, chosen.drop("__text").schema.add(out, "double"))
+    chosen = plain.select(*keep, F.col(names[text]).cast("string").alias("text"))
+    scored = chosen.mapInArrow(run, chosen.drop("text").schema.add("score", "double"))
+    return scored.select(*[F.col(c).alias(name) for name, c in names.items() if name != out], F.col("score").alias(out))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
-"""Line dedup over line sequences by prefix doubling.
-
-Documents are sequences of line ids. Round k of the doubling gives each position a
-name for the 2**k lines that begin there, from two names of the round before;
-positions whose name occurs once are dropped, as nothing else shares those lines.
-Positions of one name are an interval of the suffix array whose common prefix is
-at least 2**k lines long; a run of any other length is two overlapping intervals.
-A line is deleted if it stands in a run of consecutive lines, with at least
-``MIN_WORDS`` words in all, that also begins at an earlier position.
-
-Runs need not be searched at all lengths: every line of such a run stands in the
-shortest sufficient run that begins at the run's first line, or in the shortest
-sufficient run that ends at the line itself. So each line contributes at most two
-runs, and the deletions of these, put together, are exactly those of all runs.
+"""Line dedup: a suffix array over line-id sequences by distributed prefix doubling.
+
+A document is a sequence of line ids. In round k every position has the rank of the
+2**k lines that begin there among all such prefixes that occur twice or more: the
+suffix array sorted to depth 2**k. The ranks of the next round number the pairs of
+the ranks at a position and 2**k lines on, in their order. Positions whose prefix
+occurs once leave the array, as no other suffix shares those lines. The positions
+of one rank are an interval of the array whose longest common prefix has at least
+2**k lines; those of them whose ranks also agree where a prefix of n lines (2**k to
+2**(k+1)) has its last 2**k lines form the interval of common prefix n.
+
+In an interval of n lines, all positions but the first in the corpus are later
+copies of a repeated run. A line is deleted if it stands in a later copy with at
+least ``MIN_WORDS`` words in all. Overlapping copies join to maximal runs. Not all n
+need be looked at: every line of such a run stands in the shortest sufficient run
+that begins at the run's first line, or in the shortest one that ends at the line
+itself. So a line asks for at most two intervals, and as equal lines have equal
+words, all positions of an interval ask for it.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import NOT_SPACE, load, runs, segments, trim, written
+from lodestone.llm.shared import NOT_SPACE, drop_written, join_counted, load, plain_names, runs, segments, trim, written
+from lodestone.operators.metrics import numbered
 
 MIN_WORDS = 50
-_KEY = ["__d", "__key"]
+_KEY = ["d", "key"]
 _AT = [*_KEY, "line"]
 
 
@@ -46,15 +51,17 @@ def sufficient_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     return both[:, 0], both[:, 1]
 
 
-def document_keys(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``__d`` (the id, least for null) and ``__key`` (a hash of the row): rows with equal ones are one document."""
+def document_keys(doc_id: str, text: str) -> list:
+    """Columns ``d`` (the id, least for null) and ``key`` (a hash of the text): rows with equal ones are one document."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))), "__key": F.xxhash64(F.col(doc_id).cast("bigint"), body)})
+    return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(doc_id).isNull(), body).alias("key")]
 
 
-def line_table(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per line of the keyed documents: ``__d``, ``__key``, ``line``, ``name`` and the sufficient runs that begin there."""
-    run_type = pa.list_(pa.struct([("lines", pa.int32()), ("check", pa.int64())]))
+def line_table(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per line of ``docs`` (``d``, ``key``, ``text``): ``d``, ``key``, ``line``, a 128-bit id (``low``, ``high``) and ``runs``.
+
+    ``runs`` has the lengths, in lines, of the sufficient runs that begin at the line.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,103 +69,137 @@ def line_table(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORD
                 body = data.tobytes()
                 word_starts, _ = segments(NOT_SPACE[data], offsets)
                 breaks = np.flatnonzero(data == 0x0A)
-                doc, line, name, lists = [], [], [], []
+                doc, line, ids, lengths, sizes = [], [], [], [], []
                 for r in range(len(offsets) - 1):
                     lo, hi = offsets[r], offsets[r + 1]
                     inner = breaks[np.searchsorted(breaks, lo) : np.searchsorted(breaks, hi)]
                     starts, ends = np.append(lo, inner + 1), np.append(inner, hi)
                     words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
                     first, lines = sufficient_runs(words, min_words)
-                    s, e = starts.tolist(), ends.tolist()
-                    found: list[list] = [[] for _ in s]
-                    for f, n in zip(first.tolist(), lines.tolist(), strict=True):
-                        found[f].append((n, xxhash.xxh64_intdigest(body[s[f] : e[f + n - 1]], 7) - (1 << 63)))
-                    doc += [r + rows.start] * len(s)
-                    line += range(len(s))
-                    name += [xxhash.xxh3_64_intdigest(body[a:b]) - (1 << 63) for a, b in zip(s, e, strict=True)]
-                    lists += [[{"lines": n, "check": c} for n, c in f] for f in found]
-                at = pa.array(doc, pa.int64())
+                    doc.append(np.full(len(starts), r + rows.start))
+                    line.append(np.arange(len(starts)))
+                    ids += [xxhash.xxh3_128_digest(body[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    lengths.append(lines)
+                    sizes.append(np.bincount(first, minlength=len(starts)))
+                at = pa.array(np.concatenate(doc))
+                low, high = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2).T
+                asked = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), pa.array(np.concatenate(lengths), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(name, pa.int64()), pa.array(lists, run_type)],
-                    names=[*_AT, "name", "runs"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(line), pa.int32()), pa.array(low.copy()), pa.array(high.copy()), asked],
+                    names=[*_AT, "low", "high", "runs"],
                 )
 
-    schema = "__d bigint, __key bigint, line int, name bigint, runs array<struct<lines:int,check:bigint>>"
-    return docs.select(*_KEY, F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(*_KEY, "text").mapInArrow(cut, "d bigint, key bigint, line int, low bigint, high bigint, runs array<int>")
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """Rows whose ``name`` occurs more than once."""
-    often = named.groupBy("name").count().where("count > 1").select("name")
-    return named.join(often, "name")
+def _ranks(prefixes: DataFrame, by: list[str]) -> DataFrame:
+    """Ranks (``rank``) and counts (``n``) of the prefixes that occur more than once, in the order of ``by``."""
+    often = prefixes.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    return written(numbered(often, *[F.col(c) for c in by], name="rank"), "numbers")
 
 
-def repeated_runs(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of lines that also begin earlier: ``__d``, ``__key``, ``line`` (first), ``lines``."""
-    every = written(_repeated(line_table(docs, text=text, min_words=min_words)), "lines")
-    wanted = every.select(*_AT, F.inline("runs")).withColumn("level", F.floor(F.log2("lines")).cast("int"))
-    deepest = wanted.agg(F.max("level")).first()[0]
+def later_copies(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame | None:
+    """Runs of lines that also begin earlier: ``d``, ``key``, ``line`` (first), ``lines``; None without any.
+
+    ``docs`` has ``d``, ``key`` and ``text``, rows equal in the first two once. Each
+    round's tables are written out, and deleted when the next are.
+    """
+    lines = written(line_table(docs, min_words=min_words), "lines")
+    total = lines.count()
+    numbers = _ranks(lines, ["low", "high"])
+    ranked = written(join_counted(lines, numbers, ["low", "high"], total).select(*_AT, "rank", "runs"), "ranks")
+    drop_written(numbers)
+    drop_written(lines)
+    asked = written(ranked.select(*_AT, F.explode("runs").alias("lines")).withColumn("level", F.floor(F.log2("lines")).cast("int")), "asked")
+    deepest = asked.agg(F.max("level")).first()[0]
     if deepest is None:
-        return every.select(*_AT, F.lit(0).alias("lines")).limit(0)
-    named, found = every.select(*_AT, "name"), None
-    for level in range(deepest + 1):
+        return None
+    ranked, found, level = ranked.select(*_AT, "rank"), None, 0
+    while True:
         step = 1 << level
-        ends = named.select(*_KEY, F.col("line").alias("tail_line"), F.col("name").alias("tail"))
-        asked = wanted.where(F.col("level") == level).join(named, _AT)
+        interval = asked.where(F.col("level") == level).drop("level").join(ranked.withColumnRenamed("rank", "head"), _AT)
         if level:
-            asked = asked.withColumn("tail_line", F.col("line") + F.col("lines") - step).join(ends, [*_KEY, "tail_line"])
+            tails = ranked.select(*_KEY, F.col("line").alias("tail_line"), F.col("rank").alias("tail"))
+            interval = interval.withColumn("tail_line", F.col("line") + F.col("lines") - step).join(tails, [*_KEY, "tail_line"]).drop("tail_line")
         else:
-            asked = asked.withColumn("tail", F.col("name"))
-        alike = ["name", "tail", "lines", "check"]
-        firsts = asked.groupBy(*alike).agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = asked.join(firsts, alike).where(F.struct(*_AT) > F.col("first")).select(*_AT, "lines")
-        later = written(later, "runs")
-        found = later if found is None else found.unionByName(later)
-        if level < deepest:
-            ahead = named.select(*_KEY, (F.col("line") - step).alias("line"), F.col("name").alias("next"))
-            named = written(_repeated(named.join(ahead, _AT).select(*_AT, F.xxhash64("name", "next").alias("name"))), "names")
+            interval = interval.withColumn("tail", F.col("head"))
+        interval = written(interval, "intervals")
+        same = ["head", "tail", "lines"]
+        firsts = written(interval.groupBy(*same).agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+        copies = join_counted(interval, firsts, same, total).where(F.struct(*_AT) > F.col("first")).select(*_AT, "lines")
+        copies = written(copies, "copies")
+        drop_written(interval)
+        drop_written(firsts)
+        found = copies if found is None else found.unionByName(copies)
+        if level == deepest:
+            break
+        ahead = ranked.select(*_KEY, (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
+        pairs = written(ranked.withColumnRenamed("rank", "first").join(ahead, _AT), "pairs")
+        drop_written(ranked)
+        numbers = _ranks(pairs, ["first", "next"])
+        ranked = written(join_counted(pairs, numbers, ["first", "next"], total).select(*_AT, "rank"), "ranks")
+        drop_written(numbers)
+        drop_written(pairs)
+        if ranked.isEmpty():
+            break
+        level += 1
+    drop_written(ranked)
+    drop_written(asked)
     return found
 
 
 def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cut, and two new columns: ``n_lines`` and ``n_lines_removed``.
 
-    Positions are in the order of ``doc_id`` (null first), a hash of the row, and
+    Positions are in the order of ``doc_id`` (null first), a hash of the text, and
     the line; rows equal in id and text are one document and are all cut alike.
     Null texts stay null, other texts are their kept lines joined by newlines.
-    All other columns are passed on.
+    All other columns are passed on, whatever their names; columns named like the
+    two new ones are replaced.
     """
-    keyed = document_keys(docs.drop("n_lines", "n_lines_removed"), doc_id=doc_id, text=text)
-    cuts = repeated_runs(keyed, text=text, min_words=min_words)
-    cuts = cuts.groupBy(*_KEY).agg(F.array_distinct(F.collect_list(F.struct("line", "lines"))).alias("__cuts"))  # at most two for each line of the document
-    joined = keyed.join(cuts, _KEY, "left").drop(*_KEY)
-    keep = [c for c in joined.columns if c not in (text, "__cuts")]
+    docs = docs.drop("n_lines", "n_lines_removed")
+    plain = plain_names(docs)
+    names = dict(zip(docs.columns, plain.columns, strict=True))
+    body = names[text]
+    keyed = plain.withColumn(body, F.col(body).cast("string")).select("*", *document_keys(names[doc_id], body))
+    # rows equal in id and text count once
+    every = keyed.select(*_KEY, F.col(body).alias("text"))
+    repeated = written(every.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select(*_KEY), "repeated")
+    if not repeated.isEmpty():
+        every = every.join(repeated, _KEY, "left_anti").unionByName(every.join(repeated, _KEY, "left_semi").dropDuplicates(_KEY))
+    copies = later_copies(every, min_words=min_words)
+    if copies is None:
+        joined = keyed.withColumn("cuts", F.lit(None).cast("array<struct<line:int,lines:int>>"))
+    else:
+        cuts = copies.groupBy(*_KEY).agg(F.collect_list(F.struct("line", "lines")).alias("cuts"))  # at most two for each line of the document
+        joined = keyed.join(cuts, _KEY, "left")
+    keep = [c for c in plain.columns if c != body]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
                 texts, counts, gone = [], [], []
-                for body, found in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(), strict=True):
-                    counts.append(0 if body is None else body.count("\n") + 1)
+                for whole, found in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(), strict=True):
+                    counts.append(0 if whole is None else whole.count("\n") + 1)
                     if found:
-                        lines = body.split("\n")
+                        lines = whole.split("\n")
                         change = np.zeros(len(lines) + 1, np.int64)
                         for run in found:
                             change[run["line"]] += 1
                             change[run["line"] + run["lines"]] -= 1
                         left = np.flatnonzero(np.cumsum(change)[:-1] == 0)
                         gone.append(len(lines) - len(left))
-                        body = "\n".join([lines[i] for i in left])
+                        whole = "\n".join([lines[i] for i in left])
                     else:
                         gone.append(0)
-                    texts.append(body)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, text, "n_lines", "n_lines_removed"])
+                    texts.append(whole)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, body, "n_lines", "n_lines_removed"])
         trim()
 
-    schema = joined.select(*keep).schema.add(text, "string").add("n_lines", "long").add("n_lines_removed", "long")
-    out = joined.select(*keep, F.col(text).cast("string").alias(text), "__cuts").mapInArrow(apply, schema)
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_lines_removed")], "n_lines", "n_lines_removed")
+    schema = joined.select(*keep).schema.add(body, "string").add("n_lines", "long").add("n_lines_removed", "long")
+    out = joined.select(*keep, body, "cuts").mapInArrow(apply, schema)
+    return out.select(*[F.col(v).alias(k) for k, v in names.items()], "n_lines", "n_lines_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone import session
+from lodestone.session import dropped as drop_written  # noqa: F401
+from lodestone.session import shared_dir  # noqa: F401
 
 RUN_BYTES = 1 << 20
 
@@ -44,29 +46,32 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame, name: str, *, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return session.written(df, name, codec=codec)
+
+
+#: Keys that :func:`join_counted` broadcasts at most, and the least rows that make a key one of them.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], total: int, *, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``keys``, unique keys of which ``count`` says how many of the ``total`` rows have them.
+
+    Keys with more than one row in ``HOT_KEYS`` of all (and ``HOT_ROWS`` at least) are
+    broadcast; there are at most ``HOT_KEYS`` of them, and their rows stay where they
+    are. So no shuffled key has more rows than that. ``count`` is left out.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = keys.where(F.col(count) > least).drop(count)
+    cold = keys.where(F.col(count) <= least).drop(count)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns ``c0``, ``c1`` and so on, so that none clashes with an operator's own."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def released(spark: SparkSession) -> None:

@@ -184,6 +184,54 @@ def test_quality_rules(spark):
     assert weak_rules.judge(weak_rules.with_counts(empty(spark))).count() == 0
 
 
+def plain_vote(bad, good):
+    return -1 if bad else 1 if good else 0
+
+
+def plain_votes(t):
+    n, chars, symbols, dup, rep = counted(t)
+    upper, lines = len(re.findall("[A-Z]", t or "")), sum(1 for x in (t or "").split("\n") if x)
+    few = n < 30
+    return (
+        plain_vote(n < 10, n >= 50),
+        plain_vote(chars > 12 * n or chars < 2 * n, not few and 3 * n <= chars <= 9 * n),
+        plain_vote(symbols > n / 10, not few and symbols <= n / 50),
+        plain_vote(symbols > chars / 25, not few and symbols <= chars / 200),
+        plain_vote(dup >= 3 and dup > 0.3 * lines, not few and dup <= lines / 20),
+        plain_vote(rep > 0.3 * n, not few and rep <= n / 20),
+        plain_vote(rep > 0.4 * n, not few and rep <= n / 10),
+        plain_vote(upper > chars / 4, not few and upper <= chars / 8),
+    )
+
+
+def plain_posteriors(votes, rounds=50):
+    """Expectation-maximisation one document and one rule at a time."""
+    rules, held = range(len(votes[0])), max(1.0, 0.05 * len(votes))
+    p = [0.0 if -1 in v else 1.0 for v in votes]
+    for _ in range(rounds):
+        on_good, on_bad = [], []
+        for r in rules:
+            g = (sum(q for v, q in zip(votes, p, strict=True) if v[r] < 0) + 0.01 * held) / (sum(q for v, q in zip(votes, p, strict=True) if v[r]) + held)
+            b = (sum(1 - q for v, q in zip(votes, p, strict=True) if v[r] < 0) + 0.5 * held) / (sum(1 - q for v, q in zip(votes, p, strict=True) if v[r]) + held)
+            on_good.append(g)
+            on_bad.append(max(g, b))
+        prior = (sum(p) + 0.9 * held) / (len(p) + held)
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(on_good[r] / on_bad[r]) if v[r] < 0 else math.log((1 - on_good[r]) / (1 - on_bad[r])) for r in rules if v[r]) for v in votes]
+        p = [1 / (1 + math.exp(-x)) for x in odds]
+    return p
+
+
+def test_quality_rules_query(spark):
+    rows = duckdb.sql(f"select doc_id, text from read_parquet('{DATA}/documents.parquet')").fetchall()
+    got = {r.doc_id: r for r in weak_rules.op4_quality_rules(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for (i, t), quality in zip(rows, plain_posteriors([plain_votes(t) for _, t in rows]), strict=True):
+        n, chars, symbols, dup, rep = counted(t)
+        failed = n < 50 or 100 * rep > 50 * n
+        assert tuple(got[i])[:7] == (i, n, chars, symbols, dup, rep, failed)
+        assert got[i].quality == pytest.approx(quality, abs=1e-9) and got[i].kept == (not failed and quality >= 0.5)
+
+
 # ---- 5 ------------------------------------------------------------------------------------
 
 
@@ -211,8 +259,43 @@ def test_decontamination(spark, block):
                     found |= windows[x]
         want.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit) and 20 * len(hit) >= len(w)))
     df = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontam.flagged(decontam.find_contamination(frame(spark, rows), df, block_words=block)).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    index = decontam.written(decontam.build_index(frame(spark, rows)), "postings")
+    found = decontam.flagged(decontam.search_all(index, df, block_words=block))
+    assert sorted(tuple(r)[:1] + tuple(r)[2:7] for r in found.collect()) == sorted(want)
+    # the stored index serves another test set
+    other = decontam.flagged(decontam.search_all(index, spark.createDataFrame([(7, rows[1][1])], df.schema))).where("contaminated")
+    assert rows[1][0] in {r.doc_id for r in other.collect()}
+
+
+def near_words(words, phrase, slop):
+    """Positions in stretches of at most ``slop`` words more than the phrase that begin with one of its words and hold all."""
+    out = set()
+    for a in range(len(words)):
+        if words[a] in phrase:
+            lasts = [next((k for k in range(a, len(words)) if words[k] == x), None) for x in phrase]
+            if None not in lasts and max(lasts) - a + 1 <= len(phrase) + slop:
+                out |= set(range(a, max(lasts) + 1))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 3])
+def test_proximity_matches(spark, slop):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 16)))) for i in range(6)] + [(77, "one two three four five six seven eight nine ten eleven twelve thirteen")]
+    rows = [(i, " ".join(rng.choice("abcdefghijk") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(100, "One two three, four five NEW six seven eight nine ten eleven twelve thirteen."), (101, "seven six five four three two one x eight nine ten eleven twelve thirteen"), (102, None)]
+    got = {r.doc_id: r for r in decontam.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), slop=slop).collect()}
+    for i, t in rows:
+        w, hits, found = low_words(t), set(), set()
+        for item, text in items:
+            p = low_words(text)
+            n = min(13, len(p))
+            for k in range(len(p) - n + 1):
+                if new := near_words(w, p[k : k + n], slop):
+                    hits |= new
+                    found.add(str(item))
+        assert got[i].near_hits == sorted(hits) and got[i].near_items == sorted(found)
+        assert set(got[i].hits) <= hits and set(got[i].items) <= found
+    assert got[100].items == [] and ("77" in got[100].near_items) == ("77" in got[101].near_items) == (slop == 3)
 
 
 def test_decontamination_of_empty_tables(spark):
@@ -256,6 +339,23 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("least", [50, 5])
+def test_line_dedup_of_the_documents(spark, least):
+    rows = duckdb.sql(f"select doc_id, text from read_parquet('{DATA}/documents.parquet') where len(string_split(coalesce(text, ''), chr(10))) <= 60").fetchall()
+    got = {r.doc_id: r.text or "" for r in line_dedup.drop_repeated_lines(frame(spark, rows), min_words=least).collect()}
+    assert got == without_copies(rows, least)
+
+
+def test_line_dedup_of_repeated_rows_and_clashing_names(spark):
+    body = "\n".join(f"line {k}" for k in range(70))
+    rows = [(1, body, 5, "a")] * 3 + [(2, "x\n" + body, 6, "b"), (2, "y", 7, None), (None, body, 8, "d")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `key` bigint, d string").withColumns({"__d": F.lit(1), "cuts": F.lit("c"), "c0": F.lit(0), "n_lines": F.lit(None), "runs": F.lit(2)})
+    out = line_dedup.drop_repeated_lines(df)
+    assert out.columns == ["doc_id", "text", "key", "d", "__d", "cuts", "c0", "runs", "n_lines", "n_lines_removed"]
+    got = Counter(tuple(r)[:4] for r in out.collect())
+    assert got == Counter([(1, "", 5, "a")] * 3 + [(2, "x", 6, "b"), (2, "y", 7, None), (None, body, 8, "d")])
+
+
 # ---- 7 ------------------------------------------------------------------------------------
 
 
@@ -390,6 +490,60 @@ def test_classifier_edges(spark):
     assert classifier.score(empty(spark), classifier.fit(empty(spark), labels.limit(0))).count() == 0
 
 
+def plain_features(t):
+    """Slots and values of a text, a token at a time."""
+    b = (t or "").encode()
+    low = re.sub(b"[A-Z]", lambda m: m[0].lower(), b)
+    found = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    one = lambda a, b: classifier.segment_hashes(np.frombuffer(low, np.uint8), np.array([a]), np.array([b]))[0]
+    tokens = [one(a, e) for a, e in found]
+    keys = [*tokens]
+    with np.errstate(over="ignore"):
+        for x, y in zip(tokens, tokens[1:], strict=False):
+            keys.append(classifier.mixed(np.array([x * np.uint64(3) + y]))[0])
+            if x == y:
+                keys.append(np.uint64(13))
+    keys += [np.uint64(11) for a, e in found if len(re.findall(b"[A-Z]", b[a:e])) >= 2]
+    counts = Counter(int(classifier.mixed(np.array([k], np.uint64))[0] % np.uint64(classifier.SIZE)) for k in keys)
+    total = sum(counts.values())
+    return {k: float(np.float32(math.sqrt(c) / math.sqrt(total))) for k, c in counts.items()}
+
+
+def plain_ftrl(rows, alpha=0.5, beta=1.0, l1=0.02, l2=0.1):
+    z, n = Counter(), Counter()
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    for epoch in range(classifier.EPOCHS):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            x, y = rows[r]
+            x = {**x, classifier.SIZE: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    return weight
+
+
+def test_classifier_query_against_plain_ftrl(spark):
+    texts = dict(duckdb.sql(f"select doc_id, text from read_parquet('{DATA}/documents.parquet')").fetchall())
+    labels = duckdb.sql(f"select doc_id, quality from read_parquet('{DATA}/labels.parquet') order by doc_id").fetchall()
+    rows = [(plain_features(texts[i]), y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    weight = plain_ftrl(rows)
+    for r in classifier.op9_quality_classifier(spark, DATA).collect():
+        x = {**plain_features(texts[r.doc_id]), classifier.SIZE: 1.0}
+        want = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+        assert r.score == pytest.approx(want, abs=1e-4) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_classifier_does_not_hang_on_the_order_of_rows(spark):
+    rows = [(k % 5, f"word{k} " * 9) for k in range(40)]
+    labels = [(k % 5, k % 2) for k in range(20)]
+    weights = [classifier.fit(frame(spark, r).repartition(n), spark.createDataFrame(y, "doc_id bigint, quality int")) for r, y, n in ((rows, labels, 1), (rows[::-1], labels[::-1], 3))]
+    assert (weights[0] == weights[1]).all() and weights[0].any()
+
+
 # ---- 10 -----------------------------------------------------------------------------------
 
 
@@ -463,6 +617,25 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in done} == set(after) and all(r.round_trip for r in done) and all(r.n_tokens * 4 == len(r.ids) for r in done)
 
 
+def test_pipeline_takes_nulls_repeats_and_clashing_names(spark):
+    import corpus_pipeline as p
+
+    rows = duckdb.sql(f"select doc_id, text from read_parquet('{DATA}/documents.parquet') order by doc_id limit 60").fetchall()
+    rows = [*rows, *rows[:3], (None, None), (None, rows[5][1]), (None, rows[5][1]), (900, None), (901, ""), (902, "word " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    more = {"__key": F.lit("k"), "__d": F.lit(1.5), "__score": F.lit(2), "__text": F.lit("t"), "key": F.lit("x"), "d": F.lit("y"), "score": F.lit(0), "ids": F.lit(3), "decoded": F.lit(4), "count": F.lit(5), "c0": F.lit(6), "cuts": F.lit(7), "fp": F.lit(8)}
+    docs = p.written(df.withColumns(more), "crowded")
+    for k, (name, stage) in enumerate(p.STAGES):
+        out = stage(spark, docs, DATA)
+        n = docs.count()
+        docs = p.written(out, "crowded")
+        assert docs.count() <= n
+        if k < 4:
+            assert docs.columns == df.withColumns(more).columns
+            assert docs.count() == 0 or tuple(docs.select(*[f"`{c}`" for c in more]).first()) == ("k", 1.5, 2, "t", "x", "y", 0, 3, 4, 5, 6, 7, 8)
+    assert docs.count() and docs.where("NOT round_trip").count() == 0
+
+
 def test_pipeline_takes_an_empty_table(spark):
     import corpus_pipeline as p
 
