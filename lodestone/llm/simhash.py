@@ -2,12 +2,14 @@
 
 Fingerprints that differ in at most ``MAX_DIFFER`` bits agree wholly in two of six
 pieces of their bits, so each distinct fingerprint is filed under the 15 masks of
-two pieces; a mask and its bits are a bucket, the top node of an index. In a bucket
-the fingerprints are sorted by Gray rank, so that those with equal leading bits
-stand together and form the next nodes. Pairs of nodes are compared from the top
-down on the bits that a level adds; the differences add up, and a pair of nodes
-with too many is dropped with all that stands below. Of the pairs that a task finds
-in a bucket only a spanning forest leaves it.
+two pieces; a mask and its bits are a bucket. In a bucket the fingerprints are
+sorted by Gray rank, in which neighbours differ in few bits, and each ``FAN``
+neighbours form a node that holds the bits on which all of them agree; ``FAN``
+nodes form a node of the next level, up to one root. Pairs of nodes are compared
+from the root down on the bits that both patterns have and their parents' did not;
+the differences add up, and a pair of nodes with too many is dropped with all that
+stands below. Of the pairs that a task finds in a bucket only a spanning forest
+leaves it.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import LOWER, NOT_SPACE, load, runs, segments, written
+from lodestone.llm.shared import LOWER, NOT_SPACE, join_counted, load, runs, segments, written
 
 WORDS = 4
 SEED = 42
 MAX_DIFFER = 4
 #: Widths of the pieces from the top bit; MAX_DIFFER + 2 pieces, so two of them always agree.
 PIECES = (11, 11, 11, 11, 10, 10)
-#: Leading bits that the nodes of each level share.
-LEVELS = (16, 32, 48, 64)
+#: Children of a node of the index.
+FAN = 8
 #: Fingerprints in a bucket that one task takes; larger buckets are dealt out as pairs of blocks.
 BLOCK = 20_000
 #: Pairs of nodes looked at in one step.
@@ -109,49 +111,64 @@ def _roots(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def gray_index(bucket: np.ndarray, fp: np.ndarray, fan: int = FAN) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Levels of nodes from the fingerprints up: (first child, bucket, shared bits, their values).
+
+    ``fp`` is sorted by bucket and Gray rank. On the lowest level a node is a
+    fingerprint, and on the last each bucket has one node.
+    """
+    levels = [(np.arange(len(fp)), bucket, np.full(len(fp), np.iinfo(np.uint64).max), fp)]
+    while True:
+        _, own, same, value = levels[-1]
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+        if not place.any():
+            return levels
+        first = np.flatnonzero(place % fan == 0)
+        ones, any_ones = np.bitwise_and.reduceat(value, first), np.bitwise_or.reduceat(value, first)
+        shared = np.bitwise_and.reduceat(same, first) & ~(ones ^ any_ones)
+        levels.append((first, own[first], shared, ones & shared))
+
+
 def linked(bucket: np.ndarray, fp: np.ndarray, differ: int = MAX_DIFFER) -> np.ndarray:
     """For each entry the least entry reachable over pairs of one bucket with at most ``differ`` differing bits.
 
     Entries are distinct in a bucket and sorted by bucket and Gray rank.
     """
     label = np.arange(len(fp))
-    starts = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    tops = [fp >> np.uint64(64 - bits) for bits in LEVELS]
-    # nodes of each level by their first entry, and where the children of a node begin in the level below
-    heads = [np.flatnonzero(starts | np.concatenate([[True], top[1:] != top[:-1]])) for top in tops]
-    single = [np.diff(np.append(h, len(fp))) == 1 for h in heads]
-    children = [np.append(np.searchsorted(below, above), len(below)) for above, below in zip(heads, heads[1:], strict=False)]
-    top = np.append(np.searchsorted(heads[0], np.flatnonzero(starts)), len(heads[0]))
-    # ranges of nodes of a level that are still to be compared with each other
-    work = [(0, top[:-1], top[1:], top[:-1], top[1:], np.zeros(len(top) - 1, np.uint8))]
+    if not len(fp):
+        return label
+    levels = gray_index(bucket, fp)
+    roots = np.arange(len(levels[-1][0]))
+    zero = np.zeros(len(roots), np.uint64)
+    # ranges of nodes of a level that are still to be compared with each other; the differences so far, and the bits they were counted on
+    work = [(len(levels) - 1, roots, roots + 1, roots, roots + 1, zero.astype(np.uint8), zero)]
     while work:
-        level, a0, a1, b0, b1, gone = work.pop()
+        level, *part = work.pop()
+        a0, a1, b0, b1, gone, seen = part
         size = (a1 - a0) * (b1 - b0)
         if size.sum() > STEP and len(size) > 1:
             half = min(max(1, int(np.searchsorted(np.cumsum(size), size.sum() // 2))), len(size) - 1)
-            work += [(level, *(x[k] for x in (a0, a1, b0, b1, gone))) for k in (slice(half), slice(half, None))]
-            continue
-        if size.sum() > STEP and a1[0] - a0[0] > 1:
-            middle = (a0 + a1) // 2
-            work += [(level, a0, middle, b0, b1, gone), (level, middle, a1, b0, b1, gone)]
+            work += [(level, *(x[k] for x in part)) for k in (slice(half), slice(half, None))]
             continue
         pair = np.repeat(np.arange(len(size)), size)
         k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
         width = (b1 - b0)[pair]
         a, b = a0[pair] + k // width, b0[pair] + k % width
-        ok = (a < b) | (a == b) & ~single[level][a]
-        a, b, gone = a[ok], b[ok], gone[pair[ok]]
-        added = np.uint64((1 << (LEVELS[level] - (LEVELS[level - 1] if level else 0))) - 1)
-        gone = gone + np.bitwise_count((tops[level][heads[level][a]] ^ tops[level][heads[level][b]]) & added)
+        ok = a <= b if level else a < b
+        a, b, gone, seen = a[ok], b[ok], gone[pair[ok]], seen[pair[ok]]
+        first, _, shared, value = levels[level]
+        both = shared[a] & shared[b]
+        gone = gone + np.bitwise_count((value[a] ^ value[b]) & both & ~seen)
         ok = gone <= differ
-        a, b, gone = a[ok], b[ok], gone[ok]
+        a, b, gone, seen = a[ok], b[ok], gone[ok], both[ok]
         if not len(a):
             continue
-        if level + 1 == len(LEVELS):
-            label = _roots(heads[level][a], heads[level][b], label)
+        if level == 0:
+            label = _roots(a, b, label)
         else:
-            first = children[level]
-            work.append((level + 1, first[a], first[a + 1], first[b], first[b + 1], gone))
+            end = np.append(first, len(levels[level - 1][0]))
+            work.append((level - 1, first[a], end[a + 1], first[b], end[b + 1], gone, seen))
     return label
 
 
@@ -216,13 +233,13 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     and ids stay. Other columns are not read.
     """
     marked = written(with_fingerprints(docs, doc_id=doc_id, text=text, words=words), "fingerprints")
-    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(fps.select("fp"), differ=differ), "a", "b")
     rooted = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = rooted.join(least, "root").select("fp", "component_id")
-    component = fps.join(grouped, "fp", "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "first").alias("component_id"))
-    joined = marked.join(component, marked["fp"] == component["f"])
+    members = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    grouped = join_counted(rooted, members, ["root"], fps.count()).select("fp", "component_id")
+    component = written(fps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "components")
+    joined = join_counted(marked, component, ["fp"], marked.count())
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -80,6 +80,33 @@ def test_substring_dedup_repeated_rows_and_empty_table(spark):
     assert substring_dedup.drop_repeated_bytes(empty(spark), batches=2).count() == 0
 
 
+def test_a_stored_family_takes_further_batches(spark, tmp_path):
+    rows = documents(25)[:25] + [(2000 + k, "".join(random.Random(k // 2).choices("abcdefgh ", k=500))) for k in range(6)]
+    body = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text")]
+    parts = [frame(spark, rows[k::3]).select(*body) for k in range(3)]
+    whole, early = substring_dedup.SuffixFamily(spark), substring_dedup.SuffixFamily(spark, 3)
+    for part in parts:
+        whole.add(substring_dedup.suffixes(part))
+    for part in parts[:2]:
+        early.add(substring_dedup.suffixes(part))
+    early.store(str(tmp_path / "family"))
+    late = substring_dedup.SuffixFamily.stored(spark, str(tmp_path / "family"))
+    late.add(substring_dedup.suffixes(parts[2]))
+    assert [rank for rank, _ in late.levels] == [rank for rank, _ in whole.levels] == [1, 0]
+    a, b = (Counter(map(tuple, f.repeated().select("head", "block", "doc", "start").collect())) for f in (whole, late))
+    assert a == b and a
+
+
+def test_substring_dedup_of_texts_longer_than_a_run(spark):
+    from lodestone.llm.shared import RUN_BYTES
+
+    passage = "".join(random.Random(4).choices("abcdefgh ", k=1000))
+    filler = [hashlib.sha256(b"%d" % k).hexdigest() for k in range(2 * RUN_BYTES // 64 + 100)]
+    rows = [(1, "".join(filler)), (2, passage), (3, "".join(filler[:50]) + passage[:300])]
+    got = {r.doc_id: r for r in substring_dedup.drop_repeated_bytes(frame(spark, rows), batches=2).collect()}
+    assert got[1].n_removed == 50 * 64 and got[2].n_removed == 300 and got[3].kept == b"" and got[1].kept == "".join(filler[50:]).encode()
+
+
 # ---- 2 ------------------------------------------------------------------------------------
 
 
