@@ -75,7 +75,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str = "step", *, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str = "step", *, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later failures cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
