@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,17 +125,67 @@ def footer(citations: Column) -> Column:
     return F.when(F.coalesce(F.size(refs), F.lit(0)) > 0, F.concat(F.lit("\n\n来源："), F.array_join(refs, "、"))).otherwise(F.lit(""))
 
 
-def path_view(answers: DataFrame, mode: Column | str = "basic") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the way from question to citation, for cited evidence only.
+#: The labels of a path view.
+GRAPH_SEARCH, VECTOR_SEARCH, VECTOR_NODE, FOUND_DOCUMENT, COMMUNITY_MATCH, COMMUNITY_SOURCE, SUPPORTS, CITED = "图搜索", "语义检索", "向量检索", "命中文档", "社区匹配", "包含来源", "支持答案", "最终引用"
+
+
+def view_id(kind: str, *parts: Column) -> Column:
+    return F.concat(F.lit(kind + ":"), F.substring(F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256), 1, 16))
 
-    query -> document -> section -> citation; each node and edge once.
+
+def path_view(answers: DataFrame, evidence: DataFrame, mode: str = "basic", *, steps: DataFrame | None = None, communities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the ways from questions to the evidence that their answers cite.
+
+    ``answers`` has ``query_id, question, status, citations``, ``evidence`` the
+    ``query_id, source, anchor`` of what was retrieved. A cited document is reached
+    through the graph in mode ``local`` if ``steps`` has its path (``query_id, source,
+    step, node, type, name, edge_type``; the edge is the one from the step before),
+    through its communities in mode ``global`` if ``communities`` has some (``query_id,
+    source, community_id``), and else by vector search. The end of a path that is a
+    document or a section is the cited document itself. Questions that are not
+    answered, or cite nothing that was retrieved, have no rows; each node and edge of
+    a question comes once.
     """
-    cites = answers.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.*")
-    view = lambda kind, *parts: F.substring(F.sha2(F.concat_ws("\0", F.lit(kind), *parts), 256), 1, 16)
-    q, d = view("query", F.col("query_id").cast("string")), view("document", F.col("document_path"))
-    s, c = view("section", F.col("document_path"), F.col("anchor")), view("citation", F.col("query_id").cast("string"), F.col("id"))
-    node = lambda i, kind, label: cites.select("query_id", i.alias("node_id"), F.lit(kind).alias("kind"), label.cast("string").alias("label"))
-    nodes = node(q, "query", F.col("query_id")).unionByName(node(d, "document", F.col("document_path"))).unionByName(node(s, "section", F.col("section_title"))).unionByName(node(c, "citation", F.col("id"))).distinct()
-    edge = lambda a, b, kind: cites.select("query_id", a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"))
-    edges = edge(q, d, "RETRIEVES").unionByName(edge(d, s, "HAS_SECTION")).unionByName(edge(s, c, "CITES")).distinct()
-    return nodes, edges
+    cites = answers.where("status = 'answered'").select("query_id", "question", F.posexplode("citations").alias("at", "c")).select("query_id", "question", "at", "c.*")
+    cites = cites.join(evidence.select("query_id", F.col("source").alias("document_path"), "anchor").distinct(), ["query_id", "document_path", "anchor"], "left_semi")
+    document, citation = view_id("document", F.col("document_path")), view_id("citation", F.col("id"))
+    documents = cites.select("query_id", "document_path").distinct()
+    query = F.lit("query")
+    node = lambda df, i, kind, label: df.select("query_id", i.alias("id"), kind.alias("type"), label.cast("string").alias("label"))
+    edge = lambda df, a, b, kind, label: df.select("query_id", a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), label.alias("label"))
+    number = F.concat(F.lit(CITED + " ["), (F.col("at") + 1).cast("string"), F.lit("]"))
+    nodes = [
+        node(cites, query, query, F.coalesce("question", F.lit(""))),
+        node(documents, document, F.lit("document"), F.regexp_extract("document_path", "([^/]*)$", 1)),
+        node(cites, citation, F.lit("citation"), number),
+    ]
+    edges = [edge(cites, document, citation, "supports", F.lit(SUPPORTS))]
+    linked = None
+    if mode == "local" and steps is not None:
+        way = steps.withColumnRenamed("source", "document_path").join(documents, ["query_id", "document_path"])
+        line = Window.partitionBy("query_id", "document_path").orderBy("step")
+        end = F.lead("step").over(line).isNull() & F.col("type").isin("document", "section")
+        kind = F.when(F.col("type").isin("entity", "community", "document"), F.col("type")).otherwise("graph")
+        own = F.concat(kind, F.lit(":"), F.substring(F.sha2(F.col("node"), 256), 1, 16))
+        way = way.select("query_id", "document_path", "step", "edge_type", F.coalesce(T.blank_to_null(F.col("name")), "node").alias("name"), kind.alias("kind"), end.alias("end"), F.when(end, document).otherwise(own).alias("i"))
+        way = way.withColumns({"before": F.lag("i").over(line), "last": F.lead("i").over(line).isNull()})
+        nodes.append(node(way.where("NOT end"), F.col("i"), F.col("kind"), F.col("name")))
+        edges.append(edge(way.where("before IS NULL"), query, F.col("i"), "graph_search", F.lit(GRAPH_SEARCH)))
+        edges.append(edge(way.where("before IS NOT NULL"), F.col("before"), F.col("i"), "graph_relation", F.coalesce("edge_type", F.lit(""))))
+        edges.append(edge(way.where("last AND NOT end"), F.col("i"), document, "retrieved_document", F.lit(FOUND_DOCUMENT)))
+        linked = way.select("query_id", "document_path").distinct()
+    if mode == "global" and communities is not None:
+        behind = communities.withColumnRenamed("source", "document_path").join(documents, ["query_id", "document_path"])
+        community = view_id("community", F.col("community_id"))
+        nodes.append(node(behind, community, F.lit("community"), F.col("community_id")))
+        edges.append(edge(behind, query, community, "community_match", F.lit(COMMUNITY_MATCH)))
+        edges.append(edge(behind, community, document, "community_source", F.lit(COMMUNITY_SOURCE)))
+        linked = behind.select("query_id", "document_path").distinct()
+    rest = documents if linked is None else documents.join(linked, ["query_id", "document_path"], "left_anti")
+    vector = F.lit("retrieval:vector")
+    nodes.append(node(rest, vector, F.lit("retrieval"), F.lit(VECTOR_NODE)))
+    edges.append(edge(rest, query, vector, "vector_search", F.lit(VECTOR_SEARCH)))
+    edges.append(edge(rest, vector, document, "retrieved_document", F.lit(FOUND_DOCUMENT)))
+    all_nodes = functools.reduce(DataFrame.unionByName, nodes).groupBy("query_id", "id", "type").agg(F.min("label").alias("label"))
+    all_edges = functools.reduce(DataFrame.unionByName, edges).where("source <> target").groupBy("query_id", "source", "target", "type").agg(F.min("label").alias("label"))
+    return all_nodes, all_edges

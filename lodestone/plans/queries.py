@@ -117,19 +117,9 @@ def refusal_reason(spark, d):
     return R.refusals(queries, hits, 0.35)
 
 
-@query(f"""WITH {SCORES} SELECT query_id, source, chunk_id, round(score, 6) AS score, source_rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS source_rank FROM scored WHERE (query_id + substr(source, 2)::INT) % 4 = 0) WHERE source_rank <= 2""")
-def topk_per_source(spark, d):
-    chunks, queries = _vectors(spark, d)
-    sources = chunks.select("source").distinct()
-    asked = queries.join(F.broadcast(sources), F.pmod(F.col("query_id") + F.substring("source", 2, 9).cast("int"), F.lit(4)) == 0)
-    out = R.topk_per_source(asked, chunks, 2, score=dot(F.col("q_vec"), F.col("vec")))
-    return out.select("query_id", "source", "chunk_id", F.round("score", 6).alias("score"), "source_rank")
-
-
 @query(f"""WITH {SCORES} SELECT query_id, source, chunk_id, round(score, 6) AS score, source_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS source_rank FROM scored) WHERE source_rank <= 2""")
-def topk_per_source_whole(spark, d):
+def topk_per_source(spark, d):
     chunks, queries = _vectors(spark, d)
     sources = chunks.select("source").distinct()
     asked = queries.crossJoin(F.broadcast(sources))
@@ -138,7 +128,7 @@ def topk_per_source_whole(spark, d):
 
 
 GOLD = """, gold AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS item FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 7 = 0 WHERE q.vec_id % 10 = 0
+  SELECT q.vec_id AS query_id, c.vec_id AS item FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 10 = 0
 ), need AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id
 ), h AS (SELECT t.query_id, t.rank FROM top t JOIN gold g ON g.query_id = t.query_id AND g.item = t.chunk_id
 ), per_query AS (
@@ -149,14 +139,13 @@ GOLD = """, gold AS (
   FROM need LEFT JOIN h ON h.query_id = need.query_id GROUP BY need.query_id, n
 )"""
 
-WHOLE_GOLD = GOLD.replace(" AND c.vec_id % 7 = 0", "")
 
 
-def _judged(spark, d, whole=False):
-    """Hits and gold: all items of the query's label, or those with an id divisible by 7."""
+def _judged(spark, d):
+    """Hits and gold: all items of the query's label."""
     chunks, queries = _vectors(spark, d)
     hits = R.vector_topk(queries, chunks, 10).select("query_id", F.col("chunk_id").alias("item"), "rank")
-    items = table(spark, d, "embeddings").where("true" if whole else "vec_id % 7 = 0").select(F.col("vec_id").alias("item"), "label")
+    items = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "label")
     return hits, queries.join(items, "label").select("query_id", "item")
 
 
@@ -169,24 +158,12 @@ def query_metrics(spark, d):
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in _ROUNDED], F.coalesce("first_hit_rank", F.lit(0)).alias("first_hit_rank"), "hit")
 
 
-@query(f"WITH {SCORES + WHOLE_GOLD} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)}, coalesce(first_hit_rank, 0) AS first_hit_rank, hit FROM per_query")
-def query_metrics_whole(spark, d):
-    out = M.query_metrics(*_judged(spark, d, whole=True), ks=(1, 5))
-    return out.select("query_id", *[F.round(c, 6).alias(c) for c in _ROUNDED], F.coalesce("first_hit_rank", F.lit(0)).alias("first_hit_rank"), "hit")
-
-
 @query(f"WITH {SCORES + GOLD} SELECT count(*) AS n_queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _ROUNDED)} FROM per_query")
 def metric_means(spark, d):
     out = M.mean_metrics(M.query_metrics(*_judged(spark, d), ks=(1, 5)), names=M.metric_names((1, 5)))
     return out.select("n_queries", *[F.round(c, 6).alias(c) for c in _ROUNDED])
 
 
-@query(f"WITH {SCORES + WHOLE_GOLD} SELECT count(*) AS n_queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _ROUNDED)} FROM per_query")
-def metric_means_whole(spark, d):
-    out = M.mean_metrics(M.query_metrics(*_judged(spark, d, whole=True), ks=(1, 5)), names=M.metric_names((1, 5)))
-    return out.select("n_queries", *[F.round(c, 6).alias(c) for c in _ROUNDED])
-
-
 @query(
     """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean_ms, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, min(value) AS min_ms, max(value) AS max_ms FROM events GROUP BY event_type"""
 )
@@ -328,7 +305,7 @@ def structure_edges(spark, d):
 # ---- a weighted graph of suppliers, nations, regions and customers -----------------------------
 
 
-def _whole_network(spark, d):
+def _network(spark, d):
     """Edges supplier-nation, nation-region and customer-nation of all rows, with mixed types."""
     s, n, c = table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "customer")
     edge = lambda df, a, b, kind, w: df.select(F.concat(F.lit(kind[0]), a, F.lit("-"), b).alias("id"), a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("type"), w.cast("double").alias("weight"))
@@ -340,20 +317,14 @@ def _whole_network(spark, d):
     )
 
 
-def _network(spark, d):
-    """What ``NETWORK`` says: the whole network without the customers from 300 on. Queries ``*_whole`` read all of it."""
-    return _whole_network(spark, d).where("type <> 'MENTIONS' OR cast(substring(source_id, 2) as bigint) < 300")
-
-
 NETWORK = """
 edges AS (
   SELECT 'LS' || s_suppkey || '-N' || s_nationkey AS id, 'S' || s_suppkey AS source_id, 'N' || s_nationkey AS target_id, 'LINKS_TO' AS type, ((s_suppkey % 5) + 5) / 10 AS weight FROM supplier
   UNION ALL SELECT 'HN' || n_nationkey || '-R' || n_regionkey, 'N' || n_nationkey, 'R' || n_regionkey, 'HAS_SECTION', 0.2 FROM nation
-  UNION ALL SELECT 'MC' || c_custkey || '-N' || c_nationkey, 'C' || c_custkey, 'N' || c_nationkey, 'MENTIONS', 0.8 FROM customer WHERE c_custkey < 300
+  UNION ALL SELECT 'MC' || c_custkey || '-N' || c_nationkey, 'C' || c_custkey, 'N' || c_nationkey, 'MENTIONS', 0.8 FROM customer
 ), near AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, edge_id) AS edge_rank FROM (
     SELECT source_id AS node, target_id AS neighbor, id AS edge_id, type, weight FROM edges UNION ALL SELECT target_id, source_id, id, type, weight FROM edges)) WHERE edge_rank <= {most})"""
-WHOLE_NETWORK = NETWORK.replace(" WHERE c_custkey < 300", "")
 
 
 @query(f"WITH {NETWORK.format(most=10)} SELECT node, neighbor, edge_id, type, weight, edge_rank FROM near")
@@ -361,11 +332,6 @@ def neighbor_cap(spark, d):
     return G.adjacency(_network(spark, d), 10).drop("forward")
 
 
-@query(f"WITH {WHOLE_NETWORK.format(most=10)} SELECT node, neighbor, edge_id, type, weight, edge_rank FROM near")
-def neighbor_cap_whole(spark, d):
-    return G.adjacency(_whole_network(spark, d), 10).drop("forward")
-
-
 @query(
     f"""WITH {NETWORK.format(most=30)}, one AS (SELECT node AS query, neighbor, weight * 0.85 AS score FROM near WHERE node LIKE 'S%' AND substr(node, 2)::INT % 5 = 0
     ), n AS (SELECT o.query AS query_id, o.neighbor AS node, o.score FROM one o)
@@ -380,7 +346,7 @@ def one_hop(spark, d):
 
 @query()
 def expand_two_hop(spark, d):
-    edges = _whole_network(spark, d)
+    edges = _network(spark, d)
     seeds = edges.where("type = 'LINKS_TO'").select(F.col("source_id").alias("query_id"), F.col("source_id").alias("node")).where(F.pmod(F.substring("node", 2, 9).cast("int"), F.lit(5)) == 0)
     return G.expand(seeds, edges, max_hops=2, max_neighbors=30)
 
@@ -439,26 +405,17 @@ def gephi_edge_table(spark, d):
     return gephi_edges(_network(spark, d).withColumns({"evidence_source": F.lit(""), "evidence_anchor": F.lit("")}))
 
 
-@query(f"WITH {WHOLE_NETWORK.format(most=30)} SELECT source_id AS \"Source\", target_id AS \"Target\", 'Directed' AS \"Type\", type AS \"Label\", weight AS \"Weight\", '' AS \"EvidenceSource\", '' AS \"EvidenceAnchor\" FROM edges")
-def gephi_edge_table_whole(spark, d):
-    return gephi_edges(_whole_network(spark, d).withColumns({"evidence_source": F.lit(""), "evidence_anchor": F.lit("")}))
-
-
 # ---- fusion ------------------------------------------------------------------------------
 
-_G = "(query_id + substr(source, 2)::INT) % 4 = 0"
 GRAPHED = f""", asked AS (SELECT query_id, source, chunk_id, anchor, score, ((query_id * 7 + substr(source, 2)::INT * 13) % 89 + 1) / 100 AS graph_score,
-    row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS r FROM scored WHERE {_G}
+    row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS r FROM scored
 ), expanded AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY graph_score DESC, source) AS graph_rank FROM asked WHERE r = 1)"""
 
-WHOLE_GRAPHED = GRAPHED.replace(f" WHERE {_G}", "")
 
 
-def _expanded(spark, d, chunks, queries, whole=False):
-    """The best chunk of each source asked for: of all sources, or of those that ``_G`` gives a query."""
-    sources = chunks.select("source").distinct()
-    fits = F.pmod(F.col("query_id") + F.substring("source", 2, 9).cast("int"), F.lit(4)) == 0
-    asked = queries.join(F.broadcast(sources), F.lit(True) if whole else fits)
+def _expanded(spark, d, chunks, queries):
+    """The best chunk of each source for each query, with a score in place of the graph's."""
+    asked = queries.crossJoin(F.broadcast(chunks.select("source").distinct()))  # 40 sources
     out = R.topk_per_source(asked, chunks, 1, score=dot(F.col("q_vec"), F.col("vec")))
     number = F.substring("source", 2, 9).cast("int")
     out = out.withColumn("graph_score", (F.pmod(F.col("query_id") * 7 + number * 13, F.lit(89)) + 1) / 100)
@@ -479,20 +436,6 @@ def rrf_fusion(spark, d):
     return out.select("query_id", "source", "anchor", F.round("score", 6).alias("score"), F.round("rank_score", 9).alias("rank_score"), "rank")
 
 
-@query(
-    f"""WITH {BASIC + WHOLE_GRAPHED}, g AS (SELECT e.*, row_number() OVER (PARTITION BY e.query_id ORDER BY graph_rank, e.anchor) AS o, coalesce(n.n, 0) AS n_base FROM expanded e LEFT JOIN (SELECT query_id, max(rank) AS n FROM hits GROUP BY query_id) n ON n.query_id = e.query_id
-    ), f AS (SELECT coalesce(b.query_id, g.query_id) AS query_id, coalesce(b.source, g.source) AS source, coalesce(b.anchor, g.anchor) AS anchor, greatest(b.score, g.score) AS text_score, coalesce(graph_score, 0) AS graph_score,
-      1 / (60 + coalesce(b.rank, n_base + o)) + coalesce(0.25 / (60 + graph_rank), 0) AS rank_score FROM hits b FULL JOIN g ON b.query_id = g.query_id AND b.source = g.source AND b.anchor = g.anchor
-    ), s AS (SELECT *, CASE WHEN graph_score > 0 THEN 0.75 * text_score + 0.25 * graph_score ELSE text_score END AS final FROM f)
-    SELECT query_id, source, anchor, round(least(1, final), 6) AS score, round(rank_score, 9) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, final DESC, source, anchor) AS rank FROM s WHERE final >= 0.1"""
-)
-def rrf_fusion_whole(spark, d):
-    chunks, queries = _vectors(spark, d)
-    base = R.basic_retrieval(queries, chunks, k=10, threshold=0.2)
-    out = R.fused(base, _expanded(spark, d, chunks, queries, whole=True), threshold=0.1)
-    return out.select("query_id", "source", "anchor", F.round("score", 6).alias("score"), F.round("rank_score", 9).alias("rank_score"), "rank")
-
-
 @query(
     f"""WITH {SCORES + GRAPHED}, f AS (SELECT *, 0.75 * score + 0.25 * graph_score AS final FROM expanded)
     SELECT query_id, source, anchor, round(least(1, final), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, source, anchor) AS rank FROM f WHERE final >= 0.1) WHERE rank <= 10"""
@@ -503,16 +446,6 @@ def global_fusion(spark, d):
     return R.global_fusion(found, threshold=0.1).select("query_id", "source", "anchor", F.round("score", 6).alias("score"), "rank")
 
 
-@query(
-    f"""WITH {SCORES + WHOLE_GRAPHED}, f AS (SELECT *, 0.75 * score + 0.25 * graph_score AS final FROM expanded)
-    SELECT query_id, source, anchor, round(least(1, final), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, source, anchor) AS rank FROM f WHERE final >= 0.1) WHERE rank <= 10"""
-)
-def global_fusion_whole(spark, d):
-    chunks, queries = _vectors(spark, d)
-    found = _expanded(spark, d, chunks, queries, whole=True).withColumnRenamed("graph_score", "community_score")
-    return R.global_fusion(found, threshold=0.1).select("query_id", "source", "anchor", F.round("score", 6).alias("score"), "rank")
-
-
 @query(
     """WITH m AS (SELECT 'K' || (n_regionkey) AS community_id, n_nationkey AS node_id FROM nation), e AS (SELECT s_nationkey AS node_id, s_name AS source FROM supplier),
     o AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY source) AS r FROM (SELECT DISTINCT community_id, source FROM m JOIN e USING (node_id))), q AS (SELECT x AS query_id, 'K' || ((x + y) % 5) AS community_id, (10 - y) / 10 AS score FROM range(20) a(x), range(3) b(y)),
@@ -733,22 +666,11 @@ def snapshot_diff(spark, d):
 _GRAMS = "CASE WHEN length(t) > 1 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) WHEN length(t) = 1 THEN [t] ELSE [] END"
 
 
-@query(
-    f"""WITH t AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '\\s+', '', 'g') AS t FROM part), g AS (SELECT p_partkey, p_name, {_GRAMS} AS g FROM t), q AS (SELECT p_name, {_GRAMS} AS g FROM (SELECT DISTINCT p_name, t FROM t WHERE p_partkey < 5))
-    SELECT p_partkey, q.p_name AS question, round(0.45 + 0.5 * len(list_intersect(g.g, q.g)) / (len(g.g) + len(q.g) - len(list_intersect(g.g, q.g))), 6) AS score FROM g, q"""
-)
-def bigram_score(spark, d):
-    p = table(spark, d, "part")
-    q = p.where("p_partkey < 5").select(F.col("p_name").alias("question")).distinct()
-    both = p.withColumn("a", T.bigrams(F.col("p_name"))).crossJoin(F.broadcast(q.withColumn("b", T.bigrams(F.col("question")))))
-    return both.select("p_partkey", "question", T.overlap_score(F.col("a"), F.col("b")).alias("score"))
-
-
 @query(
     f"""WITH t AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '\\s+', '', 'g') AS t FROM part), g AS (SELECT p_partkey, p_name, {_GRAMS} AS g FROM t), q AS (SELECT p_name, {_GRAMS} AS g FROM (SELECT DISTINCT p_name, t FROM t WHERE p_partkey % 50 = 0))
     SELECT p_partkey, q.p_name AS question, round(0.45 + 0.5 * len(list_intersect(g.g, q.g)) / (len(g.g) + len(q.g) - len(list_intersect(g.g, q.g))), 6) AS score FROM g, q"""
 )
-def bigram_score_whole(spark, d):
+def bigram_score(spark, d):
     p = table(spark, d, "part")
     q = p.where("p_partkey % 50 = 0").select(F.col("p_name").alias("question")).distinct()
     both = p.withColumn("a", T.bigrams(F.col("p_name"))).crossJoin(F.broadcast(q.withColumn("b", T.bigrams(F.col("question")))))
@@ -799,7 +721,7 @@ def community_titles(spark, d):
 
 
 @query(
-    f"""WITH {SCORES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS item FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 7 = 0 WHERE q.vec_id % 10 = 0), need AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
+    f"""WITH {SCORES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS item FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 10 = 0), need AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
     r AS (SELECT need.query_id, count(*) FILTER (rank <= 2) / n AS a, count(*) FILTER (rank <= 5) / n AS b FROM need LEFT JOIN (SELECT t.query_id, t.rank FROM top t JOIN gold g ON g.query_id = t.query_id AND g.item = t.chunk_id) h ON h.query_id = need.query_id GROUP BY need.query_id, n)
     SELECT round(avg(a), 6) AS basic_recall, round(avg(b), 6) AS local_recall, round(avg(b) - avg(a), 6) AS recall_delta, count(*) FILTER (a = 0 AND b > 0) AS wins, count(*) FILTER (a > 0 AND b = 0) AS harms FROM r"""
 )
@@ -809,17 +731,6 @@ def retriever_comparison(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("basic_recall", "local_recall", "recall_delta")], "wins", "harms")
 
 
-@query(
-    f"""WITH {SCORES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS item FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 10 = 0), need AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
-    r AS (SELECT need.query_id, count(*) FILTER (rank <= 2) / n AS a, count(*) FILTER (rank <= 5) / n AS b FROM need LEFT JOIN (SELECT t.query_id, t.rank FROM top t JOIN gold g ON g.query_id = t.query_id AND g.item = t.chunk_id) h ON h.query_id = need.query_id GROUP BY need.query_id, n)
-    SELECT round(avg(a), 6) AS basic_recall, round(avg(b), 6) AS local_recall, round(avg(b) - avg(a), 6) AS recall_delta, count(*) FILTER (a = 0 AND b > 0) AS wins, count(*) FILTER (a > 0 AND b = 0) AS harms FROM r"""
-)
-def retriever_comparison_whole(spark, d):
-    hits, gold = _judged(spark, d, whole=True)
-    out = M.compared_retrievers(hits.where("rank <= 2"), hits, gold, 5)
-    return out.select(*[F.round(c, 6).alias(c) for c in ("basic_recall", "local_recall", "recall_delta")], "wins", "harms")
-
-
 @query(
     """WITH f AS (SELECT DISTINCT s_nationkey AS k FROM supplier), g AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3), b AS (SELECT count(*) AS n FROM f JOIN g USING (k))
     SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM g) AS n_gold, n AS n_both, round(n / (SELECT count(*) FROM f), 6) AS precision, round(n / (SELECT count(*) FROM g), 6) AS recall FROM b"""
@@ -851,15 +762,6 @@ def replaced_sources(spark, d):
     return G.replaced_source(edges, new).select("id")
 
 
-@query(
-    f"""WITH {WHOLE_NETWORK.format(most=30)} SELECT id FROM edges WHERE type <> 'LINKS_TO' AND NOT (type = 'MENTIONS' AND target_id IN ('N1', 'N2')) UNION ALL SELECT 'new-' || t FROM (VALUES ('N1'), ('N2')) v(t) UNION ALL SELECT id FROM edges WHERE type = 'LINKS_TO' AND target_id NOT IN ('N1', 'N2')"""
-)
-def replaced_sources_whole(spark, d):
-    edges = _whole_network(spark, d).select("id", F.col("target_id").alias("evidence_source"))
-    new = spark.createDataFrame([("new-N1", "N1"), ("new-N2", "N2")], "id string, evidence_source string")
-    return G.replaced_source(edges, new).select("id")
-
-
 @query(
     f"""WITH {NETWORK.format(most=30)} SELECT node, neighbor, edge_id, edge_rank, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, edge_id) AS r FROM near) JOIN nation ON neighbor = 'N' || n_nationkey WHERE node IN ('R0', 'R3')"""
 )
@@ -879,3 +781,10 @@ def source_fingerprints(spark, d):
 def report_ranks(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.when(F.pmod("p_partkey", F.lit(4)) == 0, " ").otherwise("s").alias("summary"), (F.col("p_size") - 20).cast("string").alias("rank"))
     return S.bounded_ranks(p).select("p_partkey", "rank")
+
+
+#: Second names of queries that once read part of their tables.
+for _name in ("topk_per_source", "query_metrics", "metric_means", "neighbor_cap", "gephi_edge_table", "rrf_fusion", "global_fusion", "bigram_score", "retriever_comparison", "replaced_sources"):
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+    if _name in SQL:
+        SQL[f"{_name}_whole"] = SQL[_name]

@@ -16,6 +16,7 @@ from lodestone.operators import chunking as C
 from lodestone.operators import communities as Q
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
+from lodestone.operators import retrievers as V
 from lodestone.operators import semantic as S
 from lodestone.operators import sync as Y
 from lodestone.session import Config
@@ -197,8 +198,19 @@ def test_answer_round(spark):
     ev = hits.select("query_id", "source", "anchor", F.lit("H").alias("section_title"), "content", "score")
     assert A.violations(r, ev).isEmpty()
     assert r.select(A.footer(F.col("citations")).alias("f")).first().f == "\n\n来源：[p.md#a]"
-    nodes, edges = A.path_view(r)
-    assert nodes.count() == 4 and edges.count() == 3
+    said = r.withColumn("question", F.lit("Why?"))
+    nodes, edges = A.path_view(said, ev)
+    assert sorted(n.type for n in nodes.collect()) == ["citation", "document", "query", "retrieval"]
+    assert sorted(e.type for e in edges.collect()) == ["retrieved_document", "supports", "vector_search"]
+    steps = spark.createDataFrame([(1, "p.md", 0, "doc:x", "document", "X", None), (1, "p.md", 1, "ent:y", "entity", "Y", "MENTIONS"), (1, "p.md", 2, "doc:p", "document", "P", "MENTIONS")], "query_id int, source string, step int, node string, type string, name string, edge_type string")
+    nodes, edges = A.path_view(said, ev, "local", steps=steps)
+    assert sorted((n.type, n.label) for n in nodes.collect()) == [("citation", "最终引用 [1]"), ("document", "X"), ("document", "p.md"), ("entity", "Y"), ("query", "Why?")]
+    assert sorted((e.type, e.label) for e in edges.collect()) == [("graph_relation", "MENTIONS"), ("graph_relation", "MENTIONS"), ("graph_search", "图搜索"), ("supports", "支持答案")]
+    nodes, edges = A.path_view(said, ev, "local", steps=steps.where("step < 2"))
+    assert ("retrieved_document", "命中文档") in {(e.type, e.label) for e in edges.collect()}
+    nodes, edges = A.path_view(said, ev, "global", communities=spark.createDataFrame([(1, "p.md", "K1"), (1, "other.md", "K2")], "query_id int, source string, community_id string"))
+    assert sorted(e.type for e in edges.collect()) == ["community_match", "community_source", "supports"]
+    assert A.path_view(said, ev.where("source = 'x'"))[0].isEmpty()
     assert json.loads(A.evidence_json(hits).first().evidence)[0]["evidence_id"] == "ev_1"
 
 
@@ -286,3 +298,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows() == {"a": "THREE", "c": "FOUR"}
     settled = Z.settled_changes(spark.read.schema(Z.CHANGE).json(str(inbox)))
     assert {(r.source, r.change) for r in settled.collect()} >= {("a", "modified")}
+
+
+def test_answers_are_asked_for_again(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def client():
+        import pathlib
+
+        def ask(prompt):
+            seen = pathlib.Path(folder) / prompt.split("#")[1]
+            first = not seen.exists()
+            seen.touch()
+            if prompt.endswith("#3") and first:
+                raise OSError("busy")
+            bad = '{"status": "answered", "answer": [{"text": "So.", "evidence_ids": []}]}'
+            good = '{"status": "answered", "answer": [{"text": "So.", "evidence_ids": ["ev_1"]}]}'
+            return bad if first or prompt.endswith("#2") else good
+
+        return ask
+
+    hits = spark.createDataFrame([(q, 1, "p.md", "a", "S", "H", "f", "Body text here", 0.9 if q < 4 else 0.1) for q in (1, 2, 3, 4)], "query_id int, rank int, source string, anchor string, section_title string, heading string, filename string, content string, score double")
+    questions = spark.createDataFrame([(q, f"what #{q}") for q in range(1, 6)], "query_id int, question string")
+    got = {r.query_id: r for r in V.answered(client, questions, hits, "{context} {history}{question}").collect()}
+    assert {q: (r.status, r.attempts) for q, r in got.items()} == {1: ("answered", 2), 2: ("insufficient_evidence", 2), 3: ("answered", 2), 4: ("insufficient_evidence", 0), 5: ("insufficient_evidence", 0)}
+    assert got[1].citations[0].quote == "Body text here" and got[2].reason.startswith(V.INVALID) and got[4].reason == R.LOW_SCORE and got[5].reason == R.NO_EVIDENCE
+
+
+def test_local_retrieval_goes_through_entities(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0])], "query_id int, q_vec array<float>")
+    chunks = spark.createDataFrame([(1, "a.md", "x", "t", [1.0, 0.0]), (2, "b.md", "y", "t", [0.6, 0.8]), (3, "c.md", "z", "t", [0.8, 0.6]), (4, "d.md", "w", "t", [0.8, 0.6])], "chunk_id int, source string, anchor string, content string, vec array<float>")
+    doc = lambda s: spark.createDataFrame([(s,)], "s string").select(T.document_id(F.col("s")).alias("i")).first().i
+    nodes = spark.createDataFrame([*[(doc(f"{s}.md"), "document", f"{s}.md") for s in "abcd"], ("E", "entity", ""), ("F", "other", "")], "id string, type string, source string")
+    edges = spark.createDataFrame([("1", doc("a.md"), doc("b.md"), "LINKS_TO", 1.0), ("2", doc("c.md"), "E", "MENTIONS", 0.8), ("3", doc("d.md"), "F", "MENTIONS", 0.8)], "id string, source_id string, target_id string, type string, weight double")
+    entities = spark.createDataFrame([("E", [1.0, 0.0]), ("F", [1.0, 0.0]), ("G", [0.0, 1.0])], "entity_id string, vec array<float>")
+    found = V.local_retrieval(queries, chunks, nodes, edges, entities=entities, k=1, threshold=0.35).collect()
+    got = {r.source: r for r in found}
+    assert set(got) == {"a.md", "b.md", "c.md"} and {r.query_id for r in found} == {1}  # F is no entity; the second query finds nothing
+    assert got["b.md"].graph_score == pytest.approx(0.85) and got["c.md"].graph_score == pytest.approx(0.68) and len(got["b.md"].path) == 2
+    assert V.retrieval("global", queries, chunks, k=1).count() == 1  # without communities: basic
+    with pytest.raises(ValueError):
+        V.retrieval("other", queries, chunks)

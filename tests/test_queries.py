@@ -3,6 +3,7 @@
 import pytest
 from compare import rows, tables
 
+from lodestone.plans import composed  # noqa: F401  registers its queries
 from lodestone.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return tables(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.endswith("_whole")))  # the others are second names
 def test_query(spark, con, name):
     got = QUERIES[name](spark, DATA).toPandas()
     if name in SQL:
