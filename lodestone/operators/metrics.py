@@ -116,3 +116,49 @@ def set_scores(found: DataFrame, gold: DataFrame, on: list[str]) -> DataFrame:
     joined = found.withColumn("f", F.lit(1)).join(gold.withColumn("g", F.lit(1)), on, "full_outer")
     both = F.sum(F.when(F.col("f").isNotNull() & F.col("g").isNotNull(), 1).otherwise(0))
     return joined.agg(F.count("f").alias("n_found"), F.count("g").alias("n_gold"), both.alias("n_both")).select("*", (F.col("n_both") / F.col("n_found")).alias("precision"), (F.col("n_both") / F.col("n_gold")).alias("recall"))
+
+
+def evidence_recall(retrieved: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """A row per query of ``gold``: the share of its evidence among the first ``k``, whether all or any of it is, and the first rank."""
+    gold = gold.select("query_id", "item").distinct()
+    need = gold.groupBy("query_id").agg(F.count("*").alias("need"))
+    hits = retrieved.where(F.col("rank") <= k).join(gold, ["query_id", "item"]).groupBy("query_id").agg(F.countDistinct("item").alias("n"), F.min("rank").alias("first_relevant_rank"))
+    n = F.coalesce("n", F.lit(0))
+    facts = need.join(hits, "query_id", "left")
+    return facts.select("query_id", (n / F.col("need")).alias("evidence_recall"), (n == F.col("need")).alias("all_recalled"), (n > 0).alias("any_recalled"), "first_relevant_rank")
+
+
+def evidence_means(per_query: DataFrame, *by: str) -> DataFrame:
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    return per_query.groupBy(*by).agg(F.avg("evidence_recall").alias("evidence_recall"), share("all_recalled").alias("all_recalled"), share("any_recalled").alias("any_recalled"), F.avg(F.coalesce(1 / F.col("first_relevant_rank"), F.lit(0.0))).alias("mrr"))
+
+
+def retrieval_diagnostics(queries: DataFrame, retrieved: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: the share of queries with a source, sources a query, and the share of the corpus (``item``) that was retrieved."""
+    each = queries.select("query_id").join(retrieved.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    per_query = each.agg(F.avg((F.col("n") > 0).cast("int")).alias("nonempty"), F.avg("n").alias("sources_a_query"))
+    seen = retrieved.agg(F.countDistinct("item").alias("seen")).crossJoin(corpus.agg(F.countDistinct("item").alias("all")))
+    return per_query.crossJoin(seen).select("nonempty", "sources_a_query", (F.col("seen") / F.greatest("all", F.lit(1))).alias("coverage"))  # one row each
+
+
+def zipped(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of both in the places that they have in their orders, as far as both go; ``position`` counts from 1."""
+    return numbered(left, F.col(left_order)).join(numbered(right, F.col(right_order)), "position")
+
+
+def case_id(task, item_id, index):
+    """Id of an evaluation case: its task and twelve digits of a hash."""
+    index = index.cast("string")
+    return F.concat(task, F.lit("-"), F.substring(F.sha2(F.concat_ws("\0", task, F.coalesce(T.blank_to_null(item_id.cast("string")), index), index), 256), 1, 12))
+
+
+def evidence_count(task):
+    """How many documents a task's name asks for."""
+    return F.regexp_extract(task, r"(\d+)docs?$", 1).cast("int")
+
+
+def safety(local: DataFrame, forbidden: DataFrame, negatives: DataFrame) -> DataFrame:
+    """One row: the share of ``negatives`` (queries with no answer) that got nothing from the graph, and how many forbidden items came back."""
+    pass_rate = negatives.select("query_id").join(local.select("query_id").distinct().withColumn("met", F.lit(1)), "query_id", "left").agg(F.avg(F.when(F.col("met").isNull(), 1.0).otherwise(0.0)).alias("safe_negative_rate"))
+    leaks = local.select("query_id", "item").distinct().join(forbidden.select("query_id", "item").distinct(), ["query_id", "item"]).agg(F.count("*").alias("leaks"))
+    return pass_rate.crossJoin(leaks)  # one row each

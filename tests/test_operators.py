@@ -14,6 +14,8 @@ from lodestone.functions import text as T
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
 from lodestone.operators import communities as Q
+from lodestone.operators import embedding as E
+from lodestone.operators import lookups as L
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import retrievers as V
@@ -339,3 +341,27 @@ def test_local_retrieval_goes_through_entities(spark):
     assert V.retrieval("global", queries, chunks, k=1).count() == 1  # without communities: basic
     with pytest.raises(ValueError):
         V.retrieval("other", queries, chunks)
+
+
+def test_embedding_and_lookups(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Hello world"), (2, "hello  WORLD"), (3, None), (4, "other text")], "id int, content string")
+    got = {r.id: r.vec for r in E.embedded(df.repartition(2)).collect()}
+    assert got[1] == got[2] and not any(got[3]) and sum(x * x for x in got[4]) == pytest.approx(1, abs=1e-5)
+    lengths = E.embedded(df, lambda: lambda texts: [[len(x), 1.0] for x in texts], batch=1)
+    assert lengths.where("id = 3").first().vec == [0.0, 1.0]
+    old = spark.createDataFrame([("a", "document")], "id string, type string")
+    new = L.migrated(old, "nodes")
+    assert new.schema.simpleString() == L.emptied(spark, "nodes").schema.simpleString() and new.first().description == "" and L.emptied(spark, "edges").isEmpty()
+    with pytest.raises(ValueError):
+        L.migrated(old.drop("id"), "nodes")
+    paths = spark.createDataFrame([("a\\b.md", 1), ("c.md", 2)], "source string, n int")
+    assert L.of_source(paths, "a/b.md").first().n == 1
+    with pytest.raises(ValueError):
+        L.of_source(paths, "x.md")
+    rows = spark.createDataFrame([("b", 1), ("a", 2)], "id string, n int")
+    assert [r.id for r in L.snapshot(rows, rows)[0].collect()] == ["a", "b"]
+    context = spark.createDataFrame([("t1", "x"), ("t2", "x"), ("t1", "y")], "title string, body string").select(F.struct("title", "body").alias("c"))
+    assert context.select(L.report_key(F.col("c")).alias("k")).distinct().count() == 2
+    seen = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, item string")
+    safe = M.safety(seen, seen.where("query_id = 1"), spark.createDataFrame([(2,), (3,)], "query_id int")).first()
+    assert (safe.safe_negative_rate, safe.leaks) == (0.5, 1)
