@@ -444,8 +444,9 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", p
     near = neighbours(places)
     contents = lines.groupBy("host", "digest").agg(F.first("hashes").alias("others")).withColumnRenamed("digest", "near")
     near = near.join(contents, ["host", "near"]).select("host", "digest", "others")
-    of = lines.select("page_id", "key", "host", "digest").distinct().join(near, ["host", "digest"]).select(F.col("page_id").alias("p"), "key", "others")
-    joined = rows.join(of, rows["page_id"].eqNullSafe(of["p"]) & (rows["key"] == of["key"]), "left").select("page_id", "url", "html", "others")
+    ident = [F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), "key"]
+    of = lines.select(*ident, "host", "digest").join(near, ["host", "digest"]).groupBy("p", "key").agg(F.first("others").alias("others"))
+    joined = rows.select(*ident, "page_id", "url", "html").join(of, ["p", "key"], "left").select("page_id", "url", "html", "others")
     return joined.mapInArrow(_texts, "page_id bigint, url string, text string, n_shared bigint")
 
 
