@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.sync import digests
 from lodestone.session import dropped, written
 
 
@@ -102,29 +103,38 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, *, max_size: int = 100, seed:
 
 
 def community_rows(members: DataFrame, entities: DataFrame) -> DataFrame:
-    """A row per community: id over level and members, title of the first three names, size and text units.
+    """A row per community: id over level and members, title of the first three names, size.
 
-    Members are in the order of their ids.
+    Members are in the order of their ids; one whose entity is unknown doesn't count.
+    Only the three first members of a community ever come together in a row; its text
+    units are rows of :func:`community_units`.
     """
-    rows = members.join(entities.select(F.col("node_id").alias("node"), "name", "text_unit_ids"), "node")
-    listed = F.array_sort(F.collect_list(F.struct("node", "name", "text_unit_ids")))
-    out = rows.groupBy("level", "community", "parent").agg(listed.alias("m"))
-    names = F.transform(F.slice("m", 1, 3), lambda x: x["name"])
-    units = F.array_distinct(F.flatten(F.transform("m", lambda x: x["text_unit_ids"])))
-    ident = T.stable_id("community", F.col("level").cast("string"), F.array_join(F.transform("m", lambda x: x["node"]), "\0"))
-    return out.select("level", "community", "parent", ident.alias("id"), F.array_join(names, " / ").alias("title"), F.size("m").alias("size"), units.alias("text_unit_ids"))
+    keys = ["level", "community"]
+    rows = written(members.join(entities.select(F.col("node_id").alias("node"), "name"), "node"), "members")
+    facts = rows.groupBy(*keys).agg(F.min("parent").alias("parent"), F.count("*").alias("size"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("node"))).where("r <= 3")
+    titles = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("names"))
+    out = facts.join(titles, keys).join(digests(rows, keys, "node"), keys)
+    title = F.array_join(F.transform("names", lambda x: x["name"]), " / ")
+    ident = T.stable_id("community", F.col("level").cast("string"), F.col("digest"))
+    return out.select(*keys, "parent", ident.alias("id"), title.alias("title"), "size")
 
 
-def contexts(members: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(``community_id``, ``entities``, ``relations``): what a report is written from, all communities at once.
+def community_units(members: DataFrame, units: DataFrame) -> DataFrame:
+    """(``level``, ``community``, ``chunk_id``): the text units of each community's members; ``units`` has ``node_id, chunk_id``."""
+    return members.join(units.select(F.col("node_id").alias("node"), "chunk_id"), "node").select("level", "community", "chunk_id").distinct()
+
+
+def contexts(members: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a report is written from, all communities at once: rows of entities and rows of relations, by ``community_id``.
 
     Relations are those with both ends in the community: two equi-joins on members.
+    Rows stay rows; a caller that needs one text per community picks what fits a prompt.
     """
-    inside = members.join(entities, "node_id").groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "name", "description"))).alias("entities"))
+    inside = members.join(entities, "node_id").select("community_id", "node_id", "name", "description")
     a = relations.join(members.select(F.col("node_id").alias("source_id"), "community_id"), "source_id")
-    ab = a.join(members.select(F.col("node_id").alias("target_id"), "community_id"), ["target_id", "community_id"])
-    between = ab.groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "source_id", "target_id", "description"))).alias("relations"))
-    return inside.join(between, "community_id", "left")
+    between = a.join(members.select(F.col("node_id").alias("target_id"), "community_id"), ["target_id", "community_id"])
+    return inside, between.select("community_id", "edge_id", "source_id", "target_id", "description")
 
 
 def community_edges(rows: DataFrame, members: DataFrame) -> DataFrame:

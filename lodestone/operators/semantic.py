@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.sync import digests, last_of
 
 EXTRACTION = (
     "entities array<struct<name:string,type:string,description:string,aliases:array<string>,evidence_quote:string,confidence:string>>,"
@@ -69,31 +70,46 @@ def relationships(extractions: DataFrame, found: DataFrame, *, min_confidence: f
 
 def merged_rounds(rounds: DataFrame, *key: str, round: str = "round") -> DataFrame:
     """Rows of several extraction rounds: for each key that of the last round."""
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(round)))
-    return rounds.withColumn("r", last).where("r = 1").drop("r")
+    return last_of(rounds, list(key), round)
 
 
-def _values(rows: str, field: str) -> Column:
-    return F.array_distinct(F.filter(F.transform(rows, lambda x: T.strip(x[field])), lambda x: x != ""))
+def _described(evidence: DataFrame, key: str, seen: Column) -> DataFrame:
+    """(``key``, ``description``) merged from the distinct descriptions of each item, in the order in which they are first seen."""
+    rows = evidence.select(key, T.strip(F.col("raw_description")).alias("d"), seen.alias("seen")).where("d <> ''")
+    once = rows.groupBy(key, "d").agg(F.min("seen").alias("seen"))
+    listed = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seen", "d"))).alias("l"))
+    return listed.select(key, T.merged_descriptions(F.transform("l", lambda x: x["d"])).alias("description"))
 
 
 def merged_entities(evidence: DataFrame) -> DataFrame:
-    """One row per ``node_id`` from its evidence, the surest first.
+    """One row per ``node_id`` from its evidence, the surest first: name, type, aliases, description, frequency.
 
     ``evidence`` has ``node_id, chunk_id, entity_name, entity_type, raw_description,
-    aliases, confidence``. An entity's evidence is held as one array; its
-    repeated descriptions are dropped before, so it grows with the chunks that name it.
+    aliases, confidence``; a null confidence counts as the least. Evidence is reduced
+    before it is shuffled: a row holds the different aliases and descriptions of an
+    entity, never its chunks, which :func:`entity_units` lists as rows.
     """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "chunk_id", "entity_name", "entity_type", "raw_description", "aliases")))
-    out = evidence.groupBy("node_id").agg(rows.alias("rows"))
+    order = F.coalesce(-F.col("confidence"), F.lit(float("inf")))
+    first = F.min(F.struct(order.alias("order"), "chunk_id", "entity_name", "entity_type"))
+    facts = evidence.groupBy("node_id").agg(first.alias("first"), F.countDistinct("chunk_id").alias("frequency"))
+    named = evidence.select("node_id", order.alias("order"), "chunk_id", F.posexplode("aliases").alias("pos", "alias"))
+    named = named.groupBy("node_id", "alias").agg(F.min(F.struct("order", "chunk_id", "pos")).alias("seen"))
+    named = named.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    described = _described(evidence, "node_id", F.struct(order.alias("order"), "chunk_id"))
+    out = facts.join(named, "node_id", "left").join(described, "node_id", "left")
     return out.select(
         "node_id",
-        F.col("rows")[0]["entity_name"].alias("name"),
-        F.col("rows")[0]["entity_type"].alias("entity_type"),
-        F.array_distinct(F.flatten(F.transform("rows", lambda x: x["aliases"]))).alias("aliases"),
-        F.array_distinct(F.transform("rows", lambda x: x["chunk_id"])).alias("text_unit_ids"),
-        T.merged_descriptions(_values("rows", "raw_description")).alias("description"),
-    ).withColumn("frequency", F.size("text_unit_ids").cast("bigint"))
+        F.col("first.entity_name").alias("name"),
+        F.col("first.entity_type").alias("entity_type"),
+        F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
+        F.coalesce("description", F.lit("")).alias("description"),
+        "frequency",
+    )
+
+
+def entity_units(evidence: DataFrame) -> DataFrame:
+    """(``node_id``, ``chunk_id``, ``confidence``): the chunks that name each entity, with the highest confidence."""
+    return evidence.where("chunk_id IS NOT NULL").groupBy("node_id", "chunk_id").agg(F.max("confidence").alias("confidence"))
 
 
 def merged_relations(evidence: DataFrame) -> DataFrame:
@@ -104,19 +120,15 @@ def merged_relations(evidence: DataFrame) -> DataFrame:
         F.avg("strength").alias("mean_strength"),
         F.sum("strength").alias("strength"),
         F.countDistinct("chunk_id").alias("frequency"),
-        _values_of(F.array_sort(F.collect_list(F.struct("chunk_id", "raw_description")))).alias("descriptions"),
     )
     counts = evidence.groupBy("edge_id", "predicate").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
-    best = F.row_number().over(Window.partitionBy("edge_id").orderBy(F.desc("n"), F.asc("first"), F.asc("predicate")))
-    top = counts.withColumn("r", best).where("r = 1").select("edge_id", "predicate")
-    maps = counts.groupBy("edge_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "n")))).alias("predicates"))
+    named = counts.groupBy("edge_id").agg(
+        F.min_by("predicate", F.struct(-F.col("n"), "first", "predicate")).alias("predicate"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "n")))).alias("predicates"),
+    )
     weight = F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.col("mean_strength") / 10 * 0.7))
-    out = facts.join(top, "edge_id").join(maps, "edge_id")
-    return out.select("edge_id", "source_id", "target_id", weight.alias("weight"), "strength", "frequency", "predicate", "predicates", T.merged_descriptions(F.col("descriptions")).alias("description"))
-
-
-def _values_of(rows: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(rows, lambda x: T.strip(x["raw_description"])), lambda x: x != ""))
+    out = facts.join(named, "edge_id").join(_described(evidence, "edge_id", F.col("chunk_id")), "edge_id", "left")
+    return out.select("edge_id", "source_id", "target_id", weight.alias("weight"), "strength", "frequency", "predicate", "predicates", F.coalesce("description", F.lit("")).alias("description"))
 
 
 def mention_edges(evidence: DataFrame) -> DataFrame:
@@ -132,8 +144,7 @@ def description_groups(evidence: DataFrame, key: str, least: int = 2) -> DataFra
 
 def replaced_evidence(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Evidence after the sources in ``new`` are replaced; of equal (item, chunk) the last by ``ord`` stays."""
-    last = F.row_number().over(Window.partitionBy(key, "chunk_id").orderBy(F.desc("ord")))
-    fresh = new.withColumn("r", last).where("r = 1").drop("r", "ord")
+    fresh = last_of(new, [key, "chunk_id"], "ord").drop("ord")
     return old.join(new.select("source").distinct(), "source", "left_anti").unionByName(fresh)
 
 
@@ -147,9 +158,9 @@ def cache_key(*parts: Column) -> Column:
 
 
 def fingerprint(chunks: DataFrame, *versions: str) -> DataFrame:
-    """(``source``, ``fingerprint``) over a source's chunks in order of id, and versions."""
-    body = F.to_json(F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2("content", 256).alias("hash")))))
-    return chunks.groupBy("source").agg(body.alias("b")).select("source", cache_key(F.col("b"), *[F.lit(v) for v in versions]).alias("fingerprint"))
+    """(``source``, ``fingerprint``) over the ids and texts (null: empty) of a source's chunks, and versions."""
+    hashed = chunks.select("source", "chunk_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
+    return digests(hashed, ["source"], "chunk_id", "hash").select("source", cache_key(F.col("digest"), *[F.lit(v) for v in versions]).alias("fingerprint"))
 
 
 def cached(asked: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:

@@ -25,10 +25,28 @@ def upserted(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 
-def latest_changes(events: DataFrame, *, key: str = "source", order: str = "ts", tie: str | None = None) -> DataFrame:
-    """The last event of each key: what a debounced batch applies."""
-    columns = [F.desc(order), *([F.desc(tie)] if tie else [])]
-    return events.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*columns))).where("r = 1").drop("r")
+def last_of(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """For each key the row with the greatest ``order`` (nulls are the least); reduced before the shuffle."""
+    last = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(*[F.col(c).alias(f"key{i}") for i, c in enumerate(key)]).agg(last.alias("last")).select("last.*")
+
+
+def latest_changes(events: DataFrame, *, key: str = "source", order: str = "ts", tie: str | list[str] | None = None) -> DataFrame:
+    """The last event of each key: what a debounced batch applies. ``tie`` names columns that decide between equal times."""
+    ties = [tie] if isinstance(tie, str) else tie or []
+    return last_of(events, [key], order, *ties)
+
+
+def digests(rows: DataFrame, keys: list[str], item: str, *more: str) -> DataFrame:
+    """(``keys``, ``digest``): a SHA-256 over each group's items in order.
+
+    Items are hashed in up to 65,536 parts by their own hash, then the parts' hashes:
+    no task holds the items of a large group.
+    """
+    part = F.substring(F.sha2(F.col(item), 256), 1, 4)
+    listed = lambda *c: F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*c)))), 256)
+    parts = rows.groupBy(*keys, part.alias("part")).agg(listed(item, *more).alias("hash"))
+    return parts.groupBy(*keys).agg(listed("part", "hash").alias("digest"))
 
 
 def quiet_batches(events: DataFrame, quiet_seconds: float = 2.0, *, key: str = "source", ts: str = "ts") -> DataFrame:

@@ -579,8 +579,10 @@ def community_context(spark, d):
     members = n.select(F.concat(F.lit("R"), "n_regionkey").alias("community_id"), F.col("n_nationkey").alias("node_id"))
     entities = n.select(F.col("n_nationkey").alias("node_id"), F.col("n_name").alias("name"), F.lit("").alias("description"))
     relations = n.select(F.concat(F.lit("e"), "n_nationkey").alias("edge_id"), F.col("n_nationkey").alias("source_id"), F.pmod(F.col("n_nationkey") * 7 + 3, F.lit(25)).alias("target_id"), F.lit("").alias("description"))
-    out = Q.contexts(members, entities, relations)
-    return out.select("community_id", F.size("entities").cast("bigint").alias("n_entities"), F.greatest(F.coalesce(F.size("relations"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_relations"))
+    inside, between = Q.contexts(members, entities, relations)
+    counted = between.groupBy("community_id").agg(F.count("*").alias("n_relations"))
+    out = inside.groupBy("community_id").agg(F.count("*").alias("n_entities")).join(counted, "community_id", "left")
+    return out.select("community_id", "n_entities", F.coalesce("n_relations", F.lit(0)).alias("n_relations"))
 
 
 # ---- answers ------------------------------------------------------------------------------
@@ -717,7 +719,19 @@ def community_titles(spark, d):
     n = table(spark, d, "nation")
     node = (F.col("n_nationkey") + 100).cast("string")
     members = n.select(F.lit(0).alias("level"), F.concat(F.lit("K"), "n_regionkey").alias("community"), F.lit("").alias("parent"), node.alias("node"))
-    return Q.community_rows(members, n.select(node.alias("node_id"), F.col("n_name").alias("name"), F.array(F.col("n_name")).alias("text_unit_ids"))).select("level", "community", "title", "size")
+    return Q.community_rows(members, n.select(node.alias("node_id"), F.col("n_name").alias("name"))).select("level", "community", "title", "size")
+
+
+@query("SELECT DISTINCT 'K' || n_regionkey AS community, s_name AS chunk_id FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def community_units(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    members = n.select(F.lit(0).alias("level"), F.concat(F.lit("K"), "n_regionkey").alias("community"), F.col("n_nationkey").alias("node"))
+    return Q.community_units(members, s.select(F.col("s_nationkey").alias("node_id"), F.col("s_name").alias("chunk_id"))).select("community", "chunk_id")
+
+
+@query(f"WITH {NODE_EVIDENCE} SELECT node_id, chunk_id, max(confidence) AS confidence FROM ev GROUP BY ALL")
+def entity_units(spark, d):
+    return S.entity_units(_node_evidence(spark, d))
 
 
 @query(
@@ -771,7 +785,11 @@ def subgraph(spark, d):
     return G.neighbors(_network(spark, d), nodes, asked).select("node", "neighbor", "edge_id", "edge_rank", "name")
 
 
-@query("SELECT source, sha256('[' || string_agg('{\"chunk_id\":\"' || lpad(doc_id::VARCHAR, 9, '0') || '\",\"hash\":\"' || sha256(text) || '\"}', ',' ORDER BY doc_id) || ']' || chr(0) || 'v1') AS fingerprint FROM documents GROUP BY source")
+@query(
+    """WITH c AS (SELECT source, lpad(doc_id::VARCHAR, 9, '0') AS id, sha256(coalesce(text, '')) AS h FROM documents),
+    p AS (SELECT source, substr(sha256(id), 1, 4) AS part, sha256('[' || string_agg('{"chunk_id":"' || id || '","hash":"' || h || '"}', ',' ORDER BY id) || ']') AS h FROM c GROUP BY ALL)
+    SELECT source, sha256(sha256('[' || string_agg('{"part":"' || part || '","hash":"' || h || '"}', ',' ORDER BY part) || ']') || chr(0) || 'v1') AS fingerprint FROM p GROUP BY source"""
+)
 def source_fingerprints(spark, d):
     chunks = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_id"), F.col("text").alias("content"))
     return S.fingerprint(chunks, "v1")

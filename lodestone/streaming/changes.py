@@ -32,7 +32,7 @@ def apply_batch(spark: SparkSession, changes: DataFrame, table: str, build: Call
     current one, so a lost driver leaves a whole version behind. Applying a batch
     again gives the same table.
     """
-    last = latest_changes(changes)
+    last = latest_changes(changes, tie=["change", "content"])
     fresh = build(last.where("change <> 'deleted'"))
     current = current_version(spark, table)
     if current is not None:

@@ -159,7 +159,13 @@ def test_extraction_rules(spark):
 def test_evidence_merges(spark):
     ev = spark.createDataFrame([("n", "c2", "B", "t", "two；", ["x"], 0.5), ("n", "c1", "A", "t", "one。", ["y", "x"], 0.9), ("n", "c1", "A", "t", "one。", [], 0.9)], "node_id string, chunk_id string, entity_name string, entity_type string, raw_description string, aliases array<string>, confidence double")
     r = S.merged_entities(ev).first()
-    assert (r.name, r.description, r.frequency, sorted(r.aliases), r.text_unit_ids) == ("A", "one；two。", 2, ["x", "y"], ["c1", "c2"])
+    assert (r.name, r.description, r.frequency, r.aliases) == ("A", "one；two。", 2, ["y", "x"])
+    units = S.entity_units(ev).orderBy(F.desc("confidence")).collect()
+    assert [(u.node_id, u.chunk_id, u.confidence) for u in units] == [("n", "c1", 0.9), ("n", "c2", 0.5)]
+    bare = spark.createDataFrame([("m", "c1", "M", "t", None, None, None), ("m", "c2", "N", "t", " ", [], 0.1)], ev.schema)
+    r = S.merged_entities(bare).first()
+    assert (r.name, r.description, r.frequency, r.aliases) == ("N", "", 2, [])
+    assert S.merged_entities(ev.limit(0)).isEmpty()
     rel = spark.createDataFrame([("e", "a", "b", c, d, s, p) for c, d, s, p in (("c1", "x", 4.0, "P"), ("c2", "x", 8.0, "Q"), ("c3", "", 0.0, "Q"), ("c4", "y", 0.0, "P"))], "edge_id string, source_node_id string, target_node_id string, chunk_id string, raw_description string, strength double, predicate string")
     r = S.merged_relations(rel).first()
     assert (r.predicate, r.strength, r.frequency, r.description, r.predicates) == ("P", 12.0, 4, "x；y。", {"P": 2, "Q": 2}) and r.weight == pytest.approx(0.21)
@@ -228,6 +234,34 @@ def test_upkeep(spark):
     assert Y.kept_sessions(spark.createDataFrame([("a", 1), ("b", 2)], "session string, first_seen int"), 1).first().session == "b"
 
 
+def test_last_rows_and_digests(spark):
+    events = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, "u"), (None, 3, "n")], "source string, ts int, change string")
+    got = {(r.source, r.ts, r.change) for r in Y.latest_changes(events, tie="change").collect()}
+    assert got == {("a", 2, "z"), ("b", None, "u"), (None, 3, "n")}
+    rounds = events.withColumnRenamed("ts", "round")
+    assert {r.change for r in S.merged_rounds(rounds.where("source = 'a' AND change <> 'z'"), "source").collect()} == {"y"}
+    old = spark.createDataFrame([("s1", "e", "c1"), ("s2", "e", "c2")], "source string, edge_id string, chunk_id string")
+    new = spark.createDataFrame([("s2", "e", "c3", 1), ("s2", "e", "c3", 2), ("s2", "f", "c3", 1)], "source string, edge_id string, chunk_id string, ord int")
+    assert sorted((r.source, r.edge_id, r.chunk_id) for r in S.replaced_evidence(old, new, "edge_id").collect()) == [("s1", "e", "c1"), ("s2", "e", "c3"), ("s2", "f", "c3")]
+    # a digest depends on the items, not on their order or partitions
+    chunks = spark.range(300).selectExpr("'s' || id % 2 AS source", "'c' || id AS chunk_id", "'text ' || id AS content")
+    mark = lambda df, *v: {r.source: r.fingerprint for r in S.fingerprint(df, *v).collect()}
+    first = mark(chunks, "v1")
+    assert mark(chunks.orderBy(F.desc("chunk_id")).repartition(7), "v1") == first
+    assert mark(chunks, "v2")["s0"] != first["s0"]
+    one_less = mark(chunks.where("chunk_id <> 'c4'"), "v1")
+    assert one_less["s1"] == first["s1"] and one_less["s0"] != first["s0"]
+
+
+def test_community_rows(spark):
+    members = spark.createDataFrame([(0, "a", None, x) for x in "edcba"] + [(1, "a", "a", x) for x in "ab"], "level int, community string, parent string, node string")
+    entities = spark.createDataFrame([(x, x.upper()) for x in "abcde"], "node_id string, name string")
+    got = {r.level: r for r in Q.community_rows(members, entities).collect()}
+    assert (got[0].title, got[0].size, got[0].parent) == ("A / B / C", 5, None) and (got[1].title, got[1].size, got[1].parent) == ("A / B", 2, "a")
+    again = {r.level: r.id for r in Q.community_rows(members.repartition(5), entities).collect()}
+    assert again == {k: r.id for k, r in got.items()} and len(set(again.values())) == 2
+
+
 def test_config():
     assert Config.from_dict({"top_k": 3}).top_k == 3
     for bad in ({"nope": 1}, {"api_key": "x"}, {"top_k": 0}, {"chunk_overlap": 900}):
