@@ -327,7 +327,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (inbox / "1.json").write_text("\n".join([event("a", "created", 1, "one"), event("b", "created", 2, "two"), event("a", "modified", 3, "three")]))
     stream = lambda: Z.watch(Z.read_changes(spark, str(inbox)), table, build, str(tmp_path / "ck")).awaitTermination()
     stream()
-    rows = lambda: {r.source: r.content for r in spark.read.parquet(f"{table}/v{Z.current_version(spark, table)}").collect()}
+    rows = lambda: {r.source: r.content for r in Z.current_table(spark, table).collect()}
     assert rows() == {"a": "THREE", "b": "TWO"}
     (inbox / "2.json").write_text("\n".join([event("b", "deleted", 4), event("c", "created", 5, "four")]))
     stream()
@@ -336,6 +336,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.source, r.change) for r in settled.collect()} >= {("a", "modified")}
 
 
+def test_batches_rewrite_their_buckets(spark, tmp_path):
+    table = str(tmp_path / "table")
+    build = lambda df: df.select("source", F.explode(F.split("content", " ")).alias("word"))
+    at = lambda *rows: spark.createDataFrame(list(rows), "source string, change string, ts int, content string").withColumn("ts", F.timestamp_seconds("ts"))
+    apply = lambda *rows: Z.apply_batch(spark, at(*rows), table, build, buckets=8)
+    state = lambda: sorted((r.source, r.word) for r in Z.current_table(spark, table).collect())
+    assert Z.current_table(spark, table) is None
+    first = [(f"s{i}", "created", 1, f"a{i} b{i}") for i in range(30)]
+    apply(*first)
+    want = sorted((f"s{i}", f"{x}{i}") for i in range(30) for x in "ab")
+    assert state() == want
+    apply(("s3", "modified", 2, "new"), ("s3", "modified", 2, "least"))  # a tie: the greater content
+    want = sorted([w for w in want if w[0] != "s3"] + [("s3", "new")])
+    assert state() == want
+    assert len([p for p in (tmp_path / "table" / "v1").iterdir() if p.name.startswith("bucket=")]) == 1
+    (tmp_path / "table" / "v2").mkdir()  # a version that was never finished
+    apply(("s3", "modified", 2, "new"))  # again: the same table
+    assert state() == want
+    apply()
+    assert Z.current_version(spark, table) == 2
+    apply(*[(s, "deleted", 3, None) for s, *_ in first])
+    assert state() == []
+    apply(("t", "created", 4, "x"))
+    assert state() == [("t", "x")]
+    assert {p.name for p in (tmp_path / "table" / "versions").iterdir()} == {"3", "4"}
+    assert not [p for v in ("v0", "v1") for p in (tmp_path / "table" / v).iterdir() if p.name.startswith("bucket=")]
+
+
 def test_answers_are_asked_for_again(spark, tmp_path):
     folder = str(tmp_path)
 
