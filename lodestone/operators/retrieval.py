@@ -7,14 +7,22 @@ A query table has ``query_id`` and ``q_vec``; a chunk table has ``chunk_id``,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions import text as T
-from lodestone.functions.vectors import dot
 
-#: Queries that are sent to all tasks at once; more are taken in blocks of so many.
+#: Queries that are sent to all tasks at once; more are taken in blocks of so many, or of so many bytes.
 QUERY_BLOCK = 10_000
+BLOCK_BYTES = 64 << 20
+#: Pairs of a query and a chunk that a task scores in one step.
+TILE = 1 << 21
 #: The reasons of a refusal.
 NO_EVIDENCE, LOW_SCORE, NOT_CITABLE = "未检索到足够证据", "最高检索相关度低于可靠回答阈值", "检索片段缺少可追溯的路径、anchor 或原文"
 
@@ -25,25 +33,86 @@ def ranked(df: DataFrame, k: int | None, *order: Column, by: tuple[str, ...] = (
     return out if k is None else out.where(F.col(rank) <= k)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", where: Column | None = None, score=dot, block: int = QUERY_BLOCK) -> DataFrame:
+def _best(place: np.ndarray, chunk: np.ndarray, query: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best pairs of each query; of equal scores those whose chunk comes first in the order of keys."""
+    order = np.lexsort((place[chunk], -score, query))
+    chunk, query, score = chunk[order], query[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return chunk[keep], query[keep], score[keep]
+
+
+def _nearest(v: np.ndarray, q: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row of ``v``, row of ``q``, score) of the ``k`` best rows of ``v`` for each row of ``q``.
+
+    A matrix product finds the candidates, with a margin for its rounding; their scores
+    are then added in the order of the dimensions, so equal vectors have equal scores.
+    """
+    margin = 1e-9 * np.sqrt((v * v).sum(1).max() * (q * q).sum(1))
+    step = max(1, TILE // len(q))
+    found = []
+    for lo in range(0, len(v), step):
+        rough = q @ v[lo : lo + step].T
+        if k < rough.shape[1]:
+            least = np.partition(rough, -k, axis=1)[:, -k] - margin
+            query, chunk = np.nonzero(rough >= least[:, None])
+        else:
+            query, chunk = (x.ravel() for x in np.indices(rough.shape))
+        chunk = chunk + lo
+        score = np.zeros(len(query))
+        for j in range(v.shape[1]):
+            score += q[query, j] * v[chunk, j]
+        found.append(_best(place, chunk, query, score, k))
+    return _best(place, *(np.concatenate(x) for x in zip(*found, strict=True)), k)
+
+
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of ``chunks`` for each query, by exact score; ties by ``key``.
 
     ``where`` is applied before scoring, so it reaches the scan. The query set is
-    broadcast in blocks of ``block`` rows; the chunk table is read once a block and
-    never moved but for each task's best rows.
+    sent to all tasks in blocks of at most ``block`` rows and ``BLOCK_BYTES``; the chunk
+    table is read once a block, with the columns that are given here, and only the best
+    rows of each batch are moved. A vector that is null, of another length than the query's or holds
+    a null or no finite number is no hit, and such a query has none.
     """
+    spark = chunks.sparkSession
     if where is not None:
         chunks = chunks.where(where)
-    numbered = queries.select("query_id", "q_vec")
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
+    rest = [c for c in chunks.columns if c != "vec"]
+    schema = StructType([*[chunks.schema[c] for c in rest], queries.schema["query_id"], StructField("score", DoubleType())])
     out = None
-    for b in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = chunks.crossJoin(F.broadcast(part)).withColumn("score", score(F.col("q_vec"), F.col("vec"))).drop("q_vec", "vec")
-        best = ranked(scored, k, F.desc("score"), F.asc(key))
-        out = best if out is None else out.unionByName(best)
-    return out
+
+    def search(shared, width):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                vec = batch.column("vec")
+                rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vec), width), False).to_numpy(zero_copy_only=False))
+                v = vec.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+                whole = np.isfinite(v).all(axis=1)
+                rows, v = rows[whole], v[whole]
+                if not len(rows):
+                    continue
+                place = np.empty(batch.num_rows, np.int64)
+                place[pc.sort_indices(batch.column(key), null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+                chunk, query, score = _nearest(v, q, place[rows], k)
+                at = pa.array(rows[chunk])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in rest], ids.take(pa.array(query)), pa.array(score)], names=schema.names)
+
+        return run
+
+    for width, n in queries.where(F.size("q_vec") > 0).groupBy(F.size("q_vec")).count().collect():  # a row for each length
+        blocks = -(-n // max(1, min(block, BLOCK_BYTES // (8 * width))))
+        for b in range(blocks):
+            part = queries.where((F.size("q_vec") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+            held = part.select("query_id", F.col("q_vec").cast("array<double>")).toArrow()
+            q = held["q_vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            good = np.isfinite(q).all(axis=1)
+            if not good.any():
+                continue
+            shared = spark.sparkContext.broadcast((held["query_id"].combine_chunks().filter(pa.array(good)), q[good]))
+            best = ranked(chunks.mapInArrow(search(shared, width), schema), k, F.desc("score"), F.asc(key))
+            out = best if out is None else out.unionByName(best)
+    return ranked(spark.createDataFrame([], schema), k, F.desc("score"), F.asc(key)) if out is None else out
 
 
 def topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, score: Column, key: str = "chunk_id") -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.vectors import dot as dot_product
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
 from lodestone.operators import communities as Q
@@ -117,6 +118,25 @@ def test_vector_blocks_give_the_same(spark):
     assert one_block.exceptAll(many).isEmpty() and one_block.count() == 21
 
 
+def test_topk_is_exact(spark):
+    rng = random.Random(5)
+    vectors = [[rng.choice((-0.3, 0.1, 0.7)) for _ in range(6)] for _ in range(60)]
+    chunks = [(f"c{i:03d}", rng.choice(vectors)) for i in range(400)]  # many equal vectors, so many ties
+    odd = [("n", None), ("short", [1.0]), ("hole", [1.0, None, 0.0, 0.0, 0.0, 0.0]), ("nan", [float("nan")] * 6)]
+    asked = [(i, rng.choice(vectors)) for i in range(23)] + [(90, None), (91, [1.0] * 5), (92, [])]
+    c = spark.createDataFrame(chunks + odd, "chunk_id string, vec array<float>").withColumn("note", F.col("chunk_id")).repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, q_vec array<float>").withColumn("other", F.lit(1))
+    dot = dot_product(F.col("q_vec"), F.col("vec"))
+    pairs = q.where("query_id < 90").crossJoin(c.where("chunk_id LIKE 'c%'")).withColumn("score", dot)
+    want = R.ranked(pairs, 5, F.desc("score"), F.asc("chunk_id")).select("query_id", "chunk_id", "note", "score", "rank")
+    want = sorted(map(tuple, want.collect()))
+    for block in (10_000, 7):
+        got = R.vector_topk(q, c, 5, block=block).select("query_id", "chunk_id", "note", "score", "rank")
+        assert sorted(map(tuple, got.collect())) == want
+    assert R.vector_topk(q.where("query_id >= 90"), c, 5).isEmpty()
+    assert R.vector_topk(q, c.limit(0), 5).isEmpty() and R.vector_topk(q.limit(0), c, 5).isEmpty()
+
+
 def test_metric_vectors(spark):
     r = spark.createDataFrame([("a", "x", 1), ("a", "g1", 2), ("a", "g2", 3)], "query_id string, item string, rank int")
     g = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "z")], "query_id string, item string")
