@@ -11,13 +11,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone import session
 from lodestone.session import dropped as drop_written  # noqa: F401
@@ -168,3 +170,99 @@ def segment_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_letters[buffer] * powers[: len(buffer)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def numbered_within(rows: DataFrame, key: str, order: list, *, ranges: list, keep: list[str], name: str = "pos") -> DataFrame:
+    """Columns ``keep`` and the rows' numbers from 1 within ``key``, in the order of ``order``.
+
+    Rows are dealt out in ranges of (``key``, ``ranges``), where ``ranges`` are
+    expressions that the order refines, so a key with very many rows is spread over
+    tasks. A range has at most one key that began before it, and so the numbers to
+    start from are at most one row a range; these are broadcast. ``key`` must be in
+    ``keep``; a null key is a key like any other, and equal rows are numbered in any order.
+    """
+    # ranges first: the order's own columns may be long texts, of which Spark would sample range bounds
+    dealt = rows.repartitionByRange(F.col(key), *ranges).sortWithinPartitions(F.col(key), *order).select(*keep, F.spark_partition_id().alias("range"))
+    at = keep.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = batch.column(at)
+            fresh = np.ones(n, bool)
+            same = pc.equal(ids[1:], ids[:-1])
+            both = pc.and_(pc.is_null(ids[1:]), pc.is_null(ids[:-1]))
+            fresh[1:] = ~pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
+            first = ids[0].as_py()
+            if last == (first,):
+                fresh[0] = False
+            starts = np.flatnonzero(fresh)
+            index = np.arange(n)
+            begun = np.searchsorted(starts, index, "right") - 1
+            number = np.where(begun >= 0, index - starts[begun] if len(starts) else 0, index + done) + 1
+            last, done = (ids[n - 1].as_py(),), int(number[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number.astype(np.int64))], names=[*keep, "range", "nth"])
+        trim()
+
+    schema = StructType([*dealt.schema.fields, StructField("nth", LongType())])
+    split = written(dealt.mapInArrow(run, schema), "numbered")
+    held = split.groupBy(F.col(key).alias("held"), F.col("range").alias("held_range")).agg(F.max("nth").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("held").orderBy("held_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = held.select("held", "held_range", before.alias("before")).where("before > 0")  # at most one row for each range
+    joined = split.join(F.broadcast(starts), (F.col("range") == F.col("held_range")) & F.col(key).eqNullSafe(F.col("held")), "left")
+    return joined.select(*keep, (F.col("nth") + F.coalesce("before", F.lit(0))).alias(name))
+
+
+def digests_of_sequences(members: DataFrame, group: str, order: str, piece: str, *, separator: str, pieces: int = 1000) -> DataFrame:
+    """(``group``, ``sha256``): the digest of each group's ``piece`` strings in order, joined by ``separator``.
+
+    A digest is made from front to back, so a group is hashed by one task, which
+    reads it as a stream. Tasks that hold ranges of the order join up to ``pieces``
+    strings beforehand, so even a group with a large part of all rows comes as few rows.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, held = None, None, []
+        for batch in batches:
+            out = []
+            for g, o, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (g != key or len(held) >= pieces):
+                    out.append((key, first, separator.join(held)))
+                    held = []
+                if not held:
+                    key, first = g, o
+                held.append(p)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), batch.schema.types, strict=True)], names=batch.schema.names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((key, first, separator.join(held)), batch.schema.types, strict=True)], names=batch.schema.names)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for g, _, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is not None and g == key:
+                    state.update(separator.encode())
+                else:
+                    if state is not None:
+                        out.append((key, state.hexdigest()))
+                    key, state = g, hashlib.sha256()
+                state.update(p.encode())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], batch.schema.types[0]), pa.array([d for _, d in out])], names=["group", "sha256"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.types[0]), pa.array([state.hexdigest()])], names=["group", "sha256"])
+
+    chosen = members.select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(piece).cast("string").alias("piece"))
+    joined = chosen.repartitionByRange("group", "order").sortWithinPartitions("group", "order").mapInArrow(join, chosen.schema)
+    kind = chosen.schema["group"].dataType.simpleString()
+    return joined.repartition("group").sortWithinPartitions("group", "order").mapInArrow(digest, f"group {kind}, sha256 string").withColumnRenamed("group", group)
+
+
+#: SQL for the unsigned CRC-32 of the ASCII string {x}, a bit at a time.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)),
+         lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295::BIGINT)"""
