@@ -13,6 +13,7 @@ their length, which is arithmetic on a row.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,55 +24,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.bpe import tokenizer_path
 from lodestone.llm.shared import load, trim, written
 
 #: Tokens of a sequence, and the token that ends a document.
 CAPACITY, END_ID = 2048, 0
-#: Words (between spaces) of which a worker keeps the ids, in each of two generations, and the longest of them.
+#: Words of which a worker keeps the ids, in each of two generations, and the longest of them.
 KEPT_WORDS, KEPT_CHARS = 150_000, 48
 #: ``str.split`` takes these for spaces; the tokenizer does not.
 _NOT_SPACES = re.compile(r"[\x1c-\x1f]")
 _SPACES = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: Texts in letters that stay as they are under NFC and have one small letter each, and the tokenizer's words of them.
+LATIN = re.compile(r"[\x00-įı-ſ]*")
+_L, _N, _S = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 class SpacedTokenizer:
     """Token ids of texts by a tokenizer that drops white space, so that what stands between spaces is encoded alone.
 
-    Words between spaces are encoded by the library, frequent ones once.
+    Texts of Latin letters are split into words here, and the library's model gets
+    each distinct word once, many at a time. Of all other texts the library encodes
+    what stands between spaces, frequent pieces once.
     """
 
+    #: What the files for this class say of themselves; fixed values.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    END = "</w>"
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        split, level = [*before.get("pretokenizers", []), {}, {}][:2]
+        known = {"normalizer": {"type": "Sequence", "normalizers": self.NORMALIZERS}, "post_processor": None}
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain = all(not model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if {k: spec[k] for k in known} != known or split.get("pattern") != {"Regex": self.WORDS} or level != byte_level or model["end_of_word_suffix"] != self.END or not plain:
+            raise ValueError(f"{path}: not a tokenizer of lower-case words with end marks")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
-        probes = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x85", "\xa0", " ", "　", "\n\n "]
-        if ids(" ") or any(ids(f"ab{s}cd,{s}'s") != ids("ab") + ids("cd,") + ids("'s") for s in probes):
-            raise ValueError(f"{path}: this tokenizer does not drop white space")
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [(_SPACES.split(t) if _NOT_SPACES.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        need = set().union(*split).difference(words)
+        # for words split already, between single spaces
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for k, i in model["vocab"].items() if k.endswith(self.END)]] = True
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        # by whether they are words of Latin texts or pieces between spaces; those of late, and those before
+        self.words: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+        self.older: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+
+    def _encoded(self, words: list[str], latin: bool) -> Iterator[bytes]:
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            if not latin:
+                yield from (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False))
+                continue
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            assert len(stops) == len(part)
+            data = ids.tobytes()
+            yield from (data[a:b] for a, b in zip([0, *stops], stops, strict=False))
+
+    def _know(self, need: set[str], latin: bool) -> list[str]:
+        """Have ids for ``need``; returns words too long to be kept."""
+        if len(self.words[latin]) > KEPT_WORDS:
+            self.older[latin], self.words[latin] = self.words[latin], {}
+        words, older = self.words[latin], self.older[latin]
+        need.difference_update(words)
         for w in need & older.keys():
             words[w] = older[w]
         new = list(need.difference(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(words.__getitem__, parts)) for parts in split]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del words[w]
+        words.update(zip(new, self._encoded(new, latin), strict=True))
+        return [w for w in new if len(w) > KEPT_CHARS]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        split = []
+        for t in texts:
+            t = t or ""
+            latin = LATIN.fullmatch(t) is not None and not any(x in t for x in self.special)
+            split.append((latin, LATIN_WORDS.findall(t.lower()) if latin else _SPACES.split(t) if _NOT_SPACES.search(t) else t.split()))
+        get, long = {}, {}
+        for kind in (True, False):
+            long[kind] = self._know(set().union(*[words for latin, words in split if latin == kind]), kind)
+            get[kind] = self.words[kind].__getitem__
+        out = [b"".join(map(get[latin], words)) for latin, words in split]
+        for kind, words in long.items():
+            for w in words:
+                del self.words[kind][w]
         return out
 
 
@@ -245,8 +292,6 @@ def least_bins(lengths: Iterable[int], capacity: int) -> int:
 
 
 def op13_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    from lodestone.llm.bpe import tokenizer_path
-
     pieces = cut_pieces(load(spark, sf_dir, "documents"), path or tokenizer_path("word_bpe_49k.json"))
     placed = place(pieces.drop("ids"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
