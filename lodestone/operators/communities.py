@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.joins import even_join, hot_keys
 from lodestone.operators.sync import digests
 from lodestone.session import dropped, written
 
@@ -32,69 +33,189 @@ def components(edges: DataFrame, nodes: DataFrame, *, rounds: int = 60) -> DataF
     return nodes.select("node").distinct().join(now.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def moved(edges: DataFrame, labels: DataFrame, seed: int, part: int) -> DataFrame:
-    """One round of local moving: half of the nodes go to the neighbouring community with the best modularity gain.
+#: Weights are counted in millionths, so that sums do not hang on their order.
+UNIT = 1_000_000
+#: Rounds of moving and of merging before the network is contracted.
+MOVES, MERGES = 6, 3
+NODE = ["node", "k", "label", "scope", "all"]
 
-    Moving a seeded half at a time, and a smaller share after every 24 rounds, keeps
-    nodes from changing places for ever. ``edges`` has both directions (``a``, ``b``,
-    ``w``); ``labels`` has ``node, community, scope``: only communities of the same
-    scope are open. ``better`` tells of each node whether another community was better
-    before the round.
+
+def _best(near: DataFrame, own: DataFrame) -> DataFrame:
+    """For each node the label with the greatest gain among its neighbours' and its own: ``node, to, gain, stay`` and the node's columns.
+
+    ``near`` has a row per link: ``node, k, all, to, size, w``; ``own`` a row per node
+    with its present label as ``to``. Both sums combine before the shuffle, so a hub
+    is not gathered. Equal gains go to the label that is there, then to the least.
+    """
+    present = own.select("node", "k", "all", F.col("label").alias("to"), "size", F.lit(0).cast("bigint").alias("w"), F.lit(True).alias("here"), "scope")
+    both = near.select("node", "k", "all", "to", "size", "w", F.lit(False).alias("here"), F.lit(None).cast("string").alias("scope")).unionByName(present)
+    to = both.groupBy("node", "to").agg(F.sum("w").alias("w"), *[F.max(c).alias(c) for c in ("k", "all", "size", "here", "scope")])
+    rest = F.col("size") - F.when(F.col("here"), F.col("k")).otherwise(0)
+    to = to.withColumn("gain", F.col("w") - F.col("k").cast("double") * rest / F.col("all"))
+    first = F.min(F.struct((-F.col("gain")).alias("loss"), (~F.col("here")).alias("away"), "to"))
+    mine = F.max(F.when(F.col("here"), F.struct("to", "gain")))
+    out = to.groupBy("node").agg(first.alias("first"), mine.alias("mine"), *[F.max(c).alias(c) for c in ("k", "all", "scope")])
+    return out.select("node", "k", "all", "scope", F.col("first.to").alias("to"), (-F.col("first.loss")).alias("gain"), F.col("mine.to").alias("label"), F.col("mine.gain").alias("stay"))
+
+
+def _coin(what: str, *seed: int) -> Column:
+    return F.xxhash64(what, *[F.lit(s) for s in seed])
+
+
+def _sized(nodes: DataFrame, total: int) -> DataFrame:
+    """Nodes with ``size``, the strength of all nodes of their label."""
+    sizes = nodes.groupBy("label").agg(F.sum("k").alias("size"))
+    return even_join(nodes, sizes, ["label"], hot_keys(nodes, "label", total=total))
+
+
+def _near(edges: DataFrame, labelled: DataFrame, hot: DataFrame) -> DataFrame:
+    """Links with the label at their far end: ``node, k, all, to, size, w``."""
+    ends = labelled.select(F.col("node").alias("b"), F.col("label").alias("to"), "size")
+    return even_join(edges, ends, ["b"], hot).select(F.col("a").alias("node"), "k", "all", "to", "size", "w")
+
+
+def _moves(edges: DataFrame, nodes: DataFrame, hot: DataFrame, total: int, seed: int, rounds: int) -> tuple[DataFrame, bool, int, bool]:
+    """Local moving, a seeded share of the nodes at a time: (nodes, settled, rounds used, anything moved)."""
+    any_moved = False
+    for k in range(rounds):
+        sized = _sized(nodes, total)
+        best = _best(_near(edges, sized, hot), sized)
+        better = (F.col("to") != F.col("label")) & (F.col("gain") > F.col("stay"))
+        turn = F.pmod(_coin("node", seed, k // 2), F.lit(2)) == k % 2
+        # of two that would only change places, one waits
+        seen = Observation()
+        best = best.observe(seen, F.count(F.when(better, 1)).alias("better"), F.count(F.when(better & turn, 1)).alias("moved"))
+        nodes = written(best.select("node", "k", F.when(better & turn, F.col("to")).otherwise(F.col("label")).alias("label"), "scope", "all"), "moved")
+        any_moved = any_moved or seen.get["moved"] > 0
+        if not seen.get["better"]:
+            return nodes, True, k + 1, any_moved
+    return nodes, False, rounds, any_moved
+
+
+def _refined(edges: DataFrame, nodes: DataFrame, hot: DataFrame, total: int, seed: int) -> DataFrame:
+    """(``node``, ``part``): each community taken apart into well-connected parts.
+
+    All nodes begin alone. In a round, nodes that are still alone and drew tails join
+    the part, of those in their community that drew heads, with the greatest gain over
+    staying alone. A part that takes in does not move, so parts are connected.
+    """
+    inner = edges.join(nodes.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    inner = even_join(inner, nodes.select(F.col("node").alias("b"), F.col("label").alias("lb")), ["b"], hot).where("la = lb AND a <> b")
+    inner = written(inner.select("a", "b", "w", "k", "all"), "inner")
+    now = nodes.select("node", "k", F.col("node").alias("label"), "scope", "all")
+    for r in range(MERGES):
+        sized = _sized(now, total).withColumn("alone", (F.col("size") == F.col("k")) & (F.col("label") == F.col("node")))
+        tails = F.pmod(_coin("label", seed, r), F.lit(2)) == 1
+        open_to = sized.where(~tails)
+        alone = sized.where(tails & F.col("alone"))
+        links = inner.join(alone.select(F.col("node").alias("a")), "a", "left_semi")
+        best = _best(_near(links, open_to, hot), alone)
+        joining = best.where((F.col("to") != F.col("label")) & (F.col("gain") > 0)).select("node", F.col("to").alias("joined"))
+        seen = Observation()
+        after = now.join(joining, "node", "left").observe(seen, F.count("joined").alias("joined"))
+        now = written(after.select("node", "k", F.coalesce("joined", "label").alias("label"), "scope", "all"), "refined")
+        if not seen.get["joined"]:
+            break
+    dropped(inner)
+    return now.select("node", F.col("label").alias("part"))
+
+
+def _contracted(edges: DataFrame, nodes: DataFrame, parts: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The network whose nodes are the parts; links inside a part become its loop, labels are the communities."""
+    to = even_join(edges.select("a", "b", "w"), parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), ["b"], hot)
+    to = to.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a")
+    links = to.groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w"))
+    joined = nodes.join(parts, "node").groupBy("part").agg(F.sum("k").alias("k"), F.min("label").alias("label"), F.min("scope").alias("scope"), F.max("all").alias("all"))
+    whole = written(joined.withColumnRenamed("part", "node").select(*NODE), "nodes")
+    return written(links.join(whole.select(F.col("node").alias("a"), "k", "all"), "a"), "network"), whole
+
+
+def leiden(edges: DataFrame, nodes: DataFrame, *, seed: int = 42, rounds: int = 120) -> DataFrame:
+    """(``node``, ``community``, ``scope``): connected communities of high modularity within each scope.
+
+    ``edges`` has ``a, b, w`` in both directions, each pair once, ``w`` in whole units;
+    ``nodes`` has ``node, scope``, and edges stay inside a scope. Nodes move to the
+    neighbouring community with the best gain; communities are refined into
+    well-connected parts; the parts become the nodes of a smaller network, where moving
+    goes on from the communities found, until a pass moves nothing and contracts
+    nothing. All of it is joins and sums over tables that are written out. What still
+    moves after ``rounds`` rounds in all is an error. A community is named by its least
+    node, and is split if it is not connected.
     """
-    total = edges.agg(F.sum("w")).first()[0] or 1.0
     strength = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
-    known = labels.join(strength, "node", "left").fillna(0.0, ["k"])
-    sizes = known.groupBy("community").agg(F.sum("k").alias("size"))
-    near = edges.where("a <> b").join(labels.select(F.col("node").alias("b"), F.col("community").alias("to"), F.col("scope").alias("to_scope")), "b")
-    to = near.groupBy(F.col("a").alias("node"), "to", "to_scope").agg(F.sum("w").alias("links"))
-    own = known.select("node", F.col("community").alias("to"), F.col("scope").alias("to_scope"), F.lit(0.0).alias("links"))
-    to = to.unionByName(own).groupBy("node", "to", "to_scope").agg(F.sum("links").alias("links"))
-    gain = to.join(known, "node").where("scope = to_scope").join(sizes.select(F.col("community").alias("to"), "size"), "to")
-    rest = F.col("size") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0)
-    gain = gain.withColumn("gain", F.round(F.col("links") - F.col("k") * rest / F.lit(total), 9))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("to") == F.col("community")), F.asc("to")))
-    chosen = gain.withColumn("r", best).where("r = 1")
-    shares = 2 << part // 24
-    turn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(part // shares)), F.lit(shares)) == part % shares
-    return chosen.select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "scope", (F.col("to") != F.col("community")).alias("better"))
-
-
-def _level(edges: DataFrame, labels: DataFrame, seed: int, rounds: int) -> DataFrame:
-    for part in range(rounds):
-        labels = written(moved(edges, labels, seed, part), "communities")
-        if labels.where("better").isEmpty():
+    known = written(nodes.select("node", "scope").join(strength, "node", "left").select("node", F.coalesce("k", F.lit(0)).alias("k"), "scope"), "strength")
+    sums = known.groupBy("scope").agg(F.sum("k").alias("all"))
+    count = known.count()
+    base = written(even_join(known, sums, ["scope"], hot_keys(known, "scope", total=count)).where("k > 0").select("node", "k", F.col("node").alias("label"), "scope", "all"), "nodes")
+    links = written(edges.select("a", "b", "w").join(base.select(F.col("node").alias("a"), "k", "all"), "a"), "network")
+    first, at, used = links, base.select("node", F.col("node").alias("top")), 0
+    now = base
+    while True:
+        total = max(count, links.count())
+        hot = hot_keys(links, "b", total=total)
+        hot = hot if hot is None else written(hot, "hubs")
+        now, settled, took, any_moved = _moves(links.where("a <> b"), now, hot, total, seed + used, min(MOVES, rounds - used))
+        used += took
+        if not settled and used >= rounds:
+            raise RuntimeError(f"communities: nodes still move after {rounds} rounds")
+        n, groups = now.agg(F.count("*"), F.countDistinct("label")).first()
+        if n == groups or settled and not any_moved:
             break
-    else:
-        raise RuntimeError(f"communities: nodes still move after {rounds} rounds")
-    # a community that is not connected is split into its parts
-    inside = edges.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
-    parts = components(inside.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")), labels)
-    return parts.join(labels.select("node", "scope"), "node").select("node", F.col("component").alias("community"), "scope")
+        parts = written(_refined(links.where("a <> b"), now, hot, total, seed + used), "parts")
+        if parts.agg(F.countDistinct("part")).first()[0] == n:
+            if settled:
+                break
+            continue
+        links, now = _contracted(links, now, parts, hot)
+        at = written(at.join(parts.select(F.col("node").alias("top"), "part"), "top").select("node", F.col("part").alias("top")), "mapped")
+    labels = at.join(now.select(F.col("node").alias("top"), "label"), "top").select("node", "label")
+    # names, and what is not connected apart
+    labels = written(labels, "labels")
+    inside = first.join(labels.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b").where("ca = cb")
+    parts = components(inside.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")), known)
+    return parts.join(known.select("node", "scope"), "node").select("node", F.col("component").alias("community"), "scope")
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Modularity of (``node``, ``community``) over ``edges`` with ``a, b, w`` in both directions."""
+    of = labels.select("node", "community")
+    k = edges.join(of.withColumnRenamed("node", "a"), "a").groupBy("community").agg(F.sum("w").alias("k"))
+    both = edges.join(of.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    inside, total = both.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0)), F.sum("w")).first()
+    squares = k.agg(F.sum(F.col("k").cast("double") * F.col("k"))).first()[0]
+    return float(inside / total - squares / total**2) if total else 0.0
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """``a, b, w`` in both directions from ``source_id, target_id, strength``; parallel edges add up, loops go."""
+    weighted = edges.select("source_id", "target_id", F.round(F.greatest(F.col("strength"), F.lit(1e-4)) * UNIT).cast("bigint").alias("w")).where("source_id <> target_id")
+    both = weighted.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "w").unionByName(weighted.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "w"))
+    return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def hierarchy(edges: DataFrame, nodes: DataFrame, *, max_size: int = 100, seed: int = 42, levels: int = 60, rounds: int = 120) -> DataFrame:
     """(``level``, ``community``, ``parent``, ``node``): connected communities, the large ones split again.
 
-    Level 0 clusters the whole network by modularity; a community of more than
-    ``max_size`` nodes is clustered again inside itself on the next level, until it
-    does not split further. On each level nodes move until no move gains; what has not
-    settled after ``rounds`` rounds or ``levels`` levels is an error. Isolated nodes are communities of their own on level
-    0. Everything is joins and sums: no component has to fit into one task. A
-    community is named by its least node.
+    Level 0 clusters the whole network (:func:`leiden`); a community of more than
+    ``max_size`` nodes is clustered again on the next level, as a network of its own
+    links, until it does not split further. What has not settled after ``rounds``
+    rounds of moving or ``levels`` levels is an error. Isolated nodes are communities
+    of their own on level 0. No component has to fit into one task. A community is
+    named by its least node.
     """
-    weighted = edges.select("source_id", "target_id", F.greatest(F.col("strength"), F.lit(1e-4)).alias("w")).where("source_id <> target_id")
-    both = weighted.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "w").unionByName(weighted.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "w"))
-    both = written(both.groupBy("a", "b").agg(F.sum("w").alias("w")), "network")
-    labels = written(nodes.select("node", F.col("node").alias("community"), F.lit("").alias("scope")), "labels")
+    both = written(both_ways(edges), "network")
+    labels = written(nodes.select("node", F.lit("").alias("scope")).distinct(), "labels")
     out = None
     for level in range(levels):
-        found = written(_level(both, labels, seed + level, rounds), "level")
+        a, b = (labels.select(F.col("node").alias(x), F.col("scope").alias(f"s{x}")) for x in "ab")
+        inside = both if level == 0 else written(both.join(a, "a").join(b, "b").where("sa = sb").select("a", "b", "w"), "inside")
+        found = written(leiden(inside, labels, seed=seed + level, rounds=rounds), "level")
         rows = found.select(F.lit(level).alias("level"), "community", F.nullif(F.col("scope"), F.lit("")).alias("parent"), "node")
         out = rows if out is None else out.unionByName(rows)
-        large = found.groupBy("community").agg(F.count("*").alias("n"), F.countDistinct("scope").alias("s")).where(F.col("n") > max_size).select("community")
-        inner = found.join(large, "community").select("node", F.col("node").alias("c"), F.col("community").alias("scope"))
-        whole = found.groupBy("community", "scope").count().join(labels.groupBy("scope").agg(F.count("*").alias("all")), "scope").where("count = all AND scope <> ''").select(F.col("community").alias("scope"))
-        labels = written(inner.join(whole, "scope", "left_anti").select("node", F.col("c").alias("community"), "scope"), "labels")
+        sizes = found.groupBy("community", "scope").agg(F.count("*").alias("n"))
+        whole = sizes.join(labels.groupBy("scope").agg(F.count("*").alias("all")), "scope").where("n = all AND scope <> ''")
+        again = sizes.where(F.col("n") > max_size).select("community").join(whole.select("community"), "community", "left_anti")
+        labels = written(found.join(again, "community", "left_semi").select("node", F.col("community").alias("scope")), "labels")
         if labels.isEmpty():
             break
     else:

@@ -562,12 +562,40 @@ def community_components(spark, d):
     return Q.components(edges, every)
 
 
-@query()
-def community_hierarchy(spark, d):
+def _supply_net(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.concat(F.lit("n"), "s_nationkey").alias("target_id"), F.lit(2.0).alias("strength")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("source_id"), F.concat(F.lit("r"), "n_regionkey").alias("target_id"), F.lit(1.0).alias("strength")))
-    nodes = edges.select(F.col("source_id").alias("node")).unionByName(edges.select(F.col("target_id").alias("node"))).distinct()
-    return Q.hierarchy(edges, nodes)
+    return edges, edges.select(F.col("source_id").alias("node")).unionByName(edges.select(F.col("target_id").alias("node"))).distinct()
+
+
+@query()
+def community_hierarchy(spark, d):
+    return Q.hierarchy(*_supply_net(spark, d))
+
+
+@query(
+    """SELECT (SELECT count(DISTINCT x) FROM (SELECT 's' || s_suppkey AS x FROM supplier UNION ALL SELECT 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || n_regionkey FROM nation)) AS n_nodes,
+    0 AS repeated, 0 AS outside_parent, 0 AS unconnected, 0 AS misnamed, true AS not_below_components"""
+)
+def community_invariants(spark, d):
+    """What must hold of any hierarchy: a partition on level 0, children inside their parents, connected, named by the least node, of no lower modularity than whole components."""
+    edges, nodes = _supply_net(spark, d)
+    found = written(Q.hierarchy(edges, nodes), "hierarchy")
+    first, both = found.where("level = 0"), Q.both_ways(edges)
+    up = found.select((F.col("level") + 1).alias("level"), F.col("community").alias("parent"), "node", F.lit(True).alias("held"))
+    lost = found.where("level > 0").join(up, ["level", "parent", "node"], "left_anti")
+    place = lambda x: first.select(F.col("node").alias(x), F.col("community").alias(f"c{x}"))
+    inside = both.join(place("a"), "a").join(place("b"), "b").where("ca = cb").select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+    parts = Q.components(inside, nodes)
+    split = first.join(parts, "node").where("component <> community")
+    whole = Q.components(edges, nodes).withColumnRenamed("component", "community")
+    better = Q.modularity(both, first) >= Q.modularity(both, whole) - 1e-9
+    named = found.groupBy("level", "community").agg(F.min("node").alias("least")).where("least <> community")
+    n = lambda df, name: df.agg(F.count("*").cast("int").alias(name))
+    out = first.agg(F.countDistinct("node").alias("n_nodes"), (F.count("*") - F.countDistinct("node")).cast("int").alias("repeated"))
+    for df, name in ((lost, "outside_parent"), (split, "unconnected"), (named, "misnamed")):
+        out = out.join(n(df, name))  # one row each
+    return out.withColumn("not_below_components", F.lit(better))
 
 
 @query(
