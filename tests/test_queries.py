@@ -3,7 +3,7 @@
 import pytest
 from compare import rows, tables
 
-from lodestone.plans import composed, lookup_queries  # noqa: F401  register their queries
+from lodestone.plans import build_queries, composed, lookup_queries  # noqa: F401  register their queries
 from lodestone.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
