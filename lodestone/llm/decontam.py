@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import LOWER, WORDLIKE, load, runs, segment_hashes, segments, trim, written
+from lodestone.llm.shared import LOWER, WORDLIKE, load, runs, segment_keys, segments, trim, written
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 13
@@ -44,7 +44,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Term of each word, and the offset of each document's first word."""
     low = LOWER[data]
     starts, ends = segments(WORDLIKE[low], offsets)
-    return segment_hashes(low, starts, ends).view(np.int64), np.searchsorted(starts, offsets)
+    return segment_keys(low, starts, ends).view(np.int64), np.searchsorted(starts, offsets)
 
 
 def build_index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", doc_key: str | None = None) -> DataFrame:

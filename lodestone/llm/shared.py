@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -172,6 +173,24 @@ def segment_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Longer segments are hashed by their bytes alone.
+SHORT = 64
+
+
+def segment_keys(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Like :func:`segment_hashes`, for words and lines of any text.
+
+    Sums modulo 2 ** 64 can be made to agree on long strings built for it, whatever
+    the base; segments longer than ``SHORT`` bytes therefore take XXH3.
+    """
+    out = segment_hashes(buffer, starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buffer))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 def numbered_within(rows: DataFrame, key: str, order: list, *, ranges: list, keep: list[str], name: str = "pos") -> DataFrame:
     """Columns ``keep`` and the rows' numbers from 1 within ``key``, in the order of ``order``.
 

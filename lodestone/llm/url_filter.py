@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import join_counted, plain_names
+
 #: Fixed rules of the pages query: (host, path, verdict).
 PAGE_RULES = [
     ("org", "/", "allow"),
@@ -48,10 +50,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     equals the longer path, then block. Rules with a null are ignored, and so is
     a repeated rule. Without a fitting rule ``rule`` is null and the verdict is
     ``default``: a lookup in a list lets pass what the list does not name. Null
-    and malformed URLs have an empty host and path. Rows keep their number and
-    order of columns; columns of these four names are replaced.
+    and malformed URLs have an empty host and path; they take no part in the join.
+    Rows keep their number and order of columns; columns of these four names are
+    replaced, and no other name does harm. Rows of a frequent URL stay where they are.
     """
-    spark = pages.sparkSession
+    plain = plain_names(pages)
+    names = dict(zip(pages.columns, plain.columns, strict=True))
+    rows = plain.withColumn("j_url", F.col(names[url]).cast("string"))
     rules = rules.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna()
     rules = rules.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
     shape = rules.agg(
@@ -60,7 +65,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
         F.count("*").alias("n"),
     ).first()
     host, path = url_parts(F.col("j_url"))
-    urls = pages.select(F.col(url).alias("j_url")).where(F.col("j_url").contains("://")).distinct().select("j_url", host.alias("j_host"), path.alias("j_path"))
+    known = rows.where(F.col("j_url").contains("://"))
+    counted = known.groupBy("j_url").agg(F.count("*").alias("n"))
+    urls = counted.select("j_url", host.alias("j_host"), path.alias("j_path"))
     labels = F.array(*[F.lit(int(x)) for x in sorted(shape["labels"])]).cast("array<int>")
     lengths = F.array(*[F.lit(int(x)) for x in sorted(shape["lengths"])]).cast("array<int>")
     parts = F.split("j_host", r"\.", -1)
@@ -85,10 +92,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
         .agg(F.max(F.struct(size, F.length("r_path"), F.col("r_verdict"), F.concat("r_host", "r_path").alias("rule"))).alias("won"))
         .select("j_url", F.col("won.rule").alias("j_rule"), F.col("won.r_verdict").alias("j_verdict"))
     )
-    host, path = url_parts(F.col(url))
+    every = counted.join(won, "j_url", "left")
+    found = join_counted(known, every, ["j_url"], known.count())
+    none = F.lit(None).cast("string")
+    rest = rows.where(~F.coalesce(F.col("j_url").contains("://"), F.lit(False))).select("*", none.alias("j_rule"), none.alias("j_verdict"))
+    host, path = url_parts(F.col("j_url"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.join(won, pages[url] == won["j_url"], "left").select(
-        *[pages[c] for c in kept],
+    return found.unionByName(rest).select(
+        *[F.col(names[c]).alias(c) for c in kept],
         host.alias("host"),
         path.alias("path"),
         F.col("j_rule").alias("rule"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import NOT_SPACE, load, mixed, runs, segment_hashes, segments, table_of, written
+from lodestone.llm.shared import NOT_SPACE, load, mixed, runs, segment_keys, segments, table_of, written
 
 SYMBOLS = table_of(*[(b, b) for b in b"#*$%&|<>"])
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
@@ -44,7 +44,7 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
         starts, ends = segments(inside, offsets)
         first = np.searchsorted(starts, offsets)
         doc = np.repeat(np.arange(n), np.diff(first))
-        words = segment_hashes(data, starts, ends)
+        words = segment_keys(data, starts, ends)
         # windows of three words that occur twice or more in their document
         repeated = np.zeros(len(words), bool)
         if len(words) >= 3:
@@ -63,7 +63,7 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
         line_starts, line_ends = line_starts[with_word], line_ends[with_word]
         line_first = np.searchsorted(line_starts, offsets)
         line_doc = np.repeat(np.arange(n), np.diff(line_first))
-        again = _later_copies(line_doc, segment_hashes(data, line_starts, line_ends))
+        again = _later_copies(line_doc, segment_keys(data, line_starts, line_ends))
         parts.append(
             np.column_stack(
                 [

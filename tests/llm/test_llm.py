@@ -586,7 +586,7 @@ def judged(url):
 def test_url_filter(spark):
     urls = [None, "", "x", "http://", "://org/", "HTTP://Example.ORG/es/a?b://c", "http://a.b.example.org/en/1x#y", "http://notexample.org/en/1", "http://example.org", "ftp://x.com/fr/", "http://x.com/de/?q", "http://x.com/De/", "http://org./", "http://a..org/", "http://u@example.org:80/es/", "http://é.org/é", "http://x.com?/fr/", "a\nb://x.com/fr/\nz", "http://x.com/fr/"]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(0, None)], "page_id bigint, url string")
-    df = crowded(df, rule="r", verdict="v", path="p")
+    df = crowded(df, rule="r", verdict="v", path="p", j_url="u", j_rule="x", j_host="y", n="z", digest="d", c0="c")
     got = url_filter.judge_urls(df, url_filter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict").collect()
     key = lambda r: (r[0], str(r))
     assert sorted(map(tuple, got), key=key) == sorted([(k, *judged(u)) for k, u in enumerate(urls)] + [(0, *judged(None))], key=key)
@@ -594,6 +594,38 @@ def test_url_filter(spark):
     assert {r.verdict for r in no_rules.collect()} == {"allow"} and url_filter.judge_urls(df.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_url_filter_takes_a_column_with_an_inner_name_and_frequent_urls(spark, monkeypatch):
+    from lodestone.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    df = spark.createDataFrame([("http://x.com/de/1", k) for k in range(9)] + [("http://y.org/", 9), (None, 10)], "j_url string, j_rule bigint")
+    got = url_filter.judge_urls(df, url_filter.rule_table(spark), url="j_url").collect()
+    assert sorted((r.j_rule, r.rule, r.verdict) for r in got) == [(k, "com/de/", "block") for k in range(9)] + [(9, "org/", "allow"), (10, None, "allow")]
+
+
+# ---- hashes that no text can make collide -----------------------------------------------------
+
+
+def twins(n=1024):
+    """Two strings of which sums modulo 2 ** 64 agree, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_built_collisions_are_told_apart(spark):
+    from lodestone.llm import decontam, shared
+
+    a, b = twins()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    starts, ends = np.array([0, len(a)]), np.array([len(a), 2 * len(a)])
+    assert len(set(shared.segment_hashes(data, starts, ends).tolist())) == 1 and len(set(shared.segment_keys(data, starts, ends).tolist())) == 2
+    got = weak_rules.with_counts(frame(spark, [(1, f"{a}\n{b}\n{a}")])).collect()[0]
+    assert got.n_dup_lines == 1
+    bench = spark.createDataFrame([("i", a)], "item_id string, text string")
+    hits = {r.doc_id: r.n_hit for r in decontam.flagged(decontam.find_contamination(frame(spark, [(1, a), (2, b)]).withColumn("k", F.col("doc_id")), bench, doc_id="doc_id", doc_key="k")).collect()}
+    assert hits == {1: 1, 2: 0}
+
+
 # ---- SQL and the pipeline -------------------------------------------------------------------
 
 
