@@ -14,7 +14,7 @@ from lodestone.llm.bpe import bpe_encode, tokenizer_path
 from lodestone.llm.classifier import fit, score
 from lodestone.llm.decontam import find_contamination, flagged
 from lodestone.llm.line_dedup import document_keys, drop_repeated_lines
-from lodestone.llm.shared import load, plain_names, text_batches, written
+from lodestone.llm.shared import join_counted, load, plain_names, text_batches, written
 from lodestone.llm.simhash import simhash_groups
 
 #: Documents that score lower go.
@@ -42,23 +42,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies.
+    """Keep one document of each group of near copies: that with the least id, of several with it that with the least key.
 
-    Of repeated rows with that id one stays. Documents without an id go if a linked
-    one has an id, and stay otherwise.
+    A document is an id and a text, so rows with one id and unlike texts are chosen
+    from apart. Of rows that agree in both one stays, the least by a hash of all columns.
+    A document without an id goes if one of its group has an id.
     """
     text_batches(spark)
-    groups = simhash_groups(docs)
-    chosen = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").count()
-    chosen = written(chosen, "chosen")
-    once = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
-    repeated = chosen.where("count > 1 AND doc_id IS NOT NULL")
-    if not repeated.isEmpty():
-        many = once.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        once = once.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(many)
-    if not chosen.where("doc_id IS NULL").isEmpty():
-        once = once.unionByName(docs.where("doc_id IS NULL"))
-    return once.select(*docs.columns)
+    plain = plain_names(docs)
+    names = dict(zip(docs.columns, plain.columns, strict=True))
+    doc_id, text = F.col(names["doc_id"]).cast("bigint"), F.coalesce(F.col(names["text"]).cast("string"), F.lit(""))
+    keyed = plain.select("*", F.xxhash64(doc_id.isNull(), doc_id, text).alias("key"))
+    groups = simhash_groups(keyed.select("key", text.alias("text")), doc_id="key")
+    counted = written(groups.groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("n")), "groups")
+    ids = keyed.groupBy("key").agg(F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"))).alias("id"))
+    first = counted.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id.none", "id.id", "key")).alias("first"))
+    chosen = written(counted.join(first.select(F.col("first.key").alias("key")), "key").select("key", "n"), "chosen")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    once = join_counted(keyed, chosen.where("n = 1"), ["key"], total).select(*plain.columns)
+    # rows that agree in id and text; two documents that share a key by chance both stay
+    many = join_counted(keyed, chosen.where("n > 1"), ["key"], total)
+    every = F.struct(*plain.columns)
+    kept = many.groupBy("key", doc_id.alias("id"), F.sha2(text, 256).alias("text")).agg(F.min_by(every, F.struct(F.xxhash64(*plain.columns), F.to_json(every))).alias("row"))
+    return once.unionByName(kept.select(*[F.col(f"row.{c}").alias(c) for c in plain.columns])).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
