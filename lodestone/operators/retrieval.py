@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions import text as T
+from lodestone.session import written
 
 #: Queries that are sent to all tasks at once; more are taken in blocks of so many, or of so many bytes.
 QUERY_BLOCK = 10_000
@@ -120,6 +121,73 @@ def topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, score: Colum
     return ranked(asked.join(chunks, "source").withColumn("score", score), k, F.desc("score"), F.asc(key), by=("query_id", "source"), rank="source_rank")
 
 
+#: Chunks and askings that one task scores against each other at a time.
+CELL_ROWS = 20_000
+
+
+def vector_topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", cell: int = CELL_ROWS) -> DataFrame:
+    """Like :func:`topk_per_source` with the inner product of ``q_vec`` and ``vec``, by matrix products.
+
+    A source's chunks and its askings are dealt into cells of about ``cell`` rows a
+    side, every cell of the one against every cell of the other, so a source with a
+    third of all chunks is scored by many tasks; small sources share a task. Each cell
+    hands on the ``k`` best chunks of each asking. Sources of more than a cell are at
+    most one in ``cell`` rows, and are broadcast with their numbers of cells. Vectors that are null, of
+    another length than the query's, or hold a null or no finite number are no hits.
+    """
+    large = asked.groupBy("source").agg(F.count("*").alias("qs"), F.lit(0).cast("bigint").alias("cs")).unionByName(chunks.groupBy("source").agg(F.lit(0).cast("bigint").alias("qs"), F.count("*").alias("cs")))
+    large = written(large.groupBy("source").agg(*[F.greatest(F.ceil(F.sum(c) / cell), F.lit(1)).cast("int").alias(f"cell_{c}") for c in ("qs", "cs")]), "cells")
+    tasks = max(1, large.agg(F.sum(F.col("cell_qs") * F.col("cell_cs"))).first()[0] or 1)
+    # as many tasks as whole cells, and more where most sources are small
+    buckets = max(1, min(tasks, -(-(asked.count() + chunks.count()) // cell) * 4))
+    split = large.where("cell_qs > 1 OR cell_cs > 1")
+
+    def dealt(df, own, other, by):
+        out = df.where("source IS NOT NULL").join(F.broadcast(split), "source", "left")
+        mine = F.pmod(F.xxhash64(by), F.coalesce(f"cell_{own}", F.lit(1))).cast("int")
+        out = out.withColumn(f"in_{own}", mine).withColumn(f"in_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"cell_{other}", F.lit(1)) - 1)))
+        name = F.concat_ws("/", "in_qs", "in_cs", "source")
+        return out.withColumn("cell_name", name).withColumn("bucket", F.pmod(F.xxhash64("cell_name"), F.lit(buckets))).drop("cell_qs", "cell_cs", "in_qs", "in_cs")
+
+    left_names, right_names = [c for c in asked.columns if c != "q_vec"], [c for c in chunks.columns if c not in ("vec", "source")]
+    schema = StructType([*[asked.schema[c] for c in left_names], *[chunks.schema[c] for c in right_names], StructField("score", DoubleType())])
+
+    def vectors(table: pa.Table, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+        vec = table.column(name).combine_chunks()
+        rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vec), width), False).to_numpy(zero_copy_only=False))
+        v = vec.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+        whole = np.isfinite(v).all(axis=1)
+        return rows[whole], v[whole]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [[], [], []]
+        if left.num_rows and right.num_rows:
+            names = pa.chunked_array([*left.column("cell_name").chunks, *right.column("cell_name").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            place = np.empty(right.num_rows, np.int64)
+            place[pc.sort_indices(right.column(key), null_placement="at_start").to_numpy()] = np.arange(right.num_rows)
+            for width in pc.unique(pc.list_value_length(left.column("q_vec"))).to_pylist():
+                if not width:
+                    continue
+                (q_rows, q), (c_rows, v) = vectors(left, "q_vec", width), vectors(right, "vec", width)
+                q_cell, c_cell = names[q_rows], names[left.num_rows + c_rows]
+                q_order, c_order = np.argsort(q_cell, kind="stable"), np.argsort(c_cell, kind="stable")
+                for x in np.intersect1d(q_cell, c_cell):
+                    qs = q_order[slice(*np.searchsorted(q_cell[q_order], [x, x + 1]))]
+                    cs = c_order[slice(*np.searchsorted(c_cell[c_order], [x, x + 1]))]
+                    for part in np.array_split(qs, -(-len(qs) // 1024)):
+                        chunk, query, value = _nearest(v[cs], q[part], place[c_rows[cs]], k)
+                        for out, more in zip(found, (q_rows[part][query], c_rows[cs][chunk], value), strict=True):
+                            out.append(more)
+        at_q, at_c, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        columns = [*[left.column(c).take(pa.array(at_q)) for c in left_names], *[right.column(c).take(pa.array(at_c)) for c in right_names], pa.array(value.astype(np.float64))]
+        return pa.table(columns, names=schema.names)
+
+    asks, has = dealt(asked, "qs", "cs", "query_id"), dealt(chunks, "cs", "qs", key)
+    asks, has = asks.toDF(*asks.columns), has.toDF(*has.columns)  # both may come from one table
+    best = asks.groupBy("bucket").cogroup(has.groupBy("bucket")).applyInArrow(score, schema)
+    return ranked(best, k, F.desc("score"), F.asc(key), by=("query_id", "source"), rank="source_rank")
+
+
 def keep_tagged(hits: DataFrame, tag: str) -> DataFrame:
     """Hits whose ``tags`` hold the tag, exactly and in the same case; taken after the top-k."""
     return hits.where(F.array_contains("tags", tag))

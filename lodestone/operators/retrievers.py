@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.vectors import dot
 from lodestone.operators import answers as A
 from lodestone.operators import graph as G
 from lodestone.operators import retrieval as R
@@ -25,7 +24,7 @@ INVALID = "引用校验失败"
 def best_chunks(queries: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """The best chunk of each source that a query asks for (``query_id``, ``source`` and more columns)."""
     wanted = asked.join(queries.select("query_id", "q_vec"), "query_id")
-    return R.topk_per_source(wanted, chunks, 1, score=dot(F.col("q_vec"), F.col("vec"))).drop("q_vec", "vec", "source_rank")
+    return R.vector_topk_per_source(wanted, chunks, 1).drop("source_rank")
 
 
 def entity_seeds(queries: DataFrame, entities: DataFrame, nodes: DataFrame, *, k: int = 10, threshold: float = 0.35) -> DataFrame:

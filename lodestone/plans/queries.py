@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.vectors import dot
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
 from lodestone.operators import communities as Q
@@ -123,7 +122,7 @@ def topk_per_source(spark, d):
     chunks, queries = _vectors(spark, d)
     sources = chunks.select("source").distinct()
     asked = queries.crossJoin(F.broadcast(sources))
-    out = R.topk_per_source(asked, chunks, 2, score=dot(F.col("q_vec"), F.col("vec")))
+    out = R.vector_topk_per_source(asked, chunks, 2)
     return out.select("query_id", "source", "chunk_id", F.round("score", 6).alias("score"), "source_rank")
 
 
@@ -416,7 +415,7 @@ GRAPHED = f""", asked AS (SELECT query_id, source, chunk_id, anchor, score, ((qu
 def _expanded(spark, d, chunks, queries):
     """The best chunk of each source for each query, with a score in place of the graph's."""
     asked = queries.crossJoin(F.broadcast(chunks.select("source").distinct()))  # 40 sources
-    out = R.topk_per_source(asked, chunks, 1, score=dot(F.col("q_vec"), F.col("vec")))
+    out = R.vector_topk_per_source(asked, chunks, 1)
     number = F.substring("source", 2, 9).cast("int")
     out = out.withColumn("graph_score", (F.pmod(F.col("query_id") * 7 + number * 13, F.lit(89)) + 1) / 100)
     return R.ranked(out, None, F.desc("graph_score"), F.asc("source"), rank="graph_rank")
