@@ -1,11 +1,14 @@
 """Quality rules combined by weak supervision.
 
-Each rule looks at a few counts of a document and votes good (1), bad (-1) or
-abstains (0). Expectation-maximisation estimates, from the votes alone, the share
-of good documents and how each rule votes on good and on bad ones. A document is
-kept where the posterior probability of being good is at least a threshold; no
-single rule has to be passed. There are at most 3 ** len(RULES) vote patterns, so
-the corpus enters the estimate as a count for each pattern, over all documents.
+Each rule looks at a measure of its own (only ``symbols`` counts what ``marks`` counts
+too) and votes good (1), bad (-1) or doubtful (2), or abstains (0) where a text is too
+short for it.
+Expectation-maximisation estimates, from the votes alone, the share of good documents
+and how each rule votes on good and on bad ones. A document is kept where the
+posterior probability of being good is at least a threshold: one bad vote of a rule
+that errs does not drop it, and doubts of several rules may. There are at most
+4 ** len(RULES) vote patterns, so the corpus enters the estimate as a count for each
+pattern, over all documents.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import NOT_SPACE, load, mixed, runs, segment_keys, segments, table_of, written
 
 SYMBOLS = table_of(*[(b, b) for b in b"#*$%&|<>"])
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_marks", "n_distinct"]
 _UPPER = table_of((0x41, 0x5A))
+#: ASCII punctuation, symbols included.
+_MARKS = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 
 def _later_copies(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -74,6 +79,8 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
                     np.bincount(doc[repeated], minlength=n),
                     per_doc(_UPPER[data]),
                     np.diff(line_first),
+                    per_doc(_MARKS[data]),
+                    np.bincount(doc[~_later_copies(doc, words)], minlength=n),
                 ]
             ).astype(np.int64)
         )
@@ -93,50 +100,60 @@ def with_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(count, schema)
 
 
-def _vote(bad, good):
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("tinyint")
+BAD, ABSTAIN, GOOD, DOUBTFUL = -1, 0, 1, 2
+#: Texts with fewer words give a rule nothing to call good or doubtful.
+FEW_WORDS = 30
+
+
+def _vote(bad, good, *, unsure=None):
+    return F.when(bad, F.lit(BAD)).when(good, F.lit(GOOD)).otherwise(F.lit(DOUBTFUL) if unsure is None else unsure).cast("tinyint")
 
 
 def votes() -> dict:
     """Column of each rule's vote over the COUNTS."""
-    n, chars = F.col("n_words"), F.col("word_chars")
-    few = n < 30
+    n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
+    symbols, marks, upper = F.col("n_symbols"), F.col("n_marks"), F.col("n_upper")
+    again, repeats, distinct = F.col("n_dup_lines"), F.col("n_repeat_words"), F.col("n_distinct")
+    few = n < FEW_WORDS
+    unsure = F.when(few, F.lit(ABSTAIN)).otherwise(F.lit(DOUBTFUL))
+    rule = lambda bad, good: _vote(bad, ~few & good, unsure=unsure)
     return {
         "length": _vote(n < 10, n >= 50),
-        "word_size": _vote((chars > 12 * n) | (chars < 2 * n), ~few & chars.between(3 * n, 9 * n)),
-        "symbols": _vote(10 * F.col("n_symbols") > n, ~few & (50 * F.col("n_symbols") <= n)),
-        "symbol_share": _vote(25 * F.col("n_symbols") > chars, ~few & (200 * F.col("n_symbols") <= chars)),
-        "dup_lines": _vote((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")), ~few & (20 * F.col("n_dup_lines") <= F.col("n_lines"))),
-        "repeats": _vote(10 * F.col("n_repeat_words") > 3 * n, ~few & (20 * F.col("n_repeat_words") <= n)),
-        "repeat_share": _vote(5 * F.col("n_repeat_words") > 2 * n, ~few & (10 * F.col("n_repeat_words") <= n)),
-        "capitals": _vote(4 * F.col("n_upper") > chars, ~few & (8 * F.col("n_upper") <= chars)),
+        "word_size": rule((10 * chars > 63 * n) | (chars < 4 * n), (10 * chars <= 58 * n) & (10 * chars >= 45 * n)),
+        "symbols": rule(10 * symbols > n, 50 * symbols <= n),
+        "marks": rule(4 * marks > n, 5 * marks <= n),
+        "capitals": rule(10 * upper > chars, 25 * upper <= chars),
+        "dup_lines": rule((again >= 2) & (5 * again > lines), 20 * again <= lines),
+        "repeats": rule(5 * repeats > n, 20 * repeats <= n),
+        "variety": rule(5 * distinct < 2 * n, 2 * distinct >= n),
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50, weight: float = 0.05) -> np.ndarray:
-    """Posterior of being good for each vote pattern, by expectation-maximisation.
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of being good for each vote pattern, by expectation-maximisation; each rule's rates on good and on bad.
 
-    A rule has two rates: how often its vote is bad on good documents, and on bad
-    ones, among its votes; abstentions say nothing. A document without a bad vote
-    starts as good. Beta priors worth ``weight`` of the corpus hold the rates near
-    0.01 and 0.5, so that the classes keep their meaning, and on bad documents a
-    rule is never taken to vote bad more rarely than on good ones.
+    For each class a rule has the rates of its bad, doubtful and good votes, among
+    its votes; an abstention says nothing. A pattern starts with the share of good
+    among its good and bad votes, and one good vote more, so without a bad vote in the
+    corpus all are good. One document more in each class, and one more vote of each
+    kind, keep the rates off zero; nothing else holds them.
     """
-    good, bad = patterns == 1, patterns == -1
-    held = max(1.0, weight * counts.sum())
-    posterior = np.where(bad.any(axis=1), 0.0, 1.0)
+    kinds = [patterns == k for k in (BAD, DOUBTFUL, GOOD)]
+    good = 1.0 + kinds[2].sum(axis=1)
+    posterior = good / (good + kinds[0].sum(axis=1))
+    rates = lambda w: (lambda t: t / t.sum(axis=0))(np.array([w @ k for k in kinds]) + 1.0)
+    on_good = on_bad = rates(counts * 0.0)
     for _ in range(rounds):
         w_good, w_bad = counts * posterior, counts * (1 - posterior)
-        on_good = (w_good @ bad + 0.01 * held) / (w_good @ (good | bad) + held)
-        on_bad = np.maximum((w_bad @ bad + 0.5 * held) / (w_bad @ (good | bad) + held), on_good)
-        prior = (w_good.sum() + 0.9 * held) / (counts.sum() + held)
-        odds = np.log(prior / (1 - prior)) + bad @ np.log(on_good / on_bad) + good @ np.log((1 - on_good) / (1 - on_bad))
+        on_good, on_bad = rates(w_good), rates(w_bad)
+        prior = (w_good.sum() + 1.0) / (counts.sum() + 2.0)
+        odds = np.log(prior / (1 - prior)) + sum(k @ np.log(g / b) for k, g, b in zip(kinds, on_good, on_bad, strict=True))
         posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return posterior
+    return posterior, on_good, on_bad
 
 
-def judge(counts: DataFrame, *, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
-    """Add ``quality`` (posterior) and ``good`` to rows that have the COUNTS.
+def judge(counts: DataFrame, *, threshold: float = 0.5) -> DataFrame:
+    """Add ``quality`` (posterior), ``good`` and ``any_bad`` (a rule voted bad) to rows that have the COUNTS.
 
     ``counts`` should be cheap to read twice. Empty tables and texts work: a text
     without words gets the bad votes that its counts call for.
@@ -144,16 +161,16 @@ def judge(counts: DataFrame, *, threshold: float = 0.5, columns: list[str] | Non
     rules = votes()
     voted = counts.withColumns({f"v_{k}": v for k, v in rules.items()})
     names = [f"v_{k}" for k in rules]
-    seen = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
+    seen = voted.groupBy(*names).count().collect()  # at most 4 ** len(rules) rows
     patterns = np.array([[r[n] for n in names] for r in seen], np.int8).reshape(-1, len(names))
-    posterior = fit_votes(patterns, np.array([r["count"] for r in seen], float))
+    posterior, _, _ = fit_votes(patterns, np.array([r["count"] for r in seen], float))
     spark = counts.sparkSession
-    schema = ", ".join(f"{n} tinyint" for n in names) + ", quality double"
-    table = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, posterior, strict=True)], schema)
+    schema = ", ".join(f"{n} tinyint" for n in names) + ", quality double, any_bad boolean"
+    table = spark.createDataFrame([(*map(int, p), float(q), bool((p == BAD).any())) for p, q in zip(patterns, posterior, strict=True)], schema)
     return voted.join(F.broadcast(table), names).withColumn("good", F.col("quality") >= threshold).drop(*names)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(written(with_counts(load(spark, sf_dir, "documents")), "counts"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality", "any_bad")
