@@ -101,12 +101,12 @@ def with_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
 
 BAD, ABSTAIN, GOOD, DOUBTFUL = -1, 0, 1, 2
-#: Texts with fewer words give a rule nothing to call good or doubtful.
+#: Shares of fewer words than these say little: but for length and symbols, rules abstain.
 FEW_WORDS = 30
 
 
-def _vote(bad, good, *, unsure=None):
-    return F.when(bad, F.lit(BAD)).when(good, F.lit(GOOD)).otherwise(F.lit(DOUBTFUL) if unsure is None else unsure).cast("tinyint")
+def _vote(bad, good):
+    return F.when(bad, F.lit(BAD)).when(good, F.lit(GOOD)).otherwise(F.lit(DOUBTFUL)).cast("tinyint")
 
 
 def votes() -> dict:
@@ -114,18 +114,17 @@ def votes() -> dict:
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
     symbols, marks, upper = F.col("n_symbols"), F.col("n_marks"), F.col("n_upper")
     again, repeats, distinct = F.col("n_dup_lines"), F.col("n_repeat_words"), F.col("n_distinct")
-    few = n < FEW_WORDS
-    unsure = F.when(few, F.lit(ABSTAIN)).otherwise(F.lit(DOUBTFUL))
-    rule = lambda bad, good: _vote(bad, ~few & good, unsure=unsure)
+    asked = n >= FEW_WORDS
+    rate = lambda bad, good: F.when(asked, _vote(bad, good)).otherwise(F.lit(ABSTAIN)).cast("tinyint")
     return {
         "length": _vote(n < 10, n >= 50),
-        "word_size": rule((10 * chars > 63 * n) | (chars < 4 * n), (10 * chars <= 58 * n) & (10 * chars >= 45 * n)),
-        "symbols": rule(10 * symbols > n, 50 * symbols <= n),
-        "marks": rule(4 * marks > n, 5 * marks <= n),
-        "capitals": rule(10 * upper > chars, 25 * upper <= chars),
-        "dup_lines": rule((again >= 2) & (5 * again > lines), 20 * again <= lines),
-        "repeats": rule(5 * repeats > n, 20 * repeats <= n),
-        "variety": rule(5 * distinct < 2 * n, 2 * distinct >= n),
+        "word_size": rate((10 * chars > 63 * n) | (chars < 4 * n), (10 * chars <= 58 * n) & (10 * chars >= 45 * n)),
+        "symbols": F.when(10 * symbols > n, F.lit(BAD)).otherwise(rate(F.lit(False), 50 * symbols <= n)).cast("tinyint"),
+        "marks": rate(10 * marks > 3 * n, 5 * marks <= n),
+        "capitals": rate(10 * upper > chars, 25 * upper <= chars),
+        "dup_lines": rate((again >= 2) & (5 * again > lines), 20 * again <= lines),
+        "repeats": rate(10 * repeats > 3 * n, 20 * repeats <= n),
+        "variety": rate(10 * distinct < 3 * n, 2 * distinct >= n),
     }
 
 
