@@ -20,9 +20,32 @@ def links(chunks: DataFrame) -> DataFrame:
     return found.select("source", "anchor", "chunk_id", "l.raw", "l.target", F.col("l.anchor").alias("target_anchor"), "l.alias", "l.embedded")
 
 
-def _one_or_many(df: DataFrame, key: str, name: str) -> DataFrame:
-    """The source of a key if it has one only, and how many it has: never a list of them."""
-    return df.groupBy(key).agg(F.countDistinct("note").alias(f"{name}_n"), F.min("note").alias(f"{name}_note"))
+def provided(notes: DataFrame) -> DataFrame:
+    """The names that links can mean a note by, each once: ``key, note, source``, the key ``path:``, ``name:`` or ``alias:`` and the name."""
+    paths = notes.select("source", T.unix_path(F.col("source")).alias("note"), "aliases")
+    paths = paths.withColumn("path", T.casefold(F.regexp_replace(T.without_md(F.col("note")), "^/+|/+$", "")))
+    path = paths.select(F.concat(F.lit("path:"), "path").alias("key"), "note", "source")
+    name = paths.select(F.concat(F.lit("name:"), T.base_name(F.col("path"))).alias("key"), "note", "source")
+    alias = paths.select("note", "source", F.explode("aliases").alias("alias")).select(T.casefold(T.strip(F.col("alias"))).alias("k"), "note", "source").where("k <> ''")
+    return path.unionByName(name).unionByName(alias.select(F.concat(F.lit("alias:"), "k").alias("key"), "note", "source")).distinct()
+
+
+def _with_keys(found: DataFrame) -> DataFrame:
+    """Links with ``t``, the target as a path, and the names that it may be: ``k_path``, ``k_beside``, ``k_name``."""
+    target = T.unix_path(T.strip(T.url_decoded(F.col("target"))))
+    plain = F.regexp_replace(T.without_md(F.col("t")), "^/+|/+$", "")
+    folder = T.parent_dir(F.col("source"))
+    # a path's ".." is kept as it is written, "." is not
+    beside = F.when(folder == "", F.col("plain")).otherwise(F.concat(folder, F.lit("/"), F.col("plain")))
+    out = found.withColumn("t", target).withColumn("plain", plain)
+    return out.withColumns({"k_path": T.casefold(F.col("plain")), "k_beside": T.casefold(F.regexp_replace(T.without_md(beside), "^/+|/+$", "")), "k_name": T.casefold(T.base_name(F.col("plain")))})
+
+
+def wanted(found: DataFrame) -> DataFrame:
+    """The reverse index of links, each pair once: ``key`` as in :func:`provided`, and the ``source`` whose links may mean it."""
+    out = _with_keys(found).where("t <> ''").where(~(F.col("embedded") | T.is_attachment(F.col("t"))))
+    keys = F.array(F.concat(F.lit("path:"), "k_path"), F.concat(F.lit("path:"), "k_beside"), F.concat(F.lit("alias:"), "k_path"), F.concat(F.lit("name:"), "k_name"))
+    return out.select(F.explode(keys).alias("key"), "source").distinct()
 
 
 def resolved(found: DataFrame, notes: DataFrame) -> DataFrame:
@@ -33,24 +56,20 @@ def resolved(found: DataFrame, notes: DataFrame) -> DataFrame:
     An empty target is the note itself. Four equi-joins on keys that are unique
     on the note side, so no link multiplies.
     """
-    paths = notes.select(T.unix_path(F.col("source")).alias("note"), "aliases")
-    bare = T.casefold(F.regexp_replace(T.without_md(F.col("note")), "^/+|/+$", ""))
-    paths = paths.withColumn("path", bare)
-    exact = paths.groupBy("path").agg(F.max("note").alias("note"))
-    names = _one_or_many(paths.withColumn("name", T.base_name(F.col("path"))), "name", "name")
-    aliases = paths.select("note", F.explode("aliases").alias("alias")).select("note", T.casefold(T.strip(F.col("alias"))).alias("alias_key")).where("alias_key <> ''")
-    aliases = _one_or_many(aliases, "alias_key", "alias")
-    target = T.unix_path(T.strip(T.url_decoded(F.col("target"))))
-    plain = F.regexp_replace(T.without_md(F.col("t")), "^/+|/+$", "")
-    folder = T.parent_dir(F.col("source"))
-    # a path's ".." is kept as it is written, "." is not
-    beside = F.when(folder == "", F.col("plain")).otherwise(F.concat(folder, F.lit("/"), F.col("plain")))
-    out = found.withColumn("t", target).withColumn("plain", plain)
-    out = out.withColumns({"k_path": T.casefold(F.col("plain")), "k_beside": T.casefold(F.regexp_replace(T.without_md(beside), "^/+|/+$", "")), "k_name": T.casefold(T.base_name(F.col("plain")))})
+    return resolved_by(found, provided(notes))
+
+
+def resolved_by(found: DataFrame, names: DataFrame) -> DataFrame:
+    """:func:`resolved` with rows of :func:`provided`: those of all keys of :func:`wanted` must be there."""
+    of = lambda kind: names.where(F.col("key").startswith(f"{kind}:")).withColumn("key", F.substring("key", len(kind) + 2, 1 << 30))
+    exact = of("path").groupBy(F.col("key").alias("path")).agg(F.max("note").alias("note"))
+    # the note of a name that has one only, and how many it has: never a list of them
+    some = lambda kind: of(kind).groupBy(F.col("key").alias(f"{kind[0]}_key")).agg(F.countDistinct("note").alias(f"{kind}_n"), F.min("note").alias(f"{kind}_note"))
+    out = _with_keys(found)
     out = out.join(exact.select(F.col("path").alias("k_path"), F.col("note").alias("by_path")), "k_path", "left")
     out = out.join(exact.select(F.col("path").alias("k_beside"), F.col("note").alias("by_beside")), "k_beside", "left")
-    out = out.join(aliases.withColumnRenamed("alias_key", "a_key"), F.col("k_path") == F.col("a_key"), "left")
-    out = out.join(names.withColumnRenamed("name", "n_key"), F.col("k_name") == F.col("n_key"), "left")
+    out = out.join(some("alias"), F.col("k_path") == F.col("a_key"), "left")
+    out = out.join(some("name"), F.col("k_name") == F.col("n_key"), "left")
     own = F.col("t") == ""
     attachment = F.col("embedded") | T.is_attachment(F.col("t"))
     many = F.when(F.col("alias_n").isNotNull(), F.col("alias_n") > 1).otherwise(F.coalesce(F.col("name_n") > 1, F.lit(False)))
@@ -63,7 +82,7 @@ def resolved(found: DataFrame, notes: DataFrame) -> DataFrame:
 def _node(df: DataFrame, id: Column, type: str, name: Column, *, source=None, anchor=None, content_hash=None, order: Column | None = None, **metadata: Column) -> DataFrame:
     text = lambda c: F.coalesce(c, F.lit("")) if c is not None else F.lit("")
     data = F.create_map(*[x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))]) if metadata else F.create_map().cast("map<string,string>")
-    return df.select(id.alias("id"), F.lit(type).alias("type"), text(name).alias("name"), text(source).alias("source"), text(anchor).alias("anchor"), text(source).alias("owner_source"), text(content_hash).alias("content_hash"), data.alias("metadata"), (order if order is not None else text(source)).alias("ord"))
+    return df.select(id.alias("id"), F.lit(type).alias("type"), text(name).alias("name"), text(source).alias("source"), text(anchor).alias("anchor"), text(source).alias("owner_source"), text(content_hash).alias("content_hash"), data.alias("metadata"), (order if order is not None else text(source)).alias("ord"), F.col("source").alias("writer"))
 
 
 def _edge(df: DataFrame, id: Column, a: Column, b: Column, type: str, *, source: Column, anchor: Column | None = None, chunk: Column | None = None) -> DataFrame:
@@ -72,7 +91,12 @@ def _edge(df: DataFrame, id: Column, a: Column, b: Column, type: str, *, source:
 
 
 def structure_nodes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """Document, section, tag and unresolved nodes, each id once (see :func:`upserted_nodes`).
+    """Document, section, tag and unresolved nodes, each id once (see :func:`upserted_nodes`)."""
+    return upserted_nodes(node_writes(notes, chunks, found))
+
+
+def node_writes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that :func:`structure_nodes` merges, with the source that writes each as ``writer``.
 
     Writers are ordered by source, and for one id a note's own row comes after
     the rows of links to it, so that a link never blanks a note.
@@ -87,11 +111,16 @@ def structure_nodes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> Da
     to = _node(linked, T.document_id(F.col("resolved_source")), "document", T.stem(F.col("resolved_source")), source=F.col("resolved_source"), order=F.concat(F.lit("0"), src), exists=F.lit("true"))
     name = F.coalesce(T.blank_to_null(F.col("target")), F.concat(F.lit("#"), F.col("target_anchor")))
     loose = _node(found.where("status IN ('unresolved', 'ambiguous')"), T.stable_id("unresolved", T.casefold(name)), "unresolved", name, order=src, status=F.col("status"))
-    return upserted_nodes(documents.unionByName(part).unionByName(tag).unionByName(to).unionByName(loose))
+    return documents.unionByName(part).unionByName(tag).unionByName(to).unionByName(loose)
 
 
 def structure_edges(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
     """HAS_SECTION, TAGGED_WITH and LINKS_TO edges, each id once."""
+    return upserted_edges(edge_writes(notes, chunks, found))
+
+
+def edge_writes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that :func:`structure_edges` merges, written by ``evidence_source``."""
     src, doc = F.col("source"), T.document_id(F.col("source"))
     section = T.section_id(src, F.col("anchor"))
     has = _edge(chunks, T.stable_id("edge", doc, section, F.lit("HAS_SECTION")), doc, section, "HAS_SECTION", source=src, anchor=F.col("anchor"), chunk=F.col("chunk_id"))
@@ -102,7 +131,7 @@ def structure_edges(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> Da
     target = F.when(F.col("status") == "resolved", T.document_id(F.col("resolved_source"))).otherwise(T.stable_id("unresolved", T.casefold(name)))
     kept = found.where("status <> 'attachment'").withColumn("target_node", target)
     to = _edge(kept, T.stable_id("edge", section, F.col("target_node"), F.lit("LINKS_TO"), F.col("chunk_id"), F.col("raw")), section, F.col("target_node"), "LINKS_TO", source=src, anchor=F.col("anchor"), chunk=F.col("chunk_id"))
-    return upserted_edges(has.unionByName(tagged).unionByName(to).withColumn("ord", F.col("evidence_source")))
+    return has.unionByName(tagged).unionByName(to).withColumn("ord", F.col("evidence_source"))
 
 
 def upserted_nodes(writes: DataFrame) -> DataFrame:

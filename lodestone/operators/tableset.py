@@ -51,6 +51,16 @@ class TableSet:
         t = self.tables.get(name)
         return None if t is None else self._rows(t, t["files"].values())
 
+    def read_keys(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """The table's rows with a key in ``keys``, one column of distinct keys; only their buckets are read."""
+        t = self.tables.get(name)
+        if t is None:
+            return None
+        own = F.pmod(F.xxhash64(keys.columns[0]), F.lit(t["buckets"])).cast("int")
+        asked = {r[0] for r in keys.select(own).distinct().collect()}  # at most ``buckets``
+        rows, asks = self._rows(t, [t["files"][b] for b in asked & t["files"].keys()]), keys.toDF("asked_key")
+        return rows.join(asks, rows[t["by"]].eqNullSafe(asks["asked_key"]), "left_semi")
+
     def _rows(self, t: dict, paths) -> DataFrame:
         schema, paths = StructType.fromJson(t["schema"]), sorted(paths)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
