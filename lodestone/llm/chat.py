@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import load
+from lodestone.llm.shared import load, numbered_within, written
+
+#: Conversations of more turns are rendered in slices of lengths, by many tasks.
+LONG = 1000
+#: Turns that one slice renders, over all its prefixes, and the tasks that slices are dealt to at most.
+SLICE, MOST_TASKS = 1 << 22, 10_000
 
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>", "<|\\"
 Turn = tuple[str, str]
@@ -54,16 +60,65 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int,
 
     Every prefix is rendered whole and compared with the one before, so a template
     that rewrites history at one length only is found too. The time grows with the
-    square of the number of turns.
+    square of the number of turns; :func:`slice_bound` deals it out.
     """
-    before, spans = "", []
-    for k in range(1, len(turns) + 1):
+    ends = ends_between(turns, template, 0, len(turns))
+    return template(turns), None if ends is None else list(zip([0, *ends], ends, strict=False))
+
+
+def ends_between(turns: list[Turn], template: Template, first: int, last: int) -> list[int] | None:
+    """Lengths of the outputs of ``first + 1`` to ``last`` turns; None if one does not begin with the output before."""
+    before, ends = template(turns[:first]) if first else "", []
+    for k in range(first + 1, last + 1):
         after = template(turns[:k])
         if not after.startswith(before):
-            return template(turns), None
-        spans.append((len(before), len(after)))
+            return None
+        ends.append(len(after))
         before = after
-    return before, spans
+    return ends
+
+
+def slice_bound(number: int, size: int) -> int:
+    """The prefix length at which slice ``number`` begins: each slice renders about ``size`` turns in all."""
+    return math.isqrt(2 * size * number)
+
+
+def sliced_ends(rows: DataFrame, long: DataFrame, slices: int, template: Template, size: int) -> DataFrame:
+    """(``long_id``, ``ends``) of the conversations in ``long`` (``long_id``, ``n``); null ends if history is rewritten.
+
+    A slice is a range of prefix lengths. It gets the turns up to its last length, so
+    a turn is sent to all slices from its own place on, and each of these renders it
+    at least once.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    placed = numbered_within(rows, "conv_id", order, ranges=[F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first()], keep=["conv_id", "role", "text"], name="place")
+    of_length = lambda c: f"({c} * {c} + {2 * size - 1}) div {2 * size} - 1"  # noqa: E731  the slice of a prefix length
+    asked = placed.join(long, placed["conv_id"].eqNullSafe(long["long_id"]))
+    asked = asked.withColumn("slice", F.explode(F.sequence(F.expr(of_length("place")), F.expr(of_length("n")))))
+    asked = asked.select("conv_id", "slice", "place", "n", "role", "text").repartition(slices, "conv_id", "slice").sortWithinPartitions("conv_id", "slice", "place")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, turns = None, []
+
+        def found():
+            key, number, n = held
+            ends = ends_between(turns, template, slice_bound(number, size), min(n, slice_bound(number + 1, size)))
+            return pd.DataFrame({"long_id": pd.array([key], "Int64"), "slice": [number], "ends": [ends]})
+
+        for f in frames:
+            ids = [None if i is pd.NA else i for i in f["conv_id"].astype("Int64").tolist()]
+            for i, number, n, r, t in zip(ids, f["slice"].tolist(), f["n"].tolist(), f["role"].tolist(), f["text"].tolist(), strict=True):
+                if (i, number, n) != held:
+                    if turns:
+                        yield found()
+                    held, turns = (i, number, n), []
+                turns.append((r, t))
+        if turns:
+            yield found()
+
+    parts = asked.mapInPandas(run, "long_id bigint, slice bigint, ends array<int>")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "ends"))), lambda x: x["ends"]))
+    return parts.groupBy("long_id").agg(F.when(F.bool_and(F.col("ends").isNotNull()), joined).alias("ends"))
 
 
 def locate_in_windows(turns: list[Turn], template: Template, window: int) -> tuple[str, list[tuple[int, int]] | None]:
@@ -105,7 +160,7 @@ def read_back(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[Turn],
     return turns, mask
 
 
-def format_conversations(rows: DataFrame, template: Template = marked_turns, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", window: int | None = None) -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = marked_turns, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", window: int | None = None, long: int = LONG, size: int = SLICE) -> DataFrame:
     """One row per conversation: ``conv_id``, ``n_turns``, ``formatted``, ``starts``, ``ends``, ``rewrites``, ``checked``.
 
     Turns come in the order of ``turn``; equal or null turns (nulls first) in the
@@ -115,9 +170,12 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, *,
     if the template rewrites history. A conversation is one output string, so one
     task holds it; conversations are dealt out by id.
 
-    All prefixes are rendered and compared. A caller with conversations of very many
-    turns, and a template that is known to append only, can give a ``window`` instead
-    (:func:`locate_in_windows`); ``checked`` is then false for longer conversations.
+    All prefixes are rendered and compared. For conversations of more than ``long`` turns
+    tasks of about ``size`` rendered turns do that, each a range of lengths, and the
+    task that holds the conversation renders it once. The work still grows with the
+    square of the turns. A caller with a template that is known to append only can give a
+    ``window`` instead (:func:`locate_in_windows`); ``checked`` is then false for longer
+    conversations.
     """
     part = rows.select(
         F.col(conv_id).cast("bigint").alias("conv_id"),
@@ -125,41 +183,60 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, *,
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    part = part.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    names = ["conv_id", "n_turns", "formatted", "starts", "ends", "rewrites", "checked"]
 
-    def finished(key, turns):
+    def finished(key, turns, sliced):
+        if sliced:
+            return (key, len(turns), template(turns), None, None, False, True)
         every = window is None or len(turns) <= window
         whole, spans = locate(turns, template) if every else locate_in_windows(turns, template, window)
         ok = spans is not None
         return (key, len(turns), whole, [s for s, _ in spans] if ok else None, [e for _, e in spans] if ok else None, not ok, every or not ok)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "formatted", "starts", "ends", "rewrites", "checked"]
-        key, turns, out, size = None, [], [], 0
-
-        def frame():
-            f = pd.DataFrame(out, columns=names)
-            return f.astype({"conv_id": "Int64"})
-
-        for f in frames:
-            ids = f["conv_id"].astype("Int64")
-            for i, r, t in zip(ids.tolist(), f["role"].tolist(), f["text"].tolist(), strict=True):
-                i = None if i is pd.NA else i
-                if turns and i != key:
-                    out.append(finished(key, turns))
-                    size += len(out[-1][2])
-                    turns = []
-                key = i
-                turns.append((r, t))
-            if size > 1 << 22:
+    def rendered(df, sliced):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, turns, out, size = None, [], [], 0
+
+            def frame():
+                return pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+
+            for f in frames:
+                ids = f["conv_id"].astype("Int64")
+                for i, r, t in zip(ids.tolist(), f["role"].tolist(), f["text"].tolist(), strict=True):
+                    i = None if i is pd.NA else i
+                    if turns and i != key:
+                        out.append(finished(key, turns, sliced))
+                        size += len(out[-1][2])
+                        turns = []
+                    key = i
+                    turns.append((r, t))
+                if size > 1 << 22:
+                    yield frame()
+                    out, size = [], 0
+            if turns:
+                out.append(finished(key, turns, sliced))
+            if out:
                 yield frame()
-                out, size = [], 0
-        if turns:
-            out.append(finished(key, turns))
-        if out:
-            yield frame()
 
-    return part.mapInPandas(run, "conv_id bigint, n_turns bigint, formatted string, starts array<int>, ends array<int>, rewrites boolean, checked boolean")
+        dealt = df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+        return dealt.mapInPandas(run, "conv_id bigint, n_turns bigint, formatted string, starts array<int>, ends array<int>, rewrites boolean, checked boolean")
+
+    if window is not None:
+        return rendered(part, False)
+    many = part.groupBy(F.col("conv_id").alias("long_id")).agg(F.count("*").alias("n")).where(F.col("n") > long)
+    slices = many.agg(F.sum(F.expr(f"(n * n + {2 * size - 1}) div {2 * size}"))).first()[0]
+    if not slices:
+        return rendered(part, False)
+    many = written(many, "long")  # one row in ``long`` turns at most
+    own = part["conv_id"].eqNullSafe(many["long_id"])
+    apart = part.join(many, own, "left_semi")
+    ends = sliced_ends(apart, many, min(slices, MOST_TASKS), template, size)
+    whole = rendered(apart, True).drop("starts", "ends", "rewrites")
+    whole = whole.join(ends, whole["conv_id"].eqNullSafe(ends["long_id"])).withColumns({
+        "starts": F.expr("CASE WHEN ends IS NOT NULL THEN concat(array(0), slice(ends, 1, size(ends) - 1)) END"),
+        "rewrites": F.col("ends").isNull(),
+    })
+    return rendered(part.join(many, own, "left_anti"), False).unionByName(whole.select(*names))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

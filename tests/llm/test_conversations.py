@@ -14,7 +14,7 @@ from compare import rows as as_rows
 from compare import tables
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, prefix_trie, shared, turn_repair
+from lodestone.llm import chat, packing, prefix_trie, shared, turn_repair
 from lodestone.llm.bpe import tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -362,3 +362,26 @@ def test_sequences_and_empty_table(spark):
     assert sum(r.n_tokens for r in whole) == sum(5 * k + 1 for k in range(1, 30))
     none = packing.cut_pieces(df.where("false"), path)
     assert packing.place(none).count() == 0 and packing.sequences(packing.place(none)).count() == 0
+
+
+@pytest.mark.parametrize("at", [0, 13])
+def test_long_conversations_are_checked_in_slices(spark, at):
+    """Slices give what one task does; a template that rewrites history at one length is found in any of them."""
+
+    def template(turns):
+        text = chat.marked_turns(turns)
+        return "!" + text if len(turns) == at else text
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} <|im_end|> {t}" * (t % 3)) for c, n in ((1, 5), (2, 12), (None, 13), (4, 41)) for t in range(n)]
+    rows += [(5, 3, "user", "same")] * 20 + [(5, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    want = {tuple(r) for r in _plain(chat.format_conversations(df, template, long=1000))}
+    for long, size in ((6, 100), (0, 1)):
+        got = list(_plain(chat.format_conversations(df, template, long=long, size=size)))
+        assert len(got) == 5 and set(got) == want
+    assert sum(r[5] for r in want) == sum(n >= at > 0 for n in (5, 12, 13, 41, 22))
+
+
+def _plain(df):
+    assert df.columns == ["conv_id", "n_turns", "formatted", "starts", "ends", "rewrites", "checked"]
+    return (tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.collect())
