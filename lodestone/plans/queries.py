@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import semantic as S
 from lodestone.operators import sync as Y
+from lodestone.operators.vector_index import build_index
 from lodestone.plans.vault_tables import notes, notes_sql
-from lodestone.session import written
+from lodestone.session import shared_dir, written
 from lodestone.sources.sinks import gephi_edges, gephi_nodes
 
 QUERIES: dict = {}
@@ -67,6 +70,14 @@ def vector_topk(spark, d):
     return R.vector_topk(queries, chunks, 10).select(*_hit())
 
 
+@query(SQL["vector_topk"])
+def vector_index_topk(spark, d):
+    chunks, queries = _vectors(spark, d)
+    width = chunks.agg(F.max(F.size("vec"))).first()[0]
+    index = build_index(chunks, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", cells=64, width=width)
+    return index.search(queries, 10).select(*_hit())
+
+
 @query(
     f"""WITH {SCORES} SELECT query_id, chunk_id, source, anchor, round(score, 6) AS score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored WHERE folder = 'f3' AND tag = 't1') WHERE rank <= 5"""
