@@ -256,6 +256,22 @@ def heading_sections(spark, d):
     return out.select("source", "heading", "anchor", F.length("content").alias("n_chars"))
 
 
+_REPEATED = """n AS (SELECT p_brand AS source, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position, lower(p_type) AS heading, '# ' || lower(p_type) || chr(10) || chr(10) || 'Size ' || CAST(p_size % 3 AS VARCHAR(9)) AS text FROM {parts})"""
+
+
+@query(
+    f"""WITH {_REPEATED.format(parts="part")}, s AS (SELECT source, position, heading, sha256(source || chr(0) || heading || chr(0) || text) AS digest FROM n
+    ), c AS (SELECT *, row_number() OVER (PARTITION BY source, heading, digest ORDER BY position) - (first(digest) OVER (PARTITION BY source, heading ORDER BY position) = digest)::INT AS choice FROM s)
+    SELECT source, position, heading || CASE WHEN choice = 0 THEN '' ELSE '-' || substr(digest, 1, 6 + 2 * choice) || CASE WHEN choice > 29 THEN '-' || choice ELSE '' END END AS anchor FROM c"""
+)
+def repeated_anchors(spark, d):
+    """A note for each brand, a section for each part: headings repeat, and so do whole sections."""
+    parts = spark.sql(f"WITH {_REPEATED.format(parts='{part}')} SELECT source, position, text FROM n", part=table(spark, d, "part"))
+    listed = F.array_sort(F.collect_list(F.struct("position", "text")))
+    made = parts.groupBy("source").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("content"))
+    return C.chunks(made).select("source", F.col("position").cast("bigint").alias("position"), "anchor")
+
+
 def _vault(spark, d):
     n = notes(spark, d)
     chunks = written(C.chunks(n), "chunks")
