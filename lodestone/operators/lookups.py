@@ -141,11 +141,29 @@ def best_seed_chunks(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "source").agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("position"))).alias("b")).select("query_id", "source", "b.*")
 
 
+#: Tasks that the distinct texts of one source are spread over.
+SPREAD = 16
+
+
 def lexical_rerank(asked: DataFrame, chunks: DataFrame, k: int, *, where: Column | None = None, tag: str | None = None) -> DataFrame:
-    """The ``k`` best chunks of each source asked for (``query_id``, ``question``, ``source``) by shared bigrams; ties by anchor."""
+    """The ``k`` best chunks of each source asked for (``query_id``, ``question``, ``source``) by shared bigrams; ties by anchor.
+
+    Equal texts have equal scores, so only distinct ones of a source are scored. Of chunks with
+    one text only the first ``k`` by anchor can be hits, and of texts only the ``k`` that come
+    first by score and least anchor.
+    """
     chunks = chunks if where is None else chunks.where(where)
     chunks = chunks if tag is None else chunks.where(F.array_contains("tags", tag))
-    both = asked.withColumn("asked_for", T.bigrams(F.col("question"))).join(chunks.withColumn("grams", T.bigrams(F.col("content"))), "source")
-    scored = both.withColumn("score", T.overlap_score(F.col("grams"), F.col("asked_for"))).drop("grams", "asked_for")
-    rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.asc("anchor")))
-    return scored.withColumn("source_rank", rank).where(F.col("source_rank") <= k)
+    chunks = chunks.where("source IS NOT NULL").withColumn("said", F.coalesce("content", F.lit("")))
+    asked = asked.where("source IS NOT NULL").withColumn("wanted", F.coalesce("question", F.lit("")))
+    first = lambda df, *by, order: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= k).drop("r")
+    texts = chunks.groupBy("source", "said").agg(F.min("anchor").alias("least"), F.bool_or(F.col("anchor").isNull()).alias("open"))
+    texts = texts.select("source", "said", F.when(~F.col("open"), F.col("least")).alias("least"), T.bigrams(F.col("said")).alias("grams"), F.pmod(F.xxhash64("said"), F.lit(SPREAD)).alias("part"))
+    questions = asked.select("source", "wanted").distinct().withColumn("asked_for", T.bigrams(F.col("wanted")))
+    questions = questions.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    pairs = questions.join(texts, ["source", "part"]).select("source", "wanted", "said", "least", T.overlap_score(F.col("grams"), F.col("asked_for")).alias("score"))
+    pairs = first(pairs, "source", "wanted", order=[F.desc("score"), F.asc("least")]).drop("least")
+    best = pairs.join(first(chunks, "source", "said", order=[F.asc("anchor")]), ["source", "said"])
+    best = best.withColumn("source_rank", F.row_number().over(Window.partitionBy("source", "wanted").orderBy(F.desc("score"), F.asc("anchor")))).where(F.col("source_rank") <= k)
+    rest = [c for c in chunks.columns if c not in ("source", "said")]
+    return asked.join(best, ["source", "wanted"]).select("source", *[c for c in asked.columns if c not in ("source", "wanted")], *rest, "score", "source_rank")
