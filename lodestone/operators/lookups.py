@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.functions import text as T
 from lodestone.operators import semantic as S
+from lodestone.session import written
 
 #: The tables that the library keeps, with their columns.
 SCHEMAS = {
@@ -145,6 +146,22 @@ def best_seed_chunks(scored: DataFrame) -> DataFrame:
 SPREAD = 16
 
 
+#: Scores of distinct texts that are broadcast at most.
+FEW_SCORES = 500_000
+
+
+def bigram_scores(rows: DataFrame, text: str, questions: DataFrame) -> DataFrame:
+    """``rows`` with each ``question`` (distinct texts) and the ``score`` of its bigrams against ``text``.
+
+    Each distinct text is scored once; the scores are written out, so that no join works them out again.
+    """
+    asked = F.broadcast(questions.select("question", T.bigrams(F.col("question")).alias("b")))
+    texts = rows.select(F.col(text).alias("said")).distinct().select("said", T.bigrams(F.col("said")).alias("a"))
+    scores = written(texts.crossJoin(asked).select("said", "question", T.overlap_score(F.col("a"), F.col("b")).alias("score")), "scores")
+    scores = F.broadcast(scores) if scores.count() <= FEW_SCORES else scores
+    return rows.join(scores, F.col(text).eqNullSafe(F.col("said"))).drop("said")
+
+
 def lexical_rerank(asked: DataFrame, chunks: DataFrame, k: int, *, where: Column | None = None, tag: str | None = None) -> DataFrame:
     """The ``k`` best chunks of each source asked for (``query_id``, ``question``, ``source``) by shared bigrams; ties by anchor.
 

@@ -42,3 +42,14 @@ def test_rerank_equals_all_pairs(spark):
         scored = sorted((-round(0.45 + 0.5 * (a / b if b else 0), 6), anchor) for (a, b), anchor in zip(pairs, own.anchor, strict=True))
         want += [(q.query_id, anchor, -s, r + 1) for r, (s, anchor) in enumerate(scored[:4])]
     assert sorted(got[["query_id", "anchor", "score", "source_rank"]].itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_bigrams_of_repeated_texts_are_compared_once(spark):
+    """12 million rows, of 180 pairs of texts."""
+    rows = spark.range(200_000).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("large part "), F.col("id") % 3)).alias("text"))
+    questions = spark.range(60).select(F.concat(F.lit("a large ring of number "), "id").alias("question"))
+    began = time.monotonic()
+    got = L.bigram_scores(rows, "text", questions)
+    n, null, best = got.agg(F.count("*"), F.max(F.when(F.col("text").isNull(), F.col("score"))), F.max("score")).first()
+    assert time.monotonic() - began < 25
+    assert (n, null) == (12_000_000, 0.45) and best > 0.45
