@@ -24,6 +24,25 @@ def query_metrics(retrieved: DataFrame, gold: DataFrame, *, ks=KS, mrr_k: int =
     gold = gold.select("query_id", "item").distinct()
     need = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     hits = retrieved.join(gold, ["query_id", "item"]).select("query_id", "rank")
+    return _metrics(need, hits, ks, mrr_k, ndcg_k)
+
+
+def class_metrics(retrieved: DataFrame, queries: DataFrame, items: DataFrame, *, ks=KS, mrr_k: int = 10, ndcg_k: int = 10) -> DataFrame:
+    """:func:`query_metrics` where the gold of a query is all items of its class, without a row per query and item.
+
+    ``queries`` has ``query_id, label``, one class a query, ``items`` has ``item, label``. A
+    class is counted once, and only the items that were retrieved are looked up.
+    """
+    asked, items = queries.select("query_id", "label").distinct(), items.select("item", "label").distinct()
+    sizes = items.groupBy("label").agg(F.count("*").alias("n_gold"))
+    need = asked.join(sizes, "label").select("query_id", "n_gold")
+    own = retrieved.join(asked, "query_id")
+    hits = own.join(items, ["item", "label"]).select("query_id", "rank")
+    return _metrics(need, hits, ks, mrr_k, ndcg_k)
+
+
+def _metrics(need: DataFrame, hits: DataFrame, ks, mrr_k: int, ndcg_k: int) -> DataFrame:
+    """Metrics from the size of each query's gold and the ranks of its hits."""
     within = lambda k: F.sum(F.when(F.col("rank") <= k, 1).otherwise(0))
     sums = [within(k).alias(f"n{k}") for k in ks]
     dcg = F.sum(F.when(F.col("rank") <= ndcg_k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
@@ -97,8 +116,13 @@ def head_per_group(df: DataFrame, n: int, by: str, *order) -> DataFrame:
 
 def compared_retrievers(basic: DataFrame, local: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """One row: recall at ``k`` of both, their difference, MRR, and how many queries gain or lose all hits."""
-    a = query_metrics(basic, gold, ks=(k,)).select("query_id", F.col(f"recall_{k}").alias("a"), F.col("mrr_10").alias("a_mrr"))
-    b = query_metrics(local, gold, ks=(k,)).select("query_id", F.col(f"recall_{k}").alias("b"), F.col("mrr_10").alias("b_mrr"))
+    return compared_metrics(query_metrics(basic, gold, ks=(k,)), query_metrics(local, gold, ks=(k,)), k)
+
+
+def compared_metrics(basic: DataFrame, local: DataFrame, k: int = 5) -> DataFrame:
+    """:func:`compared_retrievers` from the metrics of each query."""
+    a = basic.select("query_id", F.col(f"recall_{k}").alias("a"), F.col("mrr_10").alias("a_mrr"))
+    b = local.select("query_id", F.col(f"recall_{k}").alias("b"), F.col("mrr_10").alias("b_mrr"))
     return a.join(b, "query_id").agg(
         F.avg("a").alias("basic_recall"),
         F.avg("b").alias("local_recall"),
