@@ -24,6 +24,9 @@ QUERY_BLOCK = 10_000
 BLOCK_BYTES = 64 << 20
 #: Pairs of a query and a chunk that a task scores in one step.
 TILE = 1 << 21
+QUERIES_AT_ONCE = 1_024
+#: Rows of an Arrow batch that a search hands on.
+OUT_ROWS = 20_000
 #: The reasons of a refusal.
 NO_EVIDENCE, LOW_SCORE, NOT_CITABLE = "未检索到足够证据", "最高检索相关度低于可靠回答阈值", "检索片段缺少可追溯的路径、anchor 或原文"
 
@@ -42,28 +45,63 @@ def _best(place: np.ndarray, chunk: np.ndarray, query: np.ndarray, score: np.nda
     return chunk[keep], query[keep], score[keep]
 
 
-def _nearest(v: np.ndarray, q: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+def _nearest(v: np.ndarray, q: np.ndarray, place: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(row of ``v``, row of ``q``, score) of the ``k`` best rows of ``v`` for each row of ``q``.
 
     A matrix product finds the candidates, with a margin for its rounding; their scores
     are then added in the order of the dimensions, so equal vectors have equal scores.
+    Pairs below ``floor``, a score for each row of ``q``, are left out. Some queries are taken
+    at a time, and what is below their k-th score so far is dropped, so that memory hangs on
+    ``TILE`` and on the hits.
     """
-    margin = 1e-9 * np.sqrt((v * v).sum(1).max() * (q * q).sum(1))
-    step = max(1, TILE // len(q))
+    size = np.sqrt((v * v).sum(1).max())
     found = []
-    for lo in range(0, len(v), step):
-        rough = q @ v[lo : lo + step].T
-        if k < rough.shape[1]:
-            least = np.partition(rough, -k, axis=1)[:, -k] - margin
-            query, chunk = np.nonzero(rough >= least[:, None])
-        else:
-            query, chunk = (x.ravel() for x in np.indices(rough.shape))
-        chunk = chunk + lo
-        score = np.zeros(len(query))
-        for j in range(v.shape[1]):
-            score += q[query, j] * v[chunk, j]
-        found.append(_best(place, chunk, query, score, k))
-    return _best(place, *(np.concatenate(x) for x in zip(*found, strict=True)), k)
+    for at in range(0, len(q), QUERIES_AT_ONCE):
+        part = q[at : at + QUERIES_AT_ONCE]
+        margin = 1e-9 * size * np.sqrt((part * part).sum(1))
+        least = np.full(len(part), -np.inf) if floor is None else floor[at : at + QUERIES_AT_ONCE] - margin
+        kept, fresh = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+        step = max(1, TILE // len(part))
+        for lo in range(0, len(v), step):
+            rough = part @ v[lo : lo + step].T
+            over = rough >= least[:, None]
+            many = np.flatnonzero(np.count_nonzero(over, axis=1) > k)
+            if len(many):
+                some = rough[many]
+                least[many] = np.maximum(least[many], np.partition(some, -k, axis=1)[:, -k] - margin[many])
+                over[many] = some >= least[many, None]
+            query, chunk = np.nonzero(over)
+            chunk = chunk + lo
+            score = np.zeros(len(query))
+            for j in range(v.shape[1]):
+                score += part[query, j] * v[chunk, j]
+            fresh.append((chunk, query, score))
+            if lo + step >= len(v) or sum(len(x[1]) for x in fresh) > max(2 * k * len(part), TILE // 16):
+                kept, fresh = _best(place, *(np.concatenate(x) for x in zip(kept, *fresh, strict=True)), k), []
+                n = np.bincount(kept[1], minlength=len(part))
+                full = np.flatnonzero(n >= k)
+                last = np.cumsum(n)[full] - 1
+                least[full] = np.maximum(least[full], kept[2][last] - margin[full])
+        found.append((kept[0], kept[1] + at, kept[2]))
+    chunk, query, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    if floor is not None:
+        good = score >= floor[query]
+        chunk, query, score = chunk[good], query[good], score[good]
+    return chunk, query, score
+
+
+def _raised(best: np.ndarray, query: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """``best``, the ``k`` greatest scores of each query so far in rising order, with the scores of more hits, which are sorted by query and fall."""
+    if not len(query):
+        return best
+    rows, first, n = np.unique(query, return_index=True, return_counts=True)
+    k = best.shape[1]
+    for lo in range(0, len(rows), QUERIES_AT_ONCE):
+        own, begin, size = (x[lo : lo + QUERIES_AT_ONCE] for x in (rows, first, n))
+        col = np.arange(k)
+        more = np.where(col < size[:, None], score[np.minimum(begin[:, None] + col, len(score) - 1)], -np.inf)
+        best[own] = np.sort(np.concatenate([best[own], more], axis=1), axis=1)[:, -k:]
+    return best
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
@@ -71,8 +109,8 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "ch
 
     ``where`` is applied before scoring, so it reaches the scan. The query set is
     sent to all tasks in blocks of at most ``block`` rows and ``BLOCK_BYTES``; the chunk
-    table is read once a block, with the columns that are given here, and only the best
-    rows of each batch are moved. A vector that is null, of another length than the query's or holds
+    table is read once a block, with the columns that are given here. A task keeps the ``k``
+    best scores of each query, and hands on only rows of a batch that reach them. A vector that is null, of another length than the query's or holds
     a null or no finite number is no hit, and such a query has none.
     """
     spark = chunks.sparkSession
@@ -85,6 +123,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "ch
     def search(shared, width):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            so_far = np.full((len(q), k), -np.inf)
             for batch in batches:
                 vec = batch.column("vec")
                 rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vec), width), False).to_numpy(zero_copy_only=False))
@@ -95,9 +134,12 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "ch
                     continue
                 place = np.empty(batch.num_rows, np.int64)
                 place[pc.sort_indices(batch.column(key), null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
-                chunk, query, score = _nearest(v, q, place[rows], k)
-                at = pa.array(rows[chunk])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in rest], ids.take(pa.array(query)), pa.array(score)], names=schema.names)
+                chunk, query, score = _nearest(v, q, place[rows], k, so_far[:, 0])
+                so_far = _raised(so_far, query, score)
+                for lo in range(0, len(query), OUT_ROWS):
+                    some = slice(lo, lo + OUT_ROWS)
+                    at = pa.array(rows[chunk[some]])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in rest], ids.take(pa.array(query[some])), pa.array(score[some])], names=schema.names)
 
         return run
 

@@ -1,12 +1,15 @@
 """Work that must not grow faster than the input: repeated texts, gold by class, many queries."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.operators import lookups as L
+from lodestone.operators import metrics as M
+from lodestone.operators import retrieval as R
 
 
 def test_repeated_texts_are_scored_once(spark):
@@ -53,3 +56,56 @@ def test_bigrams_of_repeated_texts_are_compared_once(spark):
     n, null, best = got.agg(F.count("*"), F.max(F.when(F.col("text").isNull(), F.col("score"))), F.max("score")).first()
     assert time.monotonic() - began < 25
     assert (n, null) == (12_000_000, 0.45) and best > 0.45
+
+
+def _traced(v, q, k):
+    tracemalloc.start()
+    try:
+        found = R._nearest(v, q, np.arange(len(v)), k)
+        return found, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_search_hangs_on_its_hits():
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(6_000, 16)), rng.normal(size=(4_000, 16))
+    (chunk, query, score), most = _traced(v, q, 50)
+    assert most < 160  # candidates of all tiles at once took several times this
+    assert len(query) == 200_000
+    for k in (0, 1_023, 1_024, 3_999):
+        exact = v @ q[k]
+        assert sorted(chunk[query == k]) == sorted(np.argsort(-exact)[:50])
+        assert np.allclose(score[query == k], np.sort(exact)[::-1][:50])
+
+
+def test_a_task_hands_on_what_reaches_its_best(spark):
+    """Copies and scores that rise from batch to batch: the same hits as without the floor."""
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(300, 4)), 4, axis=0) * np.linspace(0.5, 2, 1_200)[:, None].round(1)
+    chunks = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "chunk_id long, vec array<double>").coalesce(1)
+    queries = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("q_vec"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = R.vector_topk(queries, chunks, 7).select("query_id", "rank", "chunk_id").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    score = np.zeros((120, 1_200))
+    for j in range(4):
+        score += v[::10, j][:, None] * v[:, j]
+    want = {(10 * i, r + 1, int(c)) for i in range(120) for r, c in enumerate(np.lexsort((np.arange(1_200), -score[i]))[:7])}
+    assert set(got.itertuples(index=False, name=None)) == want
+
+
+def test_gold_by_class_needs_no_row_per_pair(spark):
+    """A gold of 900 million pairs."""
+    items = spark.range(300_000).select(F.col("id").alias("item"), (F.col("id") % 3).alias("label"))
+    queries = spark.range(9_000).select(F.col("id").alias("query_id"), F.when(F.col("id") < 8_999, F.col("id") % 3).alias("label"))
+    hits = queries.select("query_id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k")).select("query_id", (F.col("query_id") + F.col("k")).alias("item"), (F.col("k") + 1).alias("rank"))
+    began = time.monotonic()
+    got = M.class_metrics(hits, queries, items, ks=(1, 5)).toPandas()
+    assert time.monotonic() - began < 60
+    assert len(got) == 8_999 and (got.recall_5 * 100_000).round(6).eq(2).all() and got.first_hit_rank.eq(1).all()
+    few = queries.where("query_id < 40"), items.where("item < 60")
+    want = M.query_metrics(hits, few[0].join(few[1], "label").select("query_id", "item"), ks=(1, 5)).toPandas().sort_values("query_id")
+    pd.testing.assert_frame_equal(M.class_metrics(hits, *few, ks=(1, 5)).toPandas().sort_values("query_id").reset_index(drop=True), want.reset_index(drop=True))
