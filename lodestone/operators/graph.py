@@ -90,9 +90,23 @@ def _edge(df: DataFrame, id: Column, a: Column, b: Column, type: str, *, source:
     return df.select(id.alias("id"), a.alias("source_id"), b.alias("target_id"), F.lit(type).alias("type"), F.lit(WEIGHTS[type]).alias("weight"), source.alias("evidence_source"), (none if anchor is None else anchor).alias("evidence_anchor"), (none if chunk is None else chunk).alias("evidence_chunk_id"))
 
 
+#: Chunks whose writes one task merges, about.
+TASK_CHUNKS = 50_000
+
+
+def spread(writes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Writes dealt by id to as many tasks as the chunks ask for.
+
+    A merge of texts sorts what its task has, so a task must not get more as the vault
+    grows; dealt by id beforehand, rows are merged where they are and not sorted by the reading tasks too.
+    """
+    n = -(-chunks.count() // TASK_CHUNKS)
+    return writes.repartition(max(n, writes.sparkSession.sparkContext.defaultParallelism), "id")
+
+
 def structure_nodes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """Document, section, tag and unresolved nodes, each id once (see :func:`upserted_nodes`)."""
-    return upserted_nodes(node_writes(notes, chunks, found))
+    """Document, section, tag and unresolved nodes, each id once (see :func:`upserted_nodes`). ``chunks`` are counted."""
+    return upserted_nodes(spread(node_writes(notes, chunks, found), chunks))
 
 
 def node_writes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
@@ -115,8 +129,8 @@ def node_writes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFr
 
 
 def structure_edges(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """HAS_SECTION, TAGGED_WITH and LINKS_TO edges, each id once."""
-    return upserted_edges(edge_writes(notes, chunks, found))
+    """HAS_SECTION, TAGGED_WITH and LINKS_TO edges, each id once. ``chunks`` are counted."""
+    return upserted_edges(spread(edge_writes(notes, chunks, found), chunks))
 
 
 def edge_writes(notes: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lodestone.operators import chunking as C
+from lodestone.operators import graph as G
 from lodestone.operators import lookups as L
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
+from lodestone.session import written
 
 
 def test_repeated_texts_are_scored_once(spark):
@@ -109,3 +112,14 @@ def test_gold_by_class_needs_no_row_per_pair(spark):
     few = queries.where("query_id < 40"), items.where("item < 60")
     want = M.query_metrics(hits, few[0].join(few[1], "label").select("query_id", "item"), ks=(1, 5)).toPandas().sort_values("query_id")
     pd.testing.assert_frame_equal(M.class_metrics(hits, *few, ks=(1, 5)).toPandas().sort_values("query_id").reset_index(drop=True), want.reset_index(drop=True))
+
+
+def test_merges_are_dealt_to_more_tasks_as_chunks_grow(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_CHUNKS", 40)
+    notes = spark.range(200).select(F.concat(F.lit("n"), "id", F.lit(".md")).alias("source"), F.concat(F.lit("n"), "id").alias("filename"), F.lit("").alias("folder"), F.array(F.lit("t")).alias("tags"), F.array().cast("array<string>").alias("aliases"), F.concat(F.lit("# A\n\n[[n"), F.col("id") + 1, F.lit("]]\n\n## B\n\nText")).alias("content"))
+    chunks = written(C.chunks(notes), "chunks")
+    found = G.resolved(G.links(chunks), notes)
+    nodes, edges = G.structure_nodes(notes, chunks, found), G.structure_edges(notes, chunks, found)
+    assert nodes.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == 10  # 400 chunks
+    assert nodes.groupBy("type").count().orderBy("type").collect() == [("document", 200), ("section", 400), ("tag", 1), ("unresolved", 1)]
+    assert edges.groupBy("type").count().orderBy("type").collect() == [("HAS_SECTION", 400), ("LINKS_TO", 200), ("TAGGED_WITH", 200)]
