@@ -22,12 +22,17 @@ def links(chunks: DataFrame) -> DataFrame:
 
 def provided(notes: DataFrame) -> DataFrame:
     """The names that links can mean a note by, each once: ``key, note, source``, the key ``path:``, ``name:`` or ``alias:`` and the name."""
+    return provided_rows(notes).distinct()
+
+
+def provided_rows(notes: DataFrame) -> DataFrame:
+    """:func:`provided`, a name as often as the note gives it."""
     paths = notes.select("source", T.unix_path(F.col("source")).alias("note"), "aliases")
     paths = paths.withColumn("path", T.casefold(F.regexp_replace(T.without_md(F.col("note")), "^/+|/+$", "")))
     path = paths.select(F.concat(F.lit("path:"), "path").alias("key"), "note", "source")
     name = paths.select(F.concat(F.lit("name:"), T.base_name(F.col("path"))).alias("key"), "note", "source")
     alias = paths.select("note", "source", F.explode("aliases").alias("alias")).select(T.casefold(T.strip(F.col("alias"))).alias("k"), "note", "source").where("k <> ''")
-    return path.unionByName(name).unionByName(alias.select(F.concat(F.lit("alias:"), "k").alias("key"), "note", "source")).distinct()
+    return path.unionByName(name).unionByName(alias.select(F.concat(F.lit("alias:"), "k").alias("key"), "note", "source"))
 
 
 def _with_keys(found: DataFrame) -> DataFrame:
@@ -43,9 +48,14 @@ def _with_keys(found: DataFrame) -> DataFrame:
 
 def wanted(found: DataFrame) -> DataFrame:
     """The reverse index of links, each pair once: ``key`` as in :func:`provided`, and the ``source`` whose links may mean it."""
+    return wanted_rows(found).distinct()
+
+
+def wanted_rows(found: DataFrame) -> DataFrame:
+    """:func:`wanted`, a pair as often as links have it."""
     out = _with_keys(found).where("t <> ''").where(~(F.col("embedded") | T.is_attachment(F.col("t"))))
     keys = F.array(F.concat(F.lit("path:"), "k_path"), F.concat(F.lit("path:"), "k_beside"), F.concat(F.lit("alias:"), "k_path"), F.concat(F.lit("name:"), "k_name"))
-    return out.select(F.explode(keys).alias("key"), "source").distinct()
+    return out.select(F.explode(keys).alias("key"), "source")
 
 
 def resolved(found: DataFrame, notes: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,24 +52,28 @@ class TableSet:
         t = self.tables.get(name)
         return None if t is None else self._rows(t, t["files"].values())
 
-    def read_keys(self, name: str, keys: DataFrame) -> DataFrame | None:
-        """The table's rows with a key in ``keys``, one column of distinct keys; only their buckets are read."""
+    def read_buckets(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """The rows of the buckets in which ``keys``, one column, fall: all rows with such a key, and others."""
         t = self.tables.get(name)
         if t is None:
             return None
         own = F.pmod(F.xxhash64(keys.columns[0]), F.lit(t["buckets"])).cast("int")
         asked = {r[0] for r in keys.select(own).distinct().collect()}  # at most ``buckets``
-        rows, asks = self._rows(t, [t["files"][b] for b in asked & t["files"].keys()]), keys.toDF("asked_key")
-        return rows.join(asks, rows[t["by"]].eqNullSafe(asks["asked_key"]), "left_semi")
+        return self._rows(t, [t["files"][b] for b in asked & t["files"].keys()])
+
+    def read_keys(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """The table's rows with a key in ``keys``, one column of distinct keys; only their buckets are read."""
+        rows, asks = self.read_buckets(name, keys), keys.toDF("asked_key")
+        return None if rows is None else rows.join(asks, rows[self.tables[name]["by"]].eqNullSafe(asks["asked_key"]), "left_semi")
 
     def _rows(self, t: dict, paths) -> DataFrame:
         schema, paths = StructType.fromJson(t["schema"]), sorted(paths)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
-    def change(self, name: str, fresh: DataFrame, *, by: str, gone: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    def change(self, name: str, fresh: DataFrame, *, by: str, gone: DataFrame | None = None, alike: bool = False, buckets: int = BUCKETS) -> None:
         """Put ``fresh`` in place of all rows with a key of its own or of ``gone``, a column of keys.
 
-        Null keys are a key. Columns are those of the first write; ``fresh`` should be
+        With ``alike`` only the rows of ``gone`` go, those that are alike in all columns. Null keys are a key. Columns are those of the first write; ``fresh`` should be
         cheap to read twice.
         """
         t = self.tables.get(name) or {"schema": fresh.schema.jsonValue(), "buckets": buckets, "by": by, "files": {}}
@@ -84,12 +89,14 @@ class TableSet:
         paths = [t["files"][b] for b in touched & t["files"].keys()]
         rows = fresh.select(*names)
         if paths:
-            drop = keys.distinct().withColumnRenamed(by, "gone_key")
+            on = names if alike else [by]
+            drop = (gone.select(*on) if alike else keys.distinct()).withColumnsRenamed({c: f"gone_{c}" for c in on})
             old = self._rows(t, paths)
-            rows = old.join(drop, old[by].eqNullSafe(drop["gone_key"]), "left_anti").select(*names).unionByName(rows)
+            same = functools.reduce(Column.__and__, [old[c].eqNullSafe(drop[f"gone_{c}"]) for c in on])
+            rows = old.join(drop, same, "left_anti").select(*names).unionByName(rows)
         folder = f"data/{name}-{uuid.uuid4().hex}"
         # a rebalance splits a bucket that a hot key makes too large for one task
-        rows.withColumn("bucket", own).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        rows.withColumn("bucket", own).hint("rebalance", F.col("bucket")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}")
         made = {int(n.split("=")[1]) for n in names_in(self.spark, f"{self.root}/{folder}") if n.startswith("bucket=")}
         files = {b: p for b, p in t["files"].items() if b not in touched} | {b: f"{folder}/bucket={b}" for b in made}
         self.tables[name] = t | {"files": files}

@@ -108,3 +108,13 @@ def test_watched(spark, tmp_path):
         U.watch_graph(read_changes(spark, str(tmp_path / "in")), str(tmp_path / "g"), parse, str(tmp_path / "cp")).awaitTermination()
         got = [(r.source, r.status) for r in TableSet(spark, str(tmp_path / "g")).read("links").collect()]
         assert got == [("a.md", "resolved" if k == 1 else "unresolved")]
+
+
+def test_files_stay_near_the_text(spark, tmp_path):
+    """Ids are hashes, which no compression makes smaller: stored for each write they were several times the notes."""
+    notes = [note(f"n/{i}.md", f"Note {i}", "Body", f"{'Some words of the note. ' * 3}[[{i + 1}]] [[{i + 2}]]", ["t"]) for i in range(2000)]
+    store = TableSet(spark, str(tmp_path / "g"))
+    U.apply_changes(store, spark.createDataFrame(notes, SCHEMA))
+    size = sum(p.stat().st_size for p in (tmp_path / "g").rglob("*.parquet"))
+    assert size < 5 * sum(len(n[-1]) for n in notes)
+    same_as_rebuilt(spark, TableSet(spark, store.root), notes)
