@@ -115,11 +115,13 @@ def answered(client: Callable[[], Callable[[str], str]], questions: DataFrame, h
     A question without usable evidence is refused before a model is asked. An answer
     that is no valid output, or breaks the citation rules, is asked for again, up to
     ``retries`` times; what is left then is refused with what was wrong. Each attempt
-    is one job over the questions that are still open, and is written out.
+    is one job over the questions that are still open, and is written out. So are the
+    hits, which all steps read: the search behind them runs once.
     """
-    refused = R.refusals(questions, hits, threshold).where("reason IS NOT NULL")
+    hits = written(hits, "evidence")
+    refused = written(R.refusals(questions, hits, threshold).where("reason IS NOT NULL"), "refused")
     done = [refused.select("query_id", F.lit("insufficient_evidence").alias("status"), "reason", F.lit(0).alias("attempts"))]
-    usable = hits.join(refused, "query_id", "left_anti")
+    usable = written(hits.join(refused, "query_id", "left_anti"), "usable")
     open_ = written(prompts(questions.join(refused, "query_id", "left_anti"), usable, template), "prompts")
     wrong = None
     for attempt in range(1, retries + 2):

@@ -12,6 +12,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import lookups as L
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
+from lodestone.operators import retrievers as V
 from lodestone.session import written
 
 
@@ -123,3 +124,19 @@ def test_merges_are_dealt_to_more_tasks_as_chunks_grow(spark, monkeypatch):
     assert nodes.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == 10  # 400 chunks
     assert nodes.groupBy("type").count().orderBy("type").collect() == [("document", 200), ("section", 400), ("tag", 1), ("unresolved", 1)]
     assert edges.groupBy("type").count().orderBy("type").collect() == [("HAS_SECTION", 400), ("LINKS_TO", 200), ("TAGGED_WITH", 200)]
+
+
+def test_the_search_behind_an_answer_runs_once(spark):
+    """Each step and each attempt read the hits; the search was run again for every one of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    hits = spark.createDataFrame([(q, 1, "p.md", "a", "S", "H", "f", "Body text here", 0.9) for q in (1, 2)], "query_id int, rank int, source string, anchor string, section_title string, heading string, filename string, content string, score double")
+    questions = spark.createDataFrame([(q, f"what #{q}") for q in (1, 2, 3)], "query_id int, question string")
+    out = V.answered(lambda: lambda prompt: "nothing", questions, hits.mapInArrow(counted, hits.schema), "{context} {history}{question}")
+    assert sorted((r.query_id, r.status, r.attempts) for r in out.collect()) == [(q, "insufficient_evidence", 2 if q < 3 else 0) for q in (1, 2, 3)]
+    assert seen.value == 2
