@@ -54,6 +54,18 @@ def _valid(response: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(T.json_object(response))).startswith("OBJECT"), F.lit(False))
 
 
+#: Chunks that one task asks about, or reads the answers of, about.
+TASK_CHUNKS = 20_000
+
+
+def dealt(rows: DataFrame, n: int, by: str) -> DataFrame:
+    """``rows`` dealt evenly to as many tasks as ``n`` chunks ask for.
+
+    A model's calls and the reading of its answers take long for few bytes, so tasks by bytes would be few, and uneven.
+    """
+    return rows.repartition(max(-(-n // TASK_CHUNKS), rows.sparkSession.sparkContext.defaultParallelism), by)
+
+
 def extraction_rounds(chunks: DataFrame, cache: DataFrame | None, extractor: Extractor) -> tuple[DataFrame, DataFrame, list[int], int]:
     """(good answers, failures, calls of each round, cache hits) for ``chunks`` with ``chunk_id, content``.
 
@@ -67,7 +79,7 @@ def extraction_rounds(chunks: DataFrame, cache: DataFrame | None, extractor: Ext
     good = spark.createDataFrame([], "key string, chunk_id string, round int, response string")
     failed = spark.createDataFrame([], "chunk_id string, error string")
     todo, calls = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("content", F.lit("")).alias("content")), []
-    known = 0
+    known, total = 0, chunks.count()
     for r in range(extractor.gleanings + 1):
         key = S.cache_key(F.col("chunk_id"), F.sha2("content", 256), *[F.lit(v) for v in extractor.versions[:3]], F.lit(r))
         asked = written(todo.withColumn("key", key), "asked")
@@ -77,7 +89,7 @@ def extraction_rounds(chunks: DataFrame, cache: DataFrame | None, extractor: Ext
         ask, n, answers = extractor.rendered(F.col("content"), r), 0, hits.select("key", "chunk_id", "content", "response")
         for turn in range(extractor.retries + 1):
             prompts = left.select("key", "chunk_id", "content", (ask if turn == 0 else F.concat(ask, F.lit(AGAIN))).alias("prompt"))
-            said = written(S.answered_by(extractor.client, prompts, retries=0).withColumn("ok", _valid(F.col("response"))), "said")
+            said = written(S.answered_by(extractor.client, dealt(prompts, total, "key"), retries=0).withColumn("ok", _valid(F.col("response"))), "said")
             n += said.count()
             answers = answers.unionByName(said.where("ok").select("key", "chunk_id", "content", "response"))
             left = said.where("NOT ok").select("key", "chunk_id", "content", "response", "error")
@@ -106,7 +118,7 @@ def joined_rounds(answers: DataFrame) -> DataFrame:
 def evidence_of(chunks: DataFrame, responses: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
     """Node and edge evidence of chunks (``source, anchor, chunk_id, content``) from their responses."""
     place = chunks.select("source", F.coalesce("anchor", F.lit("")).alias("anchor"), F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("content", F.lit("")).alias("content"))
-    asked = written(place.join(responses, "chunk_id"), "responses")
+    asked = written(dealt(place.join(responses, "chunk_id"), chunks.count(), "chunk_id"), "responses")
     found = written(S.entities(asked, types=list(extractor.types) or None, min_confidence=extractor.min_confidence), "entities")
     of = asked.select("chunk_id", "source", "anchor")
     nodes = found.join(of, "chunk_id").select("node_id", "chunk_id", "source", "anchor", F.col("name").alias("entity_name"), F.col("type").alias("entity_type"), F.col("description").alias("raw_description"), "aliases", "confidence", "quote")
@@ -180,7 +192,6 @@ def build(store: TableSet, chunks: DataFrame, extractor: Extractor, *, changed_o
     todo = written(changed_sources(prints, state) if changed_only else prints, "todo")
     mine = written(chunks.join(todo.select("source"), "source", "left_semi"), "mine")
     answers, failed, calls, known = extraction_rounds(mine, store.read("extractions"), extractor)
-    answers, failed = written(answers, "answers"), written(failed, "failed")
     store.change("extractions", answers, by="key")
     ids = mine.select("source", F.col("chunk_id").cast("string").alias("chunk_id"))
     bad = written(failed.join(ids, "chunk_id").groupBy("source").agg(F.min("error").alias("error"), F.count("*").alias("chunks")), "bad")

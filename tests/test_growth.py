@@ -13,6 +13,7 @@ from lodestone.operators import lookups as L
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import retrievers as V
+from lodestone.operators import semantic_build as B
 from lodestone.session import written
 
 
@@ -140,3 +141,21 @@ def test_the_search_behind_an_answer_runs_once(spark):
     out = V.answered(lambda: lambda prompt: "nothing", questions, hits.mapInArrow(counted, hits.schema), "{context} {history}{question}")
     assert sorted((r.query_id, r.status, r.attempts) for r in out.collect()) == [(q, "insufficient_evidence", 2 if q < 3 else 0) for q in (1, 2, 3)]
     assert seen.value == 2
+
+
+def test_model_calls_are_dealt_to_all_tasks(spark, tmp_path):
+    """Chunks that lie in one file were asked about by one task."""
+    folder = str(tmp_path)
+
+    def client():
+        import pathlib
+
+        from pyspark import TaskContext
+
+        (pathlib.Path(folder) / str(TaskContext.get().partitionId())).touch()
+        return lambda prompt: '{"entities": [], "relationships": []}'
+
+    chunks = written(spark.range(2000).select(F.lit("s").alias("source"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("text").alias("content")).coalesce(1), "chunks")
+    answers, failed, calls, _ = B.extraction_rounds(chunks, None, B.Extractor(client))
+    assert answers.count() == 2000 and failed.isEmpty() and calls == [2000]
+    assert len(list(tmp_path.iterdir())) == spark.sparkContext.defaultParallelism
