@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that are broadcast at most, and the least rows that make a key one of them.
-HOT_KEYS, HOT_ROWS = 100_000, 1_000
+#: Keys that are broadcast at most, and the least rows that make a key one of them: as many narrow rows as one task joins
+#: in a second or two. Fewer are not worth the jobs that find and split them, which small networks spend most of their time on.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000_000
 
 
 def hot_keys(rows: DataFrame, *on: str, total: int) -> DataFrame | None:
