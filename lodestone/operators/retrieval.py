@@ -167,30 +167,37 @@ def topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, score: Colum
 CELL_ROWS = 20_000
 
 
-def vector_topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", cell: int = CELL_ROWS) -> DataFrame:
-    """Like :func:`topk_per_source` with the inner product of ``q_vec`` and ``vec``, by matrix products.
+def dealt_in_cells(asked: DataFrame, chunks: DataFrame, key: str, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Askings and chunks with ``cell_name``, what meets what, and ``bucket``, what a task holds at a time: about two cells of rows at most.
 
-    A source's chunks and its askings are dealt into cells of about ``cell`` rows a
-    side, every cell of the one against every cell of the other, so a source with a
-    third of all chunks is scored by many tasks; small sources share a task. Each cell
-    hands on the ``k`` best chunks of each asking. Sources of more than a cell are at
-    most one in ``cell`` rows, and are broadcast with their numbers of cells. Vectors that are null, of
-    another length than the query's, or hold a null or no finite number are no hits.
+    A cell of a source with more than an eighth of ``cell`` rows is a bucket; such sources are at most eight in ``cell``
+    rows, and are broadcast with their numbers of cells. Smaller sources share buckets by hash.
     """
-    large = asked.groupBy("source").agg(F.count("*").alias("qs"), F.lit(0).cast("bigint").alias("cs")).unionByName(chunks.groupBy("source").agg(F.lit(0).cast("bigint").alias("qs"), F.count("*").alias("cs")))
-    large = written(large.groupBy("source").agg(*[F.greatest(F.ceil(F.sum(c) / cell), F.lit(1)).cast("int").alias(f"cell_{c}") for c in ("qs", "cs")]), "cells")
-    tasks = max(1, large.agg(F.sum(F.col("cell_qs") * F.col("cell_cs"))).first()[0] or 1)
-    # as many tasks as whole cells, and more where most sources are small
-    buckets = max(1, min(tasks, -(-(asked.count() + chunks.count()) // cell) * 4))
-    split = large.where("cell_qs > 1 OR cell_cs > 1")
+    sizes = asked.groupBy("source").agg(F.count("*").alias("qs"), F.lit(0).cast("bigint").alias("cs")).unionByName(chunks.groupBy("source").agg(F.lit(0).cast("bigint").alias("qs"), F.count("*").alias("cs")))
+    sizes = written(sizes.groupBy("source").agg(F.sum("qs").alias("qs"), F.sum("cs").alias("cs")), "cells")
+    shared = max(1, -(-4 * (sizes.agg(F.sum(F.col("qs") + F.col("cs"))).first()[0] or 0) // cell))
+    large = sizes.where((F.col("qs") + F.col("cs")) * 8 > cell).select("source", *[F.greatest(F.ceil(F.col(c) / cell), F.lit(1)).cast("int").alias(f"cell_{c}") for c in ("qs", "cs")])
 
     def dealt(df, own, other, by):
-        out = df.where("source IS NOT NULL").join(F.broadcast(split), "source", "left")
+        out = df.where("source IS NOT NULL").join(F.broadcast(large), "source", "left")
         mine = F.pmod(F.xxhash64(by), F.coalesce(f"cell_{own}", F.lit(1))).cast("int")
         out = out.withColumn(f"in_{own}", mine).withColumn(f"in_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"cell_{other}", F.lit(1)) - 1)))
         name = F.concat_ws("/", "in_qs", "in_cs", "source")
-        return out.withColumn("cell_name", name).withColumn("bucket", F.pmod(F.xxhash64("cell_name"), F.lit(buckets))).drop("cell_qs", "cell_cs", "in_qs", "in_cs")
+        few = F.concat(F.lit("shared/"), F.pmod(F.xxhash64("source"), F.lit(shared)).cast("string"))
+        return out.withColumn("cell_name", name).withColumn("bucket", F.when(F.col("cell_qs").isNull(), few).otherwise(F.col("cell_name"))).drop("cell_qs", "cell_cs", "in_qs", "in_cs")
+
+    return dealt(asked, "qs", "cs", "query_id"), dealt(chunks, "cs", "qs", key)
+
 
+def vector_topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", cell: int = CELL_ROWS) -> DataFrame:
+    """Like :func:`topk_per_source` with the inner product of ``q_vec`` and ``vec``, by matrix products.
+
+    A source's chunks and its askings are dealt into cells of about ``cell`` rows a
+    side, every cell of the one against every cell of the other, so a source with a
+    third of all chunks is scored by many tasks; small sources share a bucket
+    (:func:`dealt_in_cells`). Each cell hands on the ``k`` best chunks of each asking, and a worker holds one bucket. Vectors that are null, of
+    another length than the query's, or hold a null or no finite number are no hits.
+    """
     left_names, right_names = [c for c in asked.columns if c != "q_vec"], [c for c in chunks.columns if c not in ("vec", "source")]
     schema = StructType([*[asked.schema[c] for c in left_names], *[chunks.schema[c] for c in right_names], StructField("score", DoubleType())])
 
@@ -224,7 +231,7 @@ def vector_topk_per_source(asked: DataFrame, chunks: DataFrame, k: int, *, key:
         columns = [*[left.column(c).take(pa.array(at_q)) for c in left_names], *[right.column(c).take(pa.array(at_c)) for c in right_names], pa.array(value.astype(np.float64))]
         return pa.table(columns, names=schema.names)
 
-    asks, has = dealt(asked, "qs", "cs", "query_id"), dealt(chunks, "cs", "qs", key)
+    asks, has = dealt_in_cells(asked, chunks, key, cell)
     asks, has = asks.toDF(*asks.columns), has.toDF(*has.columns)  # both may come from one table
     best = asks.groupBy("bucket").cogroup(has.groupBy("bucket")).applyInArrow(score, schema)
     return ranked(best, k, F.desc("score"), F.asc(key), by=("query_id", "source"), rank="source_rank")
